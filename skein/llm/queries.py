@@ -36,6 +36,12 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import secret_spans
+
+    return secret_spans(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_scores
 
@@ -49,7 +55,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_fingerprints, op6_packing, op7_jaccard_join, op9_quality, op10_sharding)}
+    return {f.__name__: f for f in (op4_fingerprints, op6_packing, op7_jaccard_join, op8_secrets, op9_quality, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
