@@ -18,6 +18,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk_search import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import fingerprints
 
@@ -55,8 +67,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_fingerprints, op6_packing, op7_jaccard_join, op8_secrets, op9_quality, op10_sharding)}
+    return {f.__name__: f for f in (op1_topk_search, op2_html_text, op4_fingerprints, op6_packing, op7_jaccard_join, op8_secrets, op9_quality, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import topk_search
+
+    return {"op1_topk_search": topk_search.ORACLE_SQL}
