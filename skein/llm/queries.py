@@ -36,6 +36,14 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: its lines, how many stay, and for each that goes the document and line that stay for it."""
+    from .line_dedup import dedup_lines
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, with_text=False).select("doc_id", "n_lines", "n_kept", "removed")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -67,7 +75,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op2_html_text, op4_fingerprints, op6_packing, op7_jaccard_join, op8_secrets, op9_quality, op10_sharding)}
+    return {f.__name__: f for f in (op1_topk_search, op2_html_text, op4_fingerprints, op5_line_dedup, op6_packing, op7_jaccard_join, op8_secrets, op9_quality, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
