@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import short_batches, text_buffer, word_hashes
 
@@ -136,6 +136,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of docs, with all their columns, whose text the classifier scores at threshold or more."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    model = fit(source, labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label")))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    scored = rows.mapInArrow(_score(model), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return scored.where(F.col("score") >= threshold).select("row.*")
+
+
 def fit(source: DataFrame, labels: DataFrame, positives: int = MAX_POSITIVES, unlabelled: int = MAX_UNLABELLED):
     """A broadcast model learnt from source (doc_id, text) and labels (doc_id, label); None where there is nothing to learn from."""
     spark = source.sparkSession
