@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import materialise, short_batches, tasks
 
 #: Words longer than this, and words beyond so many, are not kept from text to text.
-_CACHED_CHARS, _CACHED_WORDS = 48, 300_000
+_CACHED_CHARS, _CACHED_WORDS = 48, 500_000
 #: White space to str.split(), but not to the tokenizer.
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -24,30 +24,65 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    vocabulary = tokenizer.get_vocab()
+    closes = np.zeros(max(vocabulary.values()) + 1, bool)
+    closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
     known: dict[str, bytes] = {}
+    stems: dict[str, bytes] = {mark: b"" for mark in ",."}
 
-    def fresh(words: list[str]) -> list[bytes]:
+    def alone(words: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(words, add_special_tokens=False)]
 
-    def encode(texts: list[str]) -> list[bytes]:
+    def together(words: list[str]) -> list[bytes]:
+        """Words of letters only are one run each, and its last id alone closes a word: they can be encoded as one text."""
         out = []
-        for text in texts:
-            if any(c in text for c in _ODD_SPACE):
-                out.append(fresh([text])[0])
+        for i in range(0, len(words), 1000):
+            part = words[i : i + 1000]
+            ids = np.asarray(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(closes[ids]) + 1
+            if len(ends) != len(part):
+                out += alone(part)
                 continue
-            words = text.split()
-            if missing := [w for w in set(words).difference(known)]:
-                if len(known) + len(missing) > _CACHED_WORDS:
-                    known.clear()
-                    missing = list(set(words))
-                extra = {}
-                for w, ids in zip(missing, fresh(missing), strict=True):
-                    (known if len(w) <= _CACHED_CHARS else extra)[w] = ids
-                out.append(b"".join([known[w] if w in known else extra[w] for w in words] if extra else map(known.__getitem__, words)))
-            else:
-                out.append(b"".join(map(known.__getitem__, words)))
+            data, at = ids.tobytes(), 0
+            for end in (4 * ends).tolist():
+                out.append(data[at:end])
+                at = end
         return out
 
+    stems.update(zip(",.", alone([",", "."]), strict=True))
+
+    def learn(words: list[str], into: dict[str, bytes]) -> None:
+        """A final mark after a letter is a run of its own, and case does not count: few distinct stems are left to encode."""
+        parts = [((w[:-1], w[-1]) if w[-1] in ",." and w[-2:-1].isalpha() else (w, "")) for w in words]
+        parts = [(s.lower() if s.isascii() else s, mark) for s, mark in parts]
+        if missing := {s for s, _ in parts}.difference(stems):
+            if len(stems) + len(missing) > _CACHED_WORDS:
+                kept = {mark: stems[mark] for mark in ",."}
+                stems.clear()
+                stems.update(kept)
+                missing = {s for s, _ in parts}.difference(stems)
+            letters = [s for s in missing if s.isalpha()]
+            others = [s for s in missing if not s.isalpha()]
+            stems.update(zip(letters, together(letters), strict=True))
+            stems.update(zip(others, alone(others), strict=True))
+        for w, (s, mark) in zip(words, parts, strict=True):
+            ids = stems[s] + stems[mark] if mark else stems[s]
+            (known if len(w) <= _CACHED_CHARS else into)[w] = ids
+        for s, _ in parts:
+            if len(s) > _CACHED_CHARS:
+                stems.pop(s, None)
+
+    def encode(texts: list[str]) -> list[bytes]:
+        split = [t.split() if not any(c in t for c in _ODD_SPACE) else None for t in texts]
+        every = set().union(*(w for w in split if w))
+        missing, extra = every.difference(known), {}
+        if len(known) + len(missing) > _CACHED_WORDS:
+            known.clear()
+            missing = every
+        learn(list(missing), extra)
+        look = (lambda w: known[w] if w in known else extra[w]) if extra else known.__getitem__
+        return [b"".join(map(look, w)) if w is not None else alone([t])[0] for t, w in zip(texts, split, strict=True)]
+
     return encode
 
 
@@ -59,8 +94,9 @@ def _pieces(path: str, length: int, end_id: int):
         encode, end = word_encoder(path), np.asarray([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids = encode([text.as_py() or ""])[0] + end
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            for doc, ids in zip(b.column("doc_id").to_pylist(), encode(texts), strict=True):
+                ids += end
                 n = len(ids) // 4
                 rows += [(doc, s, min(length, n - s), zlib.crc32(ids[4 * s : 4 * (s + length)]), n) for s in range(0, n, length)]
             if rows:
