@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 WORD = r"[\p{L}\p{M}\p{N}_]+"
@@ -10,6 +12,11 @@ SENTENCE_BREAK = r"(?<=[.!?।॥])(?U)\s+|(?<=[।॥])(?=\S)"
 TOKENS_A_WORD = 1.3
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often use names it within its own lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def tokens(text: Column) -> Column:
     """Words in lower case, in order; a null text has none."""
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})")), F.array().cast("array<string>"))
@@ -79,8 +86,13 @@ def mixed_script(token: Column) -> Column:
 def dedupe(values: Column) -> Column:
     """The first spelling of each value, case and outer space aside, in order; blanks go."""
     trimmed = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != ""))
-    keys = F.transform(trimmed, lambda v: F.lower(F.regexp_replace(v, r"(?U)\s+", " ")))
-    return F.transform(F.filter(F.arrays_zip(trimmed.alias("v"), keys.alias("k"), F.transform(keys, lambda k, i: F.array_position(keys, k) == i + 1).alias("first")), lambda z: z["first"]), lambda z: z["v"])
+    keyed = F.transform(trimmed, lambda v: F.struct(F.lower(F.regexp_replace(v, r"(?U)\s+", " ")).alias("k"), v.alias("v")))
+
+    def firsts(pairs: Column) -> Column:
+        keys = F.transform(pairs, lambda p: p["k"])
+        return bound(keys, lambda ks: F.transform(F.filter(pairs, lambda p, i: F.array_position(ks, p["k"]) == i + 1), lambda p: p["v"]))
+
+    return F.when(values.isNotNull(), bound(keyed, firsts))
 
 
 def place(text: Column, metro: tuple[str, ...] = ("DELHI",)) -> Column:
@@ -160,11 +172,16 @@ def collapse_loops(text: Column, least: int = 6, keep: int = 3) -> Column:
     if least < 6 or keep < 3:
         raise ValueError("runs below six tokens, or fewer than three kept, would cut ordinary speech")
 
-    def line(x: Column) -> Column:
-        toks = F.split(x, " ")
-        # a token's run starts where the one before differs; its length is the distance of the neighbouring starts
-        starts = F.filter(F.sequence(F.lit(1), F.size(toks)), lambda i: (i == 1) | (F.get(toks, i - 1) != F.get(toks, i - 2)))
+    def joined(toks: Column, starts: Column) -> Column:
         runs = F.transform(starts, lambda s, k: F.struct(s.alias("s"), (F.coalesce(F.get(starts, k + 1), F.size(toks) + 1) - s).alias("n")))
         return F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(toks, r["s"], F.when(r["n"] >= least, F.lit(keep)).otherwise(r["n"])))), " ")
 
+    def by_token(toks: Column) -> Column:
+        # a run starts where the token before differs; its length is the distance to the next start
+        starts = F.filter(F.sequence(F.lit(1), F.size(toks)), lambda i: (i == 1) | (F.get(toks, i - 1) != F.get(toks, i - 2)))
+        return bound(starts, lambda found: joined(toks, found))
+
+    def line(x: Column) -> Column:
+        return bound(F.split(x, " "), by_token)
+
     return F.array_join(F.transform(F.split(text, "\n"), line), "\n")

@@ -65,9 +65,7 @@ def aligned(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, "source_file string, segments array<string>")
 
 
-@F.pandas_udf("struct<changed:int,deleted:int,inserted:int>")
-def word_changes(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-    """Words changed, deleted and inserted between two texts."""
+def _word_changes(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     out = []
     for a, b in zip(old.fillna(""), new.fillna(""), strict=True):
         n = {"replace": 0, "delete": 0, "insert": 0}
@@ -78,6 +76,11 @@ def word_changes(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["changed", "deleted", "inserted"])
 
 
+def word_changes(old: Column, new: Column) -> Column:
+    """(changed, deleted, inserted): how many words differ between two texts."""
+    return F.pandas_udf(_word_changes, "struct<changed:int,deleted:int,inserted:int>")(old, new)
+
+
 # --- entity spellings ---
 
 #: Devanagari consonants by place of articulation; signs of nasality; what does not count.

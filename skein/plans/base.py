@@ -28,7 +28,7 @@ DOCS = """docs AS (
 )"""
 #: The engine's tokenizer and word splitter in DuckDB.
 TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{M}}\p{{N}}_]+')"
-WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), w -> w <> '')"
+WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"
 
 
 def tokens(column: str) -> str:
