@@ -53,7 +53,8 @@ def merged_tags(parts: DataFrame, key: str) -> DataFrame:
     """Tags of a file's windows (key, idx, tags) as one: lists united in order and capped, scalars of the first window."""
     ordered = F.sort_array(F.collect_list(F.struct("idx", "tags")))
     g = parts.groupBy(key).agg(ordered.alias("p"))
-    lists = [F.slice(dedupe(F.flatten(F.transform("p", lambda s, c=c: s["tags"][c]))), 1, n).alias(c) for c, n in CAPS.items()]
+    of = lambda c: F.flatten(F.transform("p", lambda s: s["tags"][c]))
+    lists = [F.slice(dedupe(of(c)), 1, n).alias(c) for c, n in CAPS.items()]
     scalars = [F.element_at("p", 1)["tags"][c].alias(c) for c in ("event_type", "primary_language", "summary_hindi", "summary_english")]
     return g.select(key, *scalars, *lists)
 
