@@ -30,6 +30,14 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_table(spark, sf_dir, "pages"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode_documents
+
+    return encode_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import fingerprints
 
@@ -75,7 +83,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op2_html_text, op4_fingerprints, op5_line_dedup, op6_packing, op7_jaccard_join, op8_secrets, op9_quality, op10_sharding)}
+    return {f.__name__: f for f in (op1_topk_search, op2_html_text, op3_byte_bpe, op4_fingerprints, op5_line_dedup, op6_packing, op7_jaccard_join, op8_secrets, op9_quality, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
