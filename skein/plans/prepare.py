@@ -143,7 +143,7 @@ def _tracks(spark, sf_dir) -> DataFrame:
     """Orders as sittings, lines as their tracks, parts' brands as performers."""
     l, o, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
     j = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
-    return j.select(F.col("o_orderkey").alias("sitting"), F.to_date("o_orderdate").alias("session_date"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("track_no"), F.array("p_brand", "p_type").alias("performers"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).otherwise(F.lit(" ")).alias("detail"), F.col("o_orderpriority").alias("location"))
+    return j.select(F.col("o_orderkey").alias("sitting"), F.to_date("o_orderdate").alias("session_date"), ((F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")) * 100 + F.ascii("l_returnflag")).alias("track_no"), F.array("p_brand", "p_type").alias("performers"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).otherwise(F.lit(" ")).alias("detail"), F.col("o_orderpriority").alias("location"))
 
 
 def catalog_collapse(spark, sf_dir) -> DataFrame:
@@ -282,10 +282,10 @@ SELECT source, CAST(max(chars) AS INTEGER) AS most_chars, CAST(max(ceil(chars /
     "resume_work": "SELECT doc_id FROM documents WHERE doc_id % 4 < 2",
     "ledger_counts": "SELECT s AS status, (SELECT count(*) FROM orders WHERE (o_orderstatus = 'F' AND s = 'failed') OR (o_orderstatus <> 'F' AND s = 'ok')) AS n FROM (SELECT unnest(['ok', 'failed', 'in_progress']) AS s)",
     "ledger_attempts": "SELECT user_id AS key, arg_max(CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END, event_id) AS status, count(*) + CASE WHEN user_id < 50 THEN 1 ELSE 0 END AS attempts, max(event_id) AS last_ts FROM events GROUP BY user_id",
-    "catalog_collapse": """WITH t AS (SELECT o_orderkey AS sitting, CAST(o_orderdate AS DATE) AS d, l_linenumber * 10000000 + l_partkey AS k, [p_brand, p_type] AS p, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END AS detail, o_orderpriority AS loc FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+    "catalog_collapse": """WITH t AS (SELECT o_orderkey AS sitting, CAST(o_orderdate AS DATE) AS d, (l_linenumber * 10000000 + l_partkey) * 100 + ascii(l_returnflag) AS k, [p_brand, p_type] AS p, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END AS detail, o_orderpriority AS loc FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 e AS (SELECT sitting, unnest(p) AS v, k * 10 + generate_subscripts(p, 1) AS pos FROM t), f AS (SELECT sitting, v, min(pos) AS pos FROM e GROUP BY 1, 2), g AS (SELECT sitting, string_agg(v, '|' ORDER BY pos) AS performers FROM f GROUP BY 1)
 SELECT sitting, count(*) AS n, arg_min(d, k) AS session_date, arg_min(loc, k) AS location, any_value(performers) AS performers, arg_min(detail, k) FILTER (detail IS NOT NULL) AS detail FROM t JOIN g USING (sitting) GROUP BY 1""",
-    "track_dedupe_last": "WITH t AS (SELECT CAST(o_orderdate AS DATE) AS session_date, o_orderkey AS sitting, l_linenumber * 10000000 + l_partkey AS track_no FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT session_date, sitting, track_no FROM (SELECT *, row_number() OVER (PARTITION BY session_date ORDER BY sitting DESC, track_no DESC) AS n FROM t) WHERE n = 1",
+    "track_dedupe_last": "WITH t AS (SELECT CAST(o_orderdate AS DATE) AS session_date, o_orderkey AS sitting, (l_linenumber * 10000000 + l_partkey) * 100 + ascii(l_returnflag) AS track_no FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT session_date, sitting, track_no FROM (SELECT *, row_number() OVER (PARTITION BY session_date ORDER BY sitting DESC, track_no DESC) AS n FROM t) WHERE n = 1",
     "key_reconciliation": """WITH a AS (SELECT p_partkey AS k FROM part WHERE p_size > 20), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem), j AS (SELECT a.k AS x, b.k AS y FROM a FULL JOIN b ON a.k = b.k)
 SELECT count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS matched, count(*) FILTER (y IS NULL) AS left_only, count(*) FILTER (x IS NULL) AS right_only, round(100.0::DOUBLE * count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) / count(*) FILTER (x IS NOT NULL), 2) AS pct FROM j""",
     "ambiguous_keys": "SELECT l_orderkey AS key, min(l_returnflag) AS value FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1",

@@ -34,7 +34,7 @@ def texts(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """(path, text, encoding, modified): UTF-8 where the bytes are, else Latin-1; a byte order mark stays."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
     ok = F.expr("is_valid_utf8(content)") if _has(spark, "is_valid_utf8") else F.lit(True)
-    text = F.when(ok, F.decode("content", F.lit("UTF-8"))).otherwise(F.decode("content", F.lit("ISO-8859-1")))
+    text = F.when(ok, F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
     return raw.select("path", text.alias("text"), F.when(ok, "utf-8").otherwise("latin-1").alias("encoding"), F.col("modificationTime").alias("modified"))
 
 
