@@ -185,3 +185,29 @@ def collapse_loops(text: Column, least: int = 6, keep: int = 3) -> Column:
         return bound(F.split(x, " "), by_token)
 
     return F.array_join(F.transform(F.split(text, "\n"), line), "\n")
+
+
+def chunk_header(source: Column, start: Column, end: Column, speakers: Column, facts: list[Column] | None = None) -> Column:
+    """A chunk's head: file, span and speakers, then what is known of its folders; unknown parts are left out."""
+    who = F.when(F.size(speakers) > 0, F.concat(F.lit("Speakers: "), F.array_join(speakers, ", ")))
+    return F.concat_ws(" | ", F.concat(F.lit("File: "), source), F.concat(clock(start), F.lit("-"), clock(end)), who, *(facts or []))
+
+
+def summary_text(title: Column, topics: Column, summary: Column, other: Column) -> Column:
+    """What a file's vector is made of, a line each: title, topics, and its summary, else the one in the other language."""
+    told = F.coalesce(F.nullif(F.trim(summary), F.lit("")), F.nullif(F.trim(other), F.lit("")))
+    listed = F.when(F.size(topics) > 0, F.concat(F.lit("Topics: "), F.array_join(topics, ", ")))
+    return F.concat_ws("\n", F.nullif(F.trim(title), F.lit("")), listed, told)
+
+
+def packed_paragraphs(text: Column, limit: int) -> Column:
+    """Paragraphs joined in order as long as a pack has limit characters at most; a longer paragraph is a pack of its own."""
+    parts = F.filter(F.transform(F.split(text, r"\n\s*\n|\n"), lambda p: F.trim(p)), lambda p: p != "")
+
+    def step(packs: Column, p: Column) -> Column:
+        last = F.element_at(packs, -1)
+        fits = F.length(last) + 1 + F.length(p) <= limit
+        return F.when(fits, F.concat(F.slice(packs, F.lit(1), F.greatest(F.size(packs) - 1, F.lit(0))), F.array(F.concat(last, F.lit("\n"), p)))).otherwise(F.concat(packs, F.array(p)))
+
+    # the fold begins with a blank pack, which the first paragraph replaces
+    return F.filter(F.aggregate(parts, F.array(F.lit("")), lambda a, p: F.when(F.element_at(a, -1) == "", F.array(p)).otherwise(step(a, p))), lambda x: x != "")

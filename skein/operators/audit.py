@@ -67,3 +67,14 @@ def stale(outputs: DataFrame, inputs: DataFrame, seconds: float = 2.0) -> DataFr
     newest = inputs.groupBy("stem").agg(F.max("mtime").alias("input"))
     age = F.col("input").cast("double") - F.col("mtime").cast("double")
     return outputs.join(newest, "stem").where(age > seconds).select("stem", F.round(age / 3600, 6).alias("hours")).orderBy(F.desc("hours"), "stem")
+
+
+def parity(keys: DataFrame, files: DataFrame) -> DataFrame:
+    """Keys without a file and files without a key, each with its side."""
+    a, b = keys.select("key").distinct(), files.select("key").distinct()
+    return a.join(b, "key", "left_anti").withColumn("side", F.lit("key_only")).unionByName(b.join(a, "key", "left_anti").withColumn("side", F.lit("file_only")))
+
+
+def round_trip(df: DataFrame, key: str, stored: str, derived) -> DataFrame:
+    """Rows whose stored struct differs from the one that their key gives."""
+    return df.withColumn("_d", derived(F.col(key))).where(~F.col(stored).eqNullSafe(F.col("_d"))).select(key, stored, F.col("_d").alias("derived"))

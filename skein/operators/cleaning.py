@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import excise, map_tokens, collapse_loops, strip_glosses, tidy, words
+from ..functions.text import bound, excise, map_tokens, collapse_loops, strip_glosses, tidy, words
 
 #: Shares of the raw words below and above which a cleaned text is not trusted, words from which that is asked, and a loop's share.
 TOO_FEW, TOO_MANY, ASKED_FROM, LOOP = 0.85, 1.15, 50, 0.10
@@ -104,6 +104,13 @@ def entity_grams(tokens: Column, surnames: list[str], stop: list[str], least: in
     return F.transform(F.filter(F.concat(*windows), lambda g: (F.size(g) >= 2) & good(g)), lambda g: F.array_join(g, " "))
 
 
+def surfaces(lines: DataFrame, surnames: list[str], stop: list[str]) -> DataFrame:
+    """Phrases of names in lines (source_file, pos, text): (key, phrase, count, files, sample), key the words' skeletons."""
+    each = lines.select("source_file", "pos", "text", F.explode(bound(words(F.col("text")), lambda w: entity_grams(w, surnames, stop))).alias("phrase"))
+    keyed = each.withColumn("key", F.array_join(F.transform(F.split("phrase", " "), skeleton), " "))
+    return keyed.groupBy("key", "phrase").agg(F.count("*").alias("count"), F.count_distinct("source_file").alias("files"), F.min_by("text", F.struct("source_file", "pos")).alias("sample"))
+
+
 def proposals(surfaces: DataFrame, least: int = 5, dominance: float = 4.0) -> DataFrame:
     """Rewrites (variant, canonical, counts) of surfaces (key, phrase, count): in a cluster of one key the commonest phrase, seen often,
     stands for those that it outnumbers by far."""

@@ -258,6 +258,31 @@ def tag_objects(spark, sf_dir) -> DataFrame:
     return d.select("doc_id", models.parsed_tags(chatty).alias("t")).select("doc_id", "t.event_type", F.array_join("t.topics", "|").alias("topics"), F.array_contains(models.tag_errors(F.col("t")), "event_type").alias("bad_type"))
 
 
+def chunk_headers(spark, sf_dir) -> DataFrame:
+    d = documents(spark, sf_dir)
+    return d.select("doc_id", T.chunk_header(F.col("source_file"), F.lit(0.0), F.col("duration_sec"), F.col("speakers"), [F.col("lang")]).alias("header"))
+
+
+def summary_texts(spark, sf_dir) -> DataFrame:
+    d = documents(spark, sf_dir)
+    blank = F.when(F.col("doc_id") % 2 == 0, F.lit(" ")).otherwise(F.substring("text", 1, 20))
+    return d.select("doc_id", T.summary_text(F.col("source"), F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.col("speakers")), blank, F.col("lang")).alias("text"))
+
+
+def packed_paragraphs(spark, sf_dir) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.explode(T.packed_paragraphs(F.col("text"), 400)).alias("pack")).groupBy("doc_id").agg(F.count("*").alias("packs"), F.sum(F.length("pack")).alias("chars"))
+
+
+def entity_surfaces(spark, sf_dir) -> DataFrame:
+    lines = documents(spark, sf_dir).select("source_file", F.lit(0).alias("pos"), "text")
+    return cleaning.surfaces(lines, ["the", "der"], ["and", "of"]).groupBy("phrase").agg(F.sum("count").alias("n")).where("n >= 5")
+
+
+def store_parity(spark, sf_dir) -> DataFrame:
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("key"))
+    return audit.parity(d.where("key % 10 <> 3"), d.where("key % 10 <> 7"))
+
+
 _STATE_SQL = words("text")
 SQL = {
     "token_estimates": f"SELECT doc_id, CAST(greatest(1, round_even(len({_STATE_SQL}) * 1.3::DOUBLE, 0)) AS INTEGER) AS tokens FROM documents",
@@ -303,6 +328,9 @@ SELECT count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS matched, count(*) FI
     "stale_outputs": "WITH o AS (SELECT o_custkey AS stem, min(epoch(o_orderdate)) AS m FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), i AS (SELECT o_custkey AS stem, max(epoch(o_orderdate)) AS m FROM orders GROUP BY 1) SELECT stem, round((i.m - o.m) / 3600.0::DOUBLE, 6) AS hours FROM o JOIN i USING (stem) WHERE i.m - o.m > 2",
     "tags_denormalised": "SELECT source, quality, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2",
     "tag_objects": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'party' ELSE 'satsang' END AS event_type, lang || '|' || source AS topics, doc_id % 5 = 0 AS bad_type FROM documents",
+    "chunk_headers": f"WITH {DOCS} SELECT doc_id, 'File: ' || source_file || ' | 00:00:00-' || printf('%02d:%02d:%02d', CAST(floor(duration_sec) AS BIGINT) // 3600, CAST(floor(duration_sec) AS BIGINT) % 3600 // 60, CAST(floor(duration_sec) AS BIGINT) % 60) || ' | Speakers: ' || source || ', ' || lang || ' | ' || lang AS header FROM docs",
+    "summary_texts": "SELECT doc_id, concat_ws(chr(10), source, CASE WHEN doc_id % 3 <> 0 THEN 'Topics: ' || source || ', ' || lang END, CASE WHEN doc_id % 2 = 0 OR trim(left(text, 20)) = '' THEN lang ELSE trim(left(text, 20)) END) AS text FROM documents",
+    "store_parity": "SELECT doc_id AS key, CASE WHEN doc_id % 10 = 7 THEN 'key_only' ELSE 'file_only' END AS side FROM documents WHERE doc_id % 10 IN (3, 7)",
     "path_facts": """SELECT doc_id, 'Dagshai ' || y AS event_id, CAST(y AS INTEGER) AS year, 'DAGSHAI' AS location, make_date(y, 4, doc_id % 28 + 1) AS session_date, CAST(doc_id % 4 + 1 AS INTEGER) AS session_seq, '06:30' AS session_time, CAST(doc_id % 60 + 1 AS INTEGER) AS track_no, 'Song ' || doc_id AS track_title, 'bhajan' AS track_type FROM (SELECT doc_id, doc_id % 20 + 1995 AS y FROM documents)""",
     "catalog_tracks": """WITH x AS (SELECT CAST(o_orderdate AS DATE) AS d, o_orderkey % 5 + 1 AS q, o_custkey % 30 AS k, round(o_totalprice / 10000, 2) AS u FROM orders)
 SELECT d || '|' || q || '|' || k AS join_key, d || '|' || q || '|' AS sitting_key, '06:30' AS session_time, 'DELHI' AS location, CASE WHEN round_even((u - floor(u)) * 100, 0) < 60 THEN CAST(floor(u) * 60 + round_even((u - floor(u)) * 100, 0) AS INTEGER) END AS duration_sec, 'Suman|Richa' AS performers, CAST(NULL AS VARCHAR) AS warning FROM x""",
@@ -311,5 +339,5 @@ QUERIES = {f.__name__: f for f in (
     token_estimates, unique_ratios, sentence_split, titles, languages, repetition_scores, loop_collapse, normalised_texts, array_dedupe, array_dedupe_summary, chunk_audit, chunk_audit_files, dead_letters, sentence_chunks, catalog_chunks,
     segment_chunks, section_groups, chunk_ids, file_rollup, joined_texts, upsert_first_wins, upsert_last_wins, delete_by_source, resume_work, ledger_counts, ledger_attempts, catalog_collapse, track_dedupe_last, key_reconciliation, ambiguous_keys,
     optional_enrichment, join_keys, seasons, duration_decode, performers_split, catalog_tracks, path_facts, running_prefix_slice, strided_sample, backfill_changes, changed_seasons, store_sizes, missing_chunks, sampled_presence, stale_outputs,
-    tags_denormalised, tag_objects,
+    tags_denormalised, tag_objects, chunk_headers, summary_texts, packed_paragraphs, entity_surfaces, store_parity,
 )}
