@@ -100,14 +100,27 @@ def work_list(*sources: DataFrame, key: str = "source_file") -> DataFrame:
     return every.groupBy(key).agg(F.min(F.struct("_s", "pos")).alias("_p")).orderBy("_p").select(key)
 
 
+def running(df: DataFrame, order: list[Column], size: Column) -> DataFrame:
+    """df with _before and _row, the sum of sizes and the number of rows that stand before each row in a global order, and _rows, how many there are.
+
+    Rows are dealt by ranges of the order; each range sums its own rows, and only the ranges' totals, one row each, meet in one task."""
+    ranged = df.withColumn("_size", size).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    within = Window.partitionBy("_part").orderBy(*order)
+    own = ranged.withColumn("_row", F.row_number().over(within) - 1).withColumn("_before", F.sum("_size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"))
+    totals = own.groupBy("_part").agg(F.sum("_size").alias("_t"), F.count("*").alias("_c"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = totals.select("_part", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_t0"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_c0"), F.sum("_c").over(every).alias("_rows"))
+    joined = own.join(F.broadcast(offsets), "_part")
+    return joined.select(*df.columns, (F.col("_before") + F.col("_t0")).alias("_before"), (F.col("_row") + F.col("_c0")).alias("_row"), "_rows")
+
+
 def slice_until(df: DataFrame, size: str, order: list[Column], target: int) -> DataFrame:
     """Rows in order until their sizes reach target, the row that crosses it included."""
-    cum = F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_c", cum).where(F.col("_c") - F.col(size) < target).drop("_c")
+    return running(df, order, F.col(size)).where(F.col("_before") < target).select(*df.columns)
 
 
 def strided(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """n rows evenly spaced over an order."""
-    numbered = df.withColumn("_r", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    picks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * F.greatest(F.col("_n") - 1, F.lit(0)) / max(n - 1, 1)))
-    return numbered.where(F.array_contains(picks, F.col("_r").cast("long"))).drop("_r", "_n")
+    picks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * F.greatest(F.col("_rows") - 1, F.lit(0)) / max(n - 1, 1)))
+    return running(df, order, F.lit(1)).where(F.array_contains(picks, F.col("_row").cast("long"))).select(*df.columns)
