@@ -18,7 +18,7 @@ def brute(data):
     for d, t in sorted((x for x in data if x[0] is not None), key=lambda x: x[0]):
         for i, line in enumerate((t or "").split("\n")):
             if line.strip(" \t\r"):
-                place.setdefault(line.replace("\r", " ").replace("\t", " ").strip(" "), (d, i))
+                place.setdefault(line.strip(" \t\r"), (d, i))
     lines = sorted(place, key=place.get)
     root = {x: x for x in lines}
 
