@@ -126,10 +126,16 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, common: int = COM
         found = F.transform("words", entry)
         out = source.select("doc_id", found.alias("e"))
     else:
-        first = source.select("doc_id", "words", F.transform("words", lambda w: _lookup(known, w)).alias("e"))
-        rare = F.array_distinct(F.filter("words", lambda w, i: F.get(F.col("e"), i).isNull()))
-        folded = first.select("doc_id", "words", "e", rare.alias("rare")).select("doc_id", "words", "e", "rare", F.transform("rare", lambda w: _entry(w, ranks, tokens)).alias("own"))
-        out = folded.select("doc_id", F.transform("words", lambda w, i: F.coalesce(F.get(F.col("e"), i), F.get(F.col("own"), (F.array_position(F.col("rare"), w) - 1).cast("int")))).alias("e"))
+        # each array is bound before a lambda names it; Catalyst would else compute it anew for every word
+        def with_rare(words: Column, e: Column) -> Column:
+            rare = F.array_distinct(F.filter(words, lambda w, i: F.get(e, i).isNull()))
+            return _bound(rare, lambda r: _bound(F.transform(r, lambda w: _entry(w, ranks, tokens)), lambda own: filled(words, e, r, own)))
+
+        def filled(words: Column, e: Column, rare: Column, own: Column) -> Column:
+            return F.transform(words, lambda w, i: F.coalesce(F.get(e, i), F.get(own, (F.array_position(rare, w) - 1).cast("int"))))
+
+        every = _bound(F.col("words"), lambda words: _bound(F.transform(words, lambda w: _lookup(known, w)), lambda e: with_rare(words, e)))
+        out = source.select("doc_id", every.alias("e"))
     joined = lambda field: F.array_join(F.transform("e", lambda x: x[field]), "")
     return out.select(
         "doc_id", F.aggregate("e", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("n_tokens"),
