@@ -87,7 +87,8 @@ def _counters(blocks: DataFrame) -> np.ndarray:
 
 def _entries(counters, num: int, den: int):
     """The first entries of each row in the common order: (s, part, key, doc, n, pos); key is the row's set's. Very common columns
-    have several parts; equal rows fall into the same one."""
+    have several parts, from 1 (0 is a column that is not split); equal rows fall into the same one."""
+    rows = _BLOCK_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = counters.value
@@ -101,8 +102,8 @@ def _entries(counters, num: int, den: int):
             keep = pos <= (n - -(-num * n // den))[of]
             h, of, df, pos = h[keep], of[keep], df[keep], pos[keep]
             doc = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[of]
-            parts = (df // _BLOCK_ROWS + 1).astype(np.uint64)
-            part = (mix64(key[of].view(np.uint64)) % parts).astype(np.int32)
+            parts = (df // rows + 1).astype(np.uint64)
+            part = np.where(parts > 1, mix64(key[of].view(np.uint64)) % parts + np.uint64(1), np.uint64(0)).astype(np.int32)
             for i in range(0, len(h), 200_000):
                 x = slice(i, i + 200_000)
                 yield pa.RecordBatch.from_arrays([pa.array(h[x].view(np.int64)), pa.array(part[x]), pa.array(key[of[x]]), pa.array(doc[x]), pa.array(n[of[x]].astype(np.int32)), pa.array(pos[x].astype(np.int32))], ["s", "part", "key", "doc", "n", "pos"])

@@ -6,6 +6,7 @@ import pytest
 
 pytest.importorskip("skein.llm.jaccard_join")
 
+from skein.llm import jaccard_join  # noqa: E402
 from skein.llm.components import components  # noqa: E402
 from skein.llm.jaccard_join import jaccard_components  # noqa: E402
 
@@ -53,6 +54,17 @@ def test_components_match_brute_force(spark):
     assert sorted(map(tuple, jaccard_components(df).collect())) == brute(data)
 
 
+def test_classes_alone_in_a_part_of_a_split_column(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "_BLOCK_ROWS", 4)
+    texts = []
+    for g in range(24):
+        base = [f"g{g}w{i}" for i in range(60)]
+        texts += [" ".join(base)] * 6 + [" ".join([*base[:-1], "other"])]
+    data = list(enumerate(texts))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, jaccard_components(df).collect())) == brute(data)
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     schema = "doc_id long, text string"
     got = jaccard_components(spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (0, "a b c d e f")], schema)).collect()
