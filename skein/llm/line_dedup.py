@@ -6,27 +6,25 @@ distributed union-find; one line of each component stays."""
 from __future__ import annotations
 
 import random
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import materialise, tasks
 from .components import components
 
-#: Characters of a shingle, minima of a signature, and the bands: twelve sets of five minima, drawn once and for all.
-SHINGLE, MINIMA = 5, 20
+#: Characters of a shingle, minima of a signature, and the bands: twelve sets of four minima, each minimum in two of them, drawn
+#: once and for all.
+SHINGLE, MINIMA = 5, 24
 _DRAW = random.Random(5)
-BANDS = tuple(tuple(sorted(_DRAW.sample(range(MINIMA), 5))) for _ in range(12))
-#: Of sixteen minima, four bits each, so many must agree before the lines of a pair are compared; at a similarity of 0.75 some
-#: three in a thousand pairs that share a band do not.
-AGREE = 9
+BANDS = tuple(tuple(sorted(order[i : i + 4])) for order in (_DRAW.sample(range(MINIMA), MINIMA) for _ in range(2)) for i in range(0, MINIMA, 4))
 #: Shingles of a chunk of a line, rows of a bucket that one task pairs, and counters that tell large buckets.
 _CHUNK, _BUCKET_ROWS, _COUNTERS = 4096, 50_000, 1 << 16
 
 
 def _mask(i: int) -> int:
-    """The i-th of the fixed numbers that turn one hash into several orders of the shingles."""
-    return (i * 2654435761 + 0x3C6EF372 + (i * i * 40503 << 7)) % 2**31 * (-1 if i % 2 else 1)
+    """The i-th of the fixed numbers that turn one hash into several orders of the shingles. Their first five bits all differ, so
+    that the minima of a line come from different parts of the hash space."""
+    return (int(f"{i:05b}"[::-1], 2) << 27 | random.Random(i).getrandbits(27)) - 2**31
 
 
 def _units(line: str = "line") -> Column:
@@ -57,14 +55,6 @@ def signatures(lines: DataFrame) -> DataFrame:
     return hashed.groupBy("k1", "k2").agg(F.min("pos").alias("pos"), *minima).drop("k1", "k2")
 
 
-def _alike(a: Column, b: Column) -> Column:
-    """Whether enough of two sketches' sixteen minima agree."""
-    x = a.bitwiseXOR(b)
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-    return 16 - F.bit_count(x) >= AGREE
-
-
 def _grams(line: str) -> Column:
     """The distinct hashes of a line's shingles. The line's units are bound, or each shingle would make them anew."""
     hashes = f"transform(sequence(0, {_last('u')}), i -> xxhash64(substring(u, 4 * i + 1, {4 * SHINGLE})))"
@@ -92,9 +82,7 @@ def similar_lines(lines: DataFrame, num: int, den: int) -> DataFrame:
     paired, so that groups of copies cost their size. Large buckets are dealt to several tasks by counters of a fixed number."""
     spark = lines.sparkSession
     signed = materialise(signatures(lines))
-    sketch = reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(15)).cast("long"), 4 * i) for i in range(16)])
     names = F.array(*[F.xxhash64(F.lit(b), *[f"m{i}" for i in rows]) for b, rows in enumerate(BANDS)])
-    sketches = signed.select("pos", sketch.alias("sketch"))
     bands = signed.select("pos", F.explode(names).alias("band"))
     counter = F.pmod("band", F.lit(_COUNTERS))
     large = bands.groupBy(counter.alias("counter")).count().where(f"count > {_BUCKET_ROWS}")  # at most 2**16 rows
@@ -106,18 +94,16 @@ def similar_lines(lines: DataFrame, num: int, den: int) -> DataFrame:
     kept = materialise(met.where("c > 1 or part > 0").select("band", "pos", "first"))
     heads = kept.where("pos = first").groupBy("band").agg(F.min("pos").alias("head"), F.count("*").alias("c")).where("c > 1")
     across = kept.where("pos = first").join(heads, "band").where("pos <> head").select(F.col("head").alias("a"), F.col("pos").alias("b"))
-    met = kept.where("pos <> first").select(F.col("first").alias("a"), F.col("pos").alias("b")).union(across).distinct()
-    with_sketches = met.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b")
-    pairs = materialise(with_sketches.where(_alike(F.col("x"), F.col("y"))).select("a", "b"))
+    pairs = materialise(kept.where("pos <> first").select(F.col("first").alias("a"), F.col("pos").alias("b")).union(across).distinct())
     links = _verified(lines, pairs, num, den)
     so_far = materialise(components(links))
     # joins by merging at every size: a side that is small here is large elsewhere
     placed = kept.select("band", "pos").join(so_far.withColumnRenamed("node", "pos").hint("merge"), "pos", "left").withColumn("component", F.coalesce("component", "pos"))
     placed = materialise(placed)
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    placed = materialise(placed.join(mixed.hint("merge"), "band").join(sketches, "pos"))
+    placed = materialise(placed.join(mixed.hint("merge"), "band"))
     x, y = placed.alias("x"), placed.alias("y")
-    rest = x.join(y, F.col("x.band") == F.col("y.band")).where("x.pos < y.pos and x.component <> y.component").where(_alike(F.col("x.sketch"), F.col("y.sketch"))).select(F.col("x.pos").alias("a"), F.col("y.pos").alias("b"))
+    rest = x.join(y, F.col("x.band") == F.col("y.band")).where("x.pos < y.pos and x.component <> y.component").select(F.col("x.pos").alias("a"), F.col("y.pos").alias("b"))
     rest = materialise(rest.distinct().join(pairs, ["a", "b"], "left_anti"))
     return components(links.union(_verified(lines, rest, num, den))).repartition(tasks(spark), "node")
 
@@ -138,7 +124,7 @@ def dedup_lines(docs: DataFrame, num: int = 75, den: int = 100, id_col: str = "d
     of (line, kept_doc, kept_line) of the lines that went, numbered from 0. The text column has the lines that stay, in order.
 
     Lines are cut at line feeds and compared trimmed; two are similar when the Jaccard similarity of their sets of five-character shingles
-    is num/den or more; a shorter line is one shingle. The banding finds a pair of that similarity with a probability of about 0.88, one of 0.85 of more than 0.99, more alike ones
+    is num/den or more; a shorter line is one shingle. The banding finds a pair of that similarity with a probability of about 0.98, more alike ones
     nearly always; equal lines always. Blank lines stay and are compared with nothing. A null text stays null, with no lines. A document
     with a null id stays as it is. Rows with one id count as one document and lose the same lines. An empty table gives an empty result.
     Ids times the longest text's bytes must fit a long. Without with_text the text column is left out and texts are not shuffled."""

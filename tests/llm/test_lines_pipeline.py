@@ -66,6 +66,24 @@ def test_lines_match_brute_force(spark):
     assert dedup_lines(df.where("false")).count() == 0
 
 
+def test_recall_at_the_threshold(spark):
+    rng = random.Random(12)
+    pairs = []
+    while len(pairs) < 1000:
+        a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice([40, 60, 100, 200])))
+        b = list(a)
+        for _ in range(len(a) // 30):
+            b[rng.randrange(len(a))] = rng.choice("0123456789")
+        x, y = grams(a), grams("".join(b))
+        if 75 * len(x | y) <= 100 * len(x & y) <= 78 * len(x | y):
+            pairs.append((a, "".join(b)))
+    data = [(i, line) for i, line in enumerate(x for p in pairs for x in p)]
+    got = dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    gone = {r.doc_id for r in got if r.n_kept == 0}
+    assert gone <= set(range(1, 2000, 2))
+    assert len(gone) >= 970
+
+
 def test_many_near_copies_cost_their_number(spark):
     base = "the quick brown fox jumps over the lazy dog and runs along the river bank until night falls again"
     data = [(i, base + f" {i:04d}") for i in range(400)]
