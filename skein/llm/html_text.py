@@ -133,13 +133,6 @@ def host(url: str | None) -> str:
     return m[1].lower() if url and (m := _HOST.match(url)) else ""
 
 
-def main_blocks(found: list[Block]) -> tuple[list[Block], bool]:
-    """What may be the article, and whether that is sure: a page that has an element for it holds it there."""
-    kept = [b for b in found if not b.noise]
-    own = [b for b in kept if b.article]
-    return (own, True) if own else (kept, not kept)
-
-
 def _key(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - 2**63
 
@@ -173,49 +166,46 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return nodes.select("site", "path", "pages", importance.alias("importance"))
 
 
-def _text(sure: bool):
-    """The main text of pages that need no look at their host's tree, or the blocks of those that do."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for page, url, html in zip(*(b.column(n).to_pylist() for n in ("page_id", "url", "html")), strict=True):
-                kept, certain = main_blocks(blocks(html))
-                if certain != sure:
-                    continue
-                if sure:
-                    rows.append((page, url, "\n".join(x.text for x in kept)))
-                else:
-                    at = [x.path.split("/") for x in kept]
-                    rows.append((page, url, _key(html), _key(host(url)), [{"text": x.text, "paths": [_key("/".join(p[:i])) for i in range(2, len(p) + 1) if p[i - 1].partition(".")[0] not in ("html", "body")]} for x, p in zip(kept, at, strict=True)]))
-            if rows:
-                block = pa.list_(pa.struct([("text", pa.string()), ("paths", pa.list_(pa.int64()))]))
-                kinds = [pa.int64(), pa.string(), pa.string()] if sure else [pa.int64(), pa.string(), pa.int64(), pa.int64(), block]
-                names = ["page_id", "url", "text"] if sure else ["page_id", "url", "page", "site", "blocks"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    return run
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's blocks that its own marks do not call noise, with the nodes from the body's children down that hold them."""
+    block = pa.list_(pa.struct([("text", pa.string()), ("paths", pa.list_(pa.int64())), ("leaf", pa.int64()), ("article", pa.bool_())]))
+    kinds, names = [pa.int64(), pa.string(), pa.int64(), pa.int64(), block], ["page_id", "url", "page", "site", "blocks"]
+    for b in batches:
+        rows = []
+        for page, url, html in zip(*(b.column(n).to_pylist() for n in ("page_id", "url", "html")), strict=True):
+            found = []
+            for x in blocks(html):
+                if not x.noise:
+                    p = x.path.split("/")
+                    paths = [_key("/".join(p[:i])) for i in range(2, len(p) + 1) if p[i - 1].partition(".")[0] not in ("html", "body")]
+                    found.append({"text": x.text, "paths": paths, "leaf": paths[-1] if paths else None, "article": x.article})
+            rows.append((page, url, _key(html), _key(host(url)), found))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def main_text(pages: DataFrame, low: float = LOW_IMPORTANCE, least: int = LEAST_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The main text of each page: (page_id, url, text, n_chars), blocks in page order joined by a line feed.
 
-    Blocks that their own marks call a menu, a head, a foot, a notice, an advert, a form or comments are left out. A page with an
-    article or main element has its text there; of any other page the blocks stay whose nodes, from the body's children down, have an importance of
-    `low` or more in the tree of their host, or stand on fewer than `least` of its pages. If that leaves none, all of them stay.
+    Of every page the blocks go whose nodes, from the body's children down, have an importance below `low` in the tree of their host
+    and stand on `least` of its pages or more, inside an article or main element too. The marks are hints beside the tree: what they call a
+    menu, a head, a foot, a notice, an advert, a form or comments is left out, and on a page with an article or main element a block outside it
+    stays only if its node is on `least` pages or more, so that the tree vouches for it. If that leaves none, the article's blocks stay, or all without marks.
 
     Null pages are empty and have an empty text. Null urls belong to the host ''. Repeated ids and pages keep their rows.
     An empty table gives an empty result. Other columns are ignored."""
     short_batches(pages.sparkSession)
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    certain = source.mapInArrow(_text(True), "page_id long, url string, text string")
-    unsure = source.mapInArrow(_text(False), "page_id long, url string, page long, site long, blocks array<struct<text:string,paths:array<long>>>")
-    cut = style_tree(source.select("url", "html")).where((F.col("importance") < low) & (F.col("pages") >= least)).select("site", "path")
-    # one row a page and node; the paths to cut come back by page, so no host's tree is held whole
-    wanted = unsure.select("page", "site", F.explode(F.array_distinct(F.flatten("blocks.paths"))).alias("path")).distinct()
-    lows = wanted.join(cut, ["site", "path"]).groupBy("page").agg(F.collect_set("path").alias("low"))
-    joined = unsure.join(lows, "page", "left").withColumn("low", F.coalesce("low", F.array().cast("array<long>")))
-    kept = F.filter("blocks", lambda x: ~F.arrays_overlap(x["paths"], "low"))
-    kept = F.when(F.size(kept) > 0, kept).otherwise(F.col("blocks"))
-    rest = joined.select("page_id", "url", F.array_join(F.transform(kept, lambda x: x["text"]), "\n").alias("text"))
-    return certain.union(rest).withColumn("n_chars", F.char_length("text").cast("long"))
+    marked = source.mapInArrow(_marked, "page_id long, url string, page long, site long, blocks array<struct<text:string,paths:array<long>,leaf:long,article:boolean>>")
+    known = style_tree(source.select("url", "html")).where(F.col("pages") >= least)
+    # one row a page and node; what the tree knows of them comes back by page, so no host's tree is held whole
+    wanted = marked.select("page", "site", F.explode(F.array_distinct(F.flatten("blocks.paths"))).alias("path")).distinct()
+    cut = F.when(F.col("importance") < low, F.col("path"))
+    judged = wanted.join(known, ["site", "path"]).groupBy("page", "site").agg(F.collect_set(cut).alias("low"), F.collect_set("path").alias("known"))
+    none = F.array().cast("array<long>")
+    joined = marked.join(judged, ["page", "site"], "left").withColumns({"low": F.coalesce("low", none), "known": F.coalesce("known", none), "own": F.filter("blocks", lambda x: x["article"])})
+    vouched = lambda x: x["article"] | (F.size("own") == 0) | F.coalesce(F.array_contains("known", x["leaf"]), F.lit(False))
+    kept = F.filter("blocks", lambda x: ~F.arrays_overlap(x["paths"], "low") & vouched(x))
+    kept = F.when(F.size(kept) > 0, kept).when(F.size("own") > 0, F.col("own")).otherwise(F.col("blocks"))
+    found = joined.select("page_id", "url", F.array_join(F.transform(kept, lambda x: x["text"]), "\n").alias("text"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))

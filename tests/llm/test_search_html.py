@@ -61,3 +61,11 @@ def test_style_tree_cuts_what_a_host_repeats(spark):
     assert got[99] == "Welcome to us\nx\ny\nAll rights"
     assert got[100] == "Welcome to us\nsame\npage\nAll rights"
     assert style_tree(df).where("importance < 0 or importance > 1.000001").count() == 0
+
+
+def test_style_tree_decides_on_pages_with_an_article(spark):
+    body = "<body><nav>menu {0}</nav><div class='c'><p>body {0}</p></div><article><div class='x'>Follow us</div><p>more {0}</p></article></body>"
+    pages = [(i, f"https://same.example/{i}", body.format(i)) for i in range(12)] + [(99, "https://other.example/", body.format(99))]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"body {i}\nmore {i}" for i in range(12))
+    assert got[99] == "Follow us\nmore 99"
