@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 pytest.importorskip("skein.llm.secret_scan")
@@ -71,3 +72,12 @@ def test_quality_on_held_out_rows(spark):
     assert by[900] == by[901]
     none = quality_scores(df, spark.createDataFrame([], "doc_id long, quality int")).select("score").distinct().collect()
     assert [r.score for r in none] == [0.5]
+
+
+def test_threshold_keeps_the_recall_below_one_half(monkeypatch):
+    from skein.llm import secret_scan
+
+    monkeypatch.setattr(secret_scan, "_convolve", lambda w, x: (x[:, 0].astype(float),))
+    x, y = (np.arange(400) % 7)[:, None], np.arange(400) % 10 == 0
+    w = secret_scan.calibrate({}, x, y, 0.95)
+    assert (secret_scan.predict(w, x[y]) >= w["threshold"]).mean() >= 0.95
