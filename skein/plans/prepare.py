@@ -275,7 +275,7 @@ def packed_paragraphs(spark, sf_dir) -> DataFrame:
 
 def entity_surfaces(spark, sf_dir) -> DataFrame:
     lines = documents(spark, sf_dir).select("source_file", F.lit(0).alias("pos"), "text")
-    return cleaning.surfaces(lines, ["the", "der"], ["and", "of"]).groupBy("phrase").agg(F.sum("count").alias("n")).where("n >= 5")
+    return cleaning.surfaces(lines, ["the", "der"], ["and", "of"]).groupBy("phrase").agg(F.sum("count").alias("n"))
 
 
 def store_parity(spark, sf_dir) -> DataFrame:

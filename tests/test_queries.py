@@ -95,3 +95,10 @@ def test_ingest_marks_after_writing(spark, tmp_path):
         events.ingest(stream, write, str(tmp_path / "ledger"), str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     assert spark.read.parquet(str(tmp_path / "ledger")).where(F.col("status") == "ok").count() == 2
+
+
+def test_entity_surfaces_keep_rare_ones(spark):
+    every = plans.QUERIES["entity_surfaces"](spark, SF)
+    rare = every.where("n < 5").count()
+    print("surfaces", every.count(), "rare", rare)
+    assert rare > 0
