@@ -81,3 +81,52 @@ def test_threshold_keeps_the_recall_below_one_half(monkeypatch):
     x, y = (np.arange(400) % 7)[:, None], np.arange(400) % 10 == 0
     w = secret_scan.calibrate({}, x, y, 0.95)
     assert (secret_scan.predict(w, x[y]) >= w["threshold"]).mean() >= 0.95
+
+
+def test_candidates_are_the_runs():
+    from skein.llm.secret_scan import MIN_CANDIDATE, MIN_WITHOUT_DIGIT, candidate_spans
+
+    rng = random.Random(7)
+    for text in [*filter(None, texts()), "", "a" * 20, "a" * 20 + "1", "x٣" + "b" * 25, "1234567", "12345678", *("".join(rng.choice("aZ0.@ é\n") * rng.randrange(1, 9) for _ in range(30)) for _ in range(300))]:
+        runs = [m for m in re.finditer(r"[A-Za-z0-9+/_=.@-]+", text) if len(m[0]) >= (MIN_CANDIDATE if re.search("[0-9]", m[0]) else MIN_WITHOUT_DIGIT)]
+        assert candidate_spans(text) == [m.span() for m in runs], text
+
+
+def _secret_texts(rng, counts):
+    key = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    hexa, digits = "0123456789abcdef", "0123456789"
+    word = lambda: key("aeiounrst", rng.randrange(2, 9))
+    kinds = {
+        "known": lambda: rng.choice(["token = ", "", "password="]) + key(hexa, rng.choice([24, 32, 40])),
+        "missed": lambda: key(hexa, 22),
+        "other": lambda: rng.choice([lambda: key(digits, 16), lambda: f"{word()}.{key(digits, 2)}@mail.example.com", lambda: ".".join(key(digits, 3) for _ in range(4)), lambda: f"https://{word()}.example/{word()}/{key(digits, 4)}"])(),
+    }
+    return [(" ".join([word(), word(), kinds[k](), word(), word()]), k) for k, n in counts.items() for _ in range(n)]
+
+
+def test_network_finds_what_the_patterns_miss(spark):
+    from skein.llm.secret_scan import redact
+
+    data = [(i, t, k) for i, (t, k) in enumerate(_secret_texts(random.Random(11), {"known": 200, "missed": 10, "other": 300}))]
+    got = {r.doc_id: r.spans for r in secret_spans(spark.createDataFrame(data, "doc_id long, text string, kind string")).collect()}
+    hits = {k: sum("model:" in got[i] for i, _, kind in data if kind == k) for k in ("missed", "other")}
+    assert hits["missed"] >= 5 and hits["other"] <= 9, hits
+    again = {r.doc_id: r.text for r in redact(spark.createDataFrame(data, "doc_id long, text string, n_secrets string")).collect()}
+    assert all(("[SECRET]" in again[i]) == bool(got[i]) for i, _, _ in data)
+
+
+def test_network_recalls_held_out_findings():
+    from skein.llm.secret_scan import base_spans, candidate_spans, learn, predict, windows
+
+    def sample(seed, n):
+        out = {True: [], False: []}
+        for t, _ in _secret_texts(random.Random(seed), {"known": n, "other": n}):
+            base = base_spans(t)
+            for s, e in candidate_spans(t):
+                out[any(x < e and s < y for x, y, _ in base)].append(windows(t, s, e)[0])
+        return np.stack(out[True]), np.stack(out[False])
+
+    w = learn(*sample(1, 300), 0.95)
+    yes, no = sample(2, 400)
+    assert (predict(w, yes) >= w["threshold"]).mean() >= 0.9
+    assert (predict(w, no) >= w["threshold"]).mean() <= 0.03
