@@ -23,7 +23,6 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     vocabulary = tokenizer.get_vocab()
     closes = np.zeros(max(vocabulary.values()) + 1, bool)
     closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -52,9 +51,10 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     stems.update(zip(",.", alone([",", "."]), strict=True))
 
     def learn(words: list[str], into: dict[str, bytes]) -> None:
-        """A final mark after a letter is a run of its own, and case does not count: few distinct stems are left to encode."""
-        parts = [((w[:-1], w[-1]) if w[-1] in ",." and w[-2:-1].isalpha() else (w, "")) for w in words]
-        parts = [(s.lower() if s.isascii() else s, mark) for s, mark in parts]
+        """A final mark after a letter is a run of its own, and case does not count: few distinct stems are left to encode. A letter must be one in lower
+        case too, where some become a letter and an accent; special tokens, which count in their own case, are left whole."""
+        parts = [((w[:-1], w[-1]) if w[-1] in ",." and w[-2:-1].lower().isalpha() and "<|" not in w else (w, "")) for w in words]
+        parts = [(s.lower() if s.isascii() and "<|" not in s else s, mark) for s, mark in parts]
         if missing := {s for s, _ in parts}.difference(stems):
             if len(stems) + len(missing) > _CACHED_WORDS:
                 kept = {mark: stems[mark] for mark in ",."}

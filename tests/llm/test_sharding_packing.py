@@ -53,10 +53,10 @@ def test_first_fit_decreasing_is_first_fit():
 def test_pieces_hold_every_id_once(spark):
     from tokenizers import Tokenizer
 
-    data = [*rows(20), (90, "Odd\x1cspace É<|endoftext|> don't 123", "x", 1)]
+    odd = ["Odd\x1cspace É<|endoftext|> don't 123", "a<|startoftext|>b <|ENDOFTEXT|>. <|endoftext|>, <|endoftext|>", "Ĺẞİ. İ, ẞ. Ǆ. ŉ, ﬁ. a\u0301. K. Å,", "x<|endof text|> <| |>"]
+    data = [*rows(20), *((90 + i, t, "x", 1) for i, t in enumerate(odd))]
     got = pack(spark.createDataFrame(data, SCHEMA), vocabulary("word_bpe_49k.json"), length=64, group_pieces=50).collect()
     t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     want = []
     for doc, text, *_ in data:
         ids = np.asarray([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
