@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
 WORD = r"[\p{L}\p{M}\p{N}_]+"
-#: Sentence ends of Latin and Devanagari text, and how many tokens a word counts.
+#: Marks that may stand at a token's edges, sentence ends of Latin and Devanagari text, and how many tokens a word counts.
+EDGE_MARKS = ",।॥.!?;:\"'()[]{}—–-"
 SENTENCE_BREAK = r"(?<=[.!?।॥])(?U)\s+|(?<=[।॥])(?=\S)"
 TOKENS_A_WORD = 1.3
 
@@ -134,57 +136,75 @@ def json_object(text: Column) -> Column:
     return F.when(found != "", found)
 
 
+def lines(text: Column, use: Callable[[Column], Column]) -> Column:
+    """use of each line, joined by line feeds."""
+    return F.array_join(F.transform(F.split(text, "\n"), use), "\n")
+
+
 def map_tokens(text: Column, rules: dict[str, str]) -> Column:
-    """Whole tokens rewritten by a small fixed map, their outer punctuation kept, white space made single."""
-    if not rules:
-        return F.concat_ws(" ", words(text))
-    table = F.create_map(*[F.lit(x) for kv in rules.items() for x in kv])
-    edge = r"^([^\p{L}\p{M}\p{N}]*)(.*?)([^\p{L}\p{M}\p{N}]*)$"
+    """Whole tokens rewritten by a small fixed map, their edge marks kept, white space made single, line by line."""
+    table = F.create_map(*[F.lit(x) for kv in rules.items() for x in kv]) if rules else None
 
     def one(t: Column) -> Column:
-        bare = F.regexp_extract(t, edge, 2)
-        return F.concat(F.regexp_extract(t, edge, 1), F.coalesce(F.element_at(table, bare), bare), F.regexp_extract(t, edge, 3))
+        bare = F.btrim(t, F.lit(EDGE_MARKS))
+        head = F.call_function("substring_index", t, bare, F.lit(1))
+        return F.when(bare == "", t).otherwise(F.concat(head, F.coalesce(F.element_at(table, bare), bare), F.substr(t, F.length(head) + F.length(bare) + 1)))
+
+    return lines(text, lambda x: F.array_join(F.transform(words(x), one) if rules else words(x), " "))
+
 
-    return F.concat_ws(" ", F.transform(words(text), one))
+def mapped_count(text: Column, rules: dict[str, str]) -> Column:
+    """How many tokens of a text map_tokens rewrites."""
+    return F.size(F.filter(words(text), lambda t: F.btrim(t, F.lit(EDGE_MARKS)).isin(list(rules)))) if rules else F.lit(0)
 
 
 def strip_glosses(text: Column) -> Column:
     """Text without bracketed Latin asides, and those asides."""
-    pattern = r"\(([A-Za-z][A-Za-z0-9 ,.'-]*)\)"
-    plain = F.trim(F.regexp_replace(F.regexp_replace(text, r"\s*" + pattern, ""), r" {2,}", " "))
-    return F.struct(plain.alias("text"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("glosses"))
+    pattern = r"\s*\(\s*([A-Za-z][A-Za-z0-9 '\-/&.]*)\s*\)"
+    return F.struct(F.regexp_replace(text, pattern, "").alias("text"), F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda g: F.trim(g)).alias("glosses"))
 
 
 def excise(text: Column, heads: list[str], tails: list[str]) -> Column:
-    """Text without phrases that recognisers are known to invent, and how many there were."""
-    pattern = f"(?:{'|'.join(heads)})(?:[\\s,]+(?:{'|'.join(tails)})){{0,8}}[\\s,]*"
-    return F.struct(F.regexp_replace(text, pattern, "").alias("text"), F.regexp_count(text, F.lit(pattern)).alias("n"))
+    """Text with phrases that recognisers are known to invent replaced by a space and tidied, and how many there were. Heads and tails are plain words."""
+    if not heads:
+        return F.struct(text.alias("text"), F.lit(0).alias("n"))
+    plain = lambda some: "|".join(map(re.escape, some))
+    pattern = f"(?:{plain(heads)})" + (f"(?:[\\s,]+(?:{plain(tails)})){{0,8}}" if tails else "") + "[\\s,]*"
+    return F.struct(tidy(F.regexp_replace(text, pattern, " ")).alias("text"), F.regexp_count(text, F.lit(pattern)).alias("n"))
 
 
 def tidy(text: Column) -> Column:
-    """No space before punctuation, no doubled marks or spaces."""
-    out = F.regexp_replace(text, r"[ \t]+([,.!?;:।])", "$1")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"([,;:])(?:\s*[,;:])+", "$1"), r"[ \t]{2,}", " "))
+    """One comma for several, no space before a comma or danda, single spaces, lines trimmed."""
+    out = F.regexp_replace(F.regexp_replace(text, r",(?:[ \t]*,)+", ","), r"[ \t]+([,।॥])", "$1")
+    return lines(F.regexp_replace(out, r"[ \t]{2,}", " "), lambda x: F.btrim(x, F.lit(" \t\r")))
+
+
+def _runs(toks: Column, use: Callable[[Column], Column]) -> Column:
+    """use(array of (s, n)): where each run of tokens that are equal but for edge marks starts, and its length. A mark alone is a run of its own."""
+
+    def found(starts: Column) -> Column:
+        return use(F.transform(starts, lambda s, k: F.struct(s.alias("s"), (F.coalesce(F.get(starts, k + 1), F.size(toks) + 1) - s).alias("n"))))
+
+    begins = lambda b: F.filter(F.sequence(F.lit(1), F.size(b)), lambda i: (i == 1) | (F.get(b, i - 1) != F.get(b, i - 2)) | (F.get(b, i - 1) == ""))
+    return bound(F.transform(toks, lambda t: F.btrim(t, F.lit(EDGE_MARKS))), lambda b: bound(begins(b), found))
 
 
 def collapse_loops(text: Column, least: int = 6, keep: int = 3) -> Column:
-    """Runs of `least` or more equal tokens shortened to `keep`, line by line: a fold over the tokens that carries the run."""
+    """Runs of `least` or more tokens that are equal but for edge marks shortened to `keep`, line by line; white space becomes one space."""
     if least < 6 or keep < 3:
         raise ValueError("runs below six tokens, or fewer than three kept, would cut ordinary speech")
 
-    def joined(toks: Column, starts: Column) -> Column:
-        runs = F.transform(starts, lambda s, k: F.struct(s.alias("s"), (F.coalesce(F.get(starts, k + 1), F.size(toks) + 1) - s).alias("n")))
-        return F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(toks, r["s"], F.when(r["n"] >= least, F.lit(keep)).otherwise(r["n"])))), " ")
+    def short(toks: Column) -> Column:
+        cut = lambda r: F.slice(toks, r["s"], F.when(r["n"] >= least, F.lit(keep)).otherwise(r["n"]))
+        return F.when(F.size(toks) == 0, "").otherwise(_runs(toks, lambda runs: F.array_join(F.flatten(F.transform(runs, cut)), " ")))
 
-    def by_token(toks: Column) -> Column:
-        # a run starts where the token before differs; its length is the distance to the next start
-        starts = F.filter(F.sequence(F.lit(1), F.size(toks)), lambda i: (i == 1) | (F.get(toks, i - 1) != F.get(toks, i - 2)))
-        return bound(starts, lambda found: joined(toks, found))
+    return lines(text, lambda x: bound(words(x), short))
 
-    def line(x: Column) -> Column:
-        return bound(F.split(x, " "), by_token)
 
-    return F.array_join(F.transform(F.split(text, "\n"), line), "\n")
+def loop_count(text: Column, least: int = 6) -> Column:
+    """How many runs collapse_loops shortens."""
+    count = lambda toks: F.when(F.size(toks) == 0, 0).otherwise(_runs(toks, lambda runs: F.size(F.filter(runs, lambda r: r["n"] >= least))))
+    return F.aggregate(F.transform(F.split(text, "\n"), lambda x: bound(words(x), count)), F.lit(0), lambda s, n: s + n)
 
 
 def chunk_header(source: Column, start: Column, end: Column, speakers: Column, facts: list[Column] | None = None) -> Column:

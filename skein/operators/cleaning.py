@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import bound, excise, map_tokens, collapse_loops, strip_glosses, tidy, words
+from ..functions.text import bound, collapse_loops, excise, loop_count, map_tokens, mapped_count, strip_glosses, tidy, words
 
 #: Shares of the raw words below and above which a cleaned text is not trusted, words from which that is asked, and a loop's share.
 TOO_FEW, TOO_MANY, ASKED_FROM, LOOP = 0.85, 1.15, 50, 0.10
@@ -28,11 +28,22 @@ def best_text(raw: Column, cleaned_text: Column, cleaned_json: Column) -> Column
     return F.when(cleaned.isNotNull() & usable(cleaned, raw), cleaned).otherwise(raw)
 
 
-def normalised(text: Column, loanwords: dict[str, str], natives: dict[str, str], heads: list[str], tails: list[str]) -> Column:
-    """All normalisations in their order: inventions cut, loops shortened, token maps, Latin asides stripped, punctuation tidied."""
-    out = excise(text, heads, tails)["text"] if heads and tails else text
-    out = map_tokens(map_tokens(collapse_loops(out), loanwords), natives)
-    return tidy(strip_glosses(out)["text"])
+def normalised(text: Column, loanwords: dict[str, str], natives: dict[str, str], heads: list[str], tails: list[str], spellings: dict[str, str] | None = None) -> Column:
+    """(text, glosses, counts) after all normalisations in their order: token maps, Latin asides stripped, inventions cut, loops shortened, punctuation tidied.
+    counts has how often each acted."""
+    maps = {"loanwords": loanwords, "natives": natives, "spellings": spellings or {}}
+
+    def mapped(now: Column, left: list[str], counts: list[Column]) -> Column:
+        if left:
+            rules = maps[left[0]]
+            return bound(F.struct(map_tokens(now, rules).alias("t"), mapped_count(now, rules).alias("n")), lambda x: mapped(x["t"], left[1:], [*counts, x["n"].alias(left[0])]))
+        return bound(strip_glosses(now), lambda g: bound(excise(g["text"], heads, tails), lambda e: done(g, e, counts)))
+
+    def done(g: Column, e: Column, counts: list[Column]) -> Column:
+        every = F.struct(*counts, F.size(g["glosses"]).alias("glosses"), e["n"].alias("inventions"), loop_count(e["text"]).alias("loops"))
+        return F.struct(tidy(collapse_loops(e["text"])).alias("text"), g["glosses"].alias("glosses"), every.alias("counts"))
+
+    return mapped(text, list(maps), [])
 
 
 def align(segments: list[str], cleaned: str) -> list[str]:

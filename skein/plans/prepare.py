@@ -26,7 +26,7 @@ def titles(spark, sf_dir) -> DataFrame:
 
 
 def languages(spark, sf_dir) -> DataFrame:
-    mixed = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("कैसे हैं आप सब लोग आज "), F.substring("text", 1, 40))).otherwise(F.col("text"))
+    mixed = F.when(F.col("doc_id") % 3 == 0, F.concat(F.repeat(F.lit("कैसे हैं आप सब लोग आज "), F.expr("cast(doc_id % 60 as int)")), F.col("text"))).otherwise(F.col("text"))
     return documents(spark, sf_dir).groupBy(T.language(mixed).alias("language")).agg(F.count("*").alias("n"))
 
 
@@ -40,7 +40,8 @@ def loop_collapse(spark, sf_dir) -> DataFrame:
 
 def normalised_texts(spark, sf_dir) -> DataFrame:
     out = cleaning.normalised(F.col("text"), {"the": "THE"}, {"de": "DE"}, ["lorem"], ["ipsum"])
-    return documents(spark, sf_dir).select("doc_id", F.length(out).alias("length"))
+    found = documents(spark, sf_dir).select("doc_id", out.alias("x"))
+    return found.select("doc_id", F.md5("x.text").alias("digest"), F.col("x.counts.loanwords").cast("long").alias("loanwords"), F.col("x.counts.loops").cast("long").alias("loops"))
 
 
 def array_dedupe(spark, sf_dir) -> DataFrame:
@@ -103,7 +104,7 @@ def file_rollup(spark, sf_dir) -> DataFrame:
 def joined_texts(spark, sf_dir) -> DataFrame:
     """A file's chunks as one text, undated ones last."""
     c = table(spark, sf_dir, "conversations").withColumn("start", F.when(F.col("turn") % 3 != 1, F.col("turn")))
-    order = F.sort_array(F.collect_list(F.struct(F.col("start").isNull().alias("late"), F.col("start"), F.col("turn"), F.substring("text", 1, 20).alias("t"))))
+    order = F.sort_array(F.collect_list(F.struct(F.col("start").isNull().alias("late"), F.col("start"), F.col("turn"), F.col("text").alias("t"))))
     return c.groupBy("conv_id").agg(F.array_join(F.transform(order, lambda s: s["t"]), " ").alias("text"))
 
 
@@ -265,7 +266,7 @@ def chunk_headers(spark, sf_dir) -> DataFrame:
 
 def summary_texts(spark, sf_dir) -> DataFrame:
     d = documents(spark, sf_dir)
-    blank = F.when(F.col("doc_id") % 2 == 0, F.lit(" ")).otherwise(F.substring("text", 1, 20))
+    blank = F.when(F.col("doc_id") % 2 == 0, F.lit(" ")).otherwise(F.col("text"))
     return d.select("doc_id", T.summary_text(F.col("source"), F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.col("speakers")), blank, F.col("lang")).alias("text"))
 
 
@@ -289,7 +290,7 @@ SQL = {
     "unique_ratios": f"SELECT doc_id, round(CASE WHEN len(w) = 0 THEN 1.0 ELSE len(list_distinct(w)) / len(w)::DOUBLE END, 6) AS ratio FROM (SELECT doc_id, {_STATE_SQL} AS w FROM documents)",
     "sentence_split": r"SELECT doc_id, count(*) AS n, max(length(s)) AS longest FROM (SELECT doc_id, trim(s, ' ' || chr(10)) AS s FROM (SELECT doc_id, unnest(string_split(regexp_replace(trim(text), '([.!?।॥])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents)) WHERE s <> '' GROUP BY 1",
     "titles": "SELECT conv_id, turn, CASE WHEN length(l) > 80 THEN rtrim(left(l, 79)) || '…' ELSE l END AS title FROM (SELECT conv_id, turn, trim(string_split(trim(text), chr(10))[1]) AS l FROM conversations)",
-    "languages": r"SELECT CASE WHEN d / nullif(d + l, 0)::DOUBLE >= 0.2 THEN 'hindi' ELSE 'english' END AS language, count(*) AS n FROM (SELECT length(regexp_replace(t, '[^ऀ-ॿ]', '', 'g')) AS d, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS l FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'कैसे हैं आप सब लोग आज ' || left(text, 40) ELSE text END AS t FROM documents)) GROUP BY 1",
+    "languages": r"SELECT CASE WHEN d / nullif(d + l, 0)::DOUBLE >= 0.2 THEN 'hindi' ELSE 'english' END AS language, count(*) AS n FROM (SELECT length(regexp_replace(t, '[^ऀ-ॿ]', '', 'g')) AS d, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS l FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN repeat('कैसे हैं आप सब लोग आज ', doc_id % 60) || text ELSE text END AS t FROM documents)) GROUP BY 1",
     "repetition_scores": "SELECT doc_id, round(CASE WHEN len(p) < 2 THEN 0.0 ELSE 1 - len(list_distinct(p)) / len(p)::DOUBLE END, 6) AS score FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents)",
     "array_dedupe": "SELECT doc_id, 'values' AS field, CAST(5 AS INTEGER) AS before, CAST(2 AS INTEGER) AS after, source || ',' || lang AS values FROM documents",
     "array_dedupe_summary": "SELECT 'values' AS field, count(*) AS n_rows, count(*) AS removed FROM documents",
@@ -300,7 +301,7 @@ SELECT count(*) AS n, count(*) FILTER (n >= 50 AND r < 0.15) AS loops, count(*)
 SELECT source, CAST(max(chars) AS INTEGER) AS most_chars, CAST(max(ceil(chars / 4.0)) AS BIGINT) AS most_tokens, count(*) FILTER ((n >= 50 AND r < 0.15) OR chars > 6000) AS flagged FROM m GROUP BY 1 HAVING flagged > 0""",
     "dead_letters": f"""SELECT doc_id, CASE WHEN n >= 50 AND d / n::DOUBLE < 0.15 THEN 'asr_loop' ELSE 'single_token' END AS reason, replace(left(text, 200), chr(10), ' ') AS head FROM (SELECT doc_id, text, len({_STATE_SQL}) AS n, len(list_distinct({_STATE_SQL})) AS d FROM documents) WHERE d <= 1 OR (n >= 50 AND d / n::DOUBLE < 0.15)""",
     "file_rollup": "SELECT conv_id, max(turn * 10 + 9) AS end_sec, string_agg(DISTINCT role, ',' ORDER BY role) AS speakers, count(*) AS chunks FROM conversations GROUP BY 1",
-    "joined_texts": "SELECT conv_id, string_agg(left(text, 20), ' ' ORDER BY CASE WHEN turn % 3 <> 1 THEN turn END NULLS LAST, turn) AS text FROM conversations GROUP BY 1",
+    "joined_texts": "SELECT conv_id, string_agg(text, ' ' ORDER BY CASE WHEN turn % 3 <> 1 THEN turn END NULLS LAST, turn) AS text FROM conversations GROUP BY 1",
     "upsert_first_wins": "SELECT o_custkey AS key, min(o_orderkey) AS value FROM orders GROUP BY 1",
     "upsert_last_wins": "WITH a AS (SELECT o_custkey AS key, min(o_orderkey) AS value FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey AS key, max(o_orderkey) AS value FROM orders WHERE o_orderkey % 5 = 1 GROUP BY 1) SELECT coalesce(a.key, b.key) AS key, coalesce(b.value, a.value) AS value FROM a FULL JOIN b ON a.key = b.key",
     "delete_by_source": "SELECT source, count(*) AS n FROM documents WHERE (source, lang) NOT IN (SELECT (source, lang) FROM documents WHERE n_chars > 8000) GROUP BY 1",
@@ -329,7 +330,7 @@ SELECT count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS matched, count(*) FI
     "tags_denormalised": "SELECT source, quality, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2",
     "tag_objects": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'party' ELSE 'satsang' END AS event_type, lang || '|' || source AS topics, doc_id % 5 = 0 AS bad_type FROM documents",
     "chunk_headers": f"WITH {DOCS} SELECT doc_id, 'File: ' || source_file || ' | 00:00:00-' || printf('%02d:%02d:%02d', CAST(floor(duration_sec) AS BIGINT) // 3600, CAST(floor(duration_sec) AS BIGINT) % 3600 // 60, CAST(floor(duration_sec) AS BIGINT) % 60) || ' | Speakers: ' || source || ', ' || lang || ' | ' || lang AS header FROM docs",
-    "summary_texts": "SELECT doc_id, concat_ws(chr(10), source, CASE WHEN doc_id % 3 <> 0 THEN 'Topics: ' || source || ', ' || lang END, CASE WHEN doc_id % 2 = 0 OR trim(left(text, 20)) = '' THEN lang ELSE trim(left(text, 20)) END) AS text FROM documents",
+    "summary_texts": "SELECT doc_id, concat_ws(chr(10), source, CASE WHEN doc_id % 3 <> 0 THEN 'Topics: ' || source || ', ' || lang END, CASE WHEN doc_id % 2 = 0 OR trim(text) = '' THEN lang ELSE trim(text) END) AS text FROM documents",
     "store_parity": "SELECT doc_id AS key, CASE WHEN doc_id % 10 = 7 THEN 'key_only' ELSE 'file_only' END AS side FROM documents WHERE doc_id % 10 IN (3, 7)",
     "path_facts": """SELECT doc_id, 'Dagshai ' || y AS event_id, CAST(y AS INTEGER) AS year, 'DAGSHAI' AS location, make_date(y, 4, doc_id % 28 + 1) AS session_date, CAST(doc_id % 4 + 1 AS INTEGER) AS session_seq, '06:30' AS session_time, CAST(doc_id % 60 + 1 AS INTEGER) AS track_no, 'Song ' || doc_id AS track_title, 'bhajan' AS track_type FROM (SELECT doc_id, doc_id % 20 + 1995 AS y FROM documents)""",
     "catalog_tracks": """WITH x AS (SELECT CAST(o_orderdate AS DATE) AS d, o_orderkey % 5 + 1 AS q, o_custkey % 30 AS k, round(o_totalprice / 10000, 2) AS u FROM orders)

@@ -20,6 +20,24 @@ def test_sentences(spark):
 def test_loops(spark):
     assert one(spark, T.collapse_loops(F.col("t")), t="a a a a a b") == "a a a a a b"
     assert one(spark, T.collapse_loops(F.col("t")), t="a a a a a a b\nओ, ओ, ओ, ओ, ओ, ओ, ओ,") == "a a a b\nओ, ओ, ओ,"
+    for raw, want in (("ओ, " * 8, "ओ, ओ, ओ,"), ("ओ, ओ, ओ ओ, ओ, ओ, ओ ओ", "ओ, ओ, ओ"), ("ॐ\tॐ  ॐ", "ॐ ॐ ॐ"), ("राम " * 5, "राम राम राम राम राम"), ("- - - - - - -", "- - - - - - -"), ("", ""), ("x\n\ny y", "x\n\ny y")):
+        assert one(spark, T.collapse_loops(F.col("t")), t=raw) == want
+    assert one(spark, T.loop_count(F.col("t")), t="राम " * 6 + "\nb " + "ओ, " * 8) == 2
+    assert one(spark, T.collapse_loops(F.col("t")), t="ब्लूम लाइक " * 8).split() == ["ब्लूम", "लाइक"] * 8
+
+
+def test_inventions_are_cut(spark):
+    out = one(spark, T.excise(F.col("t"), ["lorem", "a.b"], ["ipsum"]), t="alorem ipsumb, axb  a.b ipsum, ipsum ,, कर दो")
+    assert (out.text, out.n) == ("a b, axb कर दो", 2)
+    assert one(spark, T.excise(F.col("t"), ["सब्सक्राइब"], ["करते", "हैं"]), t="अब तुम कर दो").text == "अब तुम कर दो"
+
+
+def test_all_normalisations(spark):
+    from skein.operators.cleaning import normalised
+
+    out = one(spark, normalised(F.col("t"), {"gyan": "ज्ञान"}, {"ध्यन": "ध्यान"}, ["सब्सक्राइब"], ["करते"]), t="gyan, ध्यन (Third Eye) है\nसब्सक्राइब करते " + "ओ, " * 7)
+    assert out.text == "ज्ञान, ध्यान है\nओ, ओ, ओ,"
+    assert out.glosses == ["Third Eye"] and out.counts.asDict() == {"loanwords": 1, "natives": 1, "spellings": 0, "glosses": 1, "inventions": 1, "loops": 1}
 
 
 def test_token_map_keeps_punctuation(spark):
