@@ -49,11 +49,12 @@ def postings(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
 def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, k: int = 40) -> DataFrame:
     """(query_id, id, score, rank from 0) of the k best documents of each query (query_id, text): Okapi BM25, any word may match.
 
-    index is postings(); stats one row (n, avgdl). The queries' words are broadcast only if Spark finds them small."""
+    index is postings(); stats one row (n, avgdl). The semi-join with the words asked for sinks below the counts of postings, so that
+    other words are not shuffled. The queries' words are broadcast only if Spark finds them small."""
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    hits = index.join(asked, "term")
-    df = hits.select("term", "id").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(df, "term").join(F.broadcast(stats)).withColumn(
+    known = index.join(asked.select("term").distinct(), "term", "left_semi")
+    df = known.groupBy("term").agg(F.count("*").alias("df"))
+    scored = known.join(df, "term").join(asked, "term").join(F.broadcast(stats)).withColumn(
         "part", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     )
     total = scored.groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))

@@ -56,11 +56,12 @@ def trim_relative(df: DataFrame, ratio: float, by: str = "query_id") -> DataFram
     return df.withColumn("_top", F.max("score").over(Window.partitionBy(by))).where(F.col("score") >= ratio * F.col("_top")).drop("_top")
 
 
-def min_max(value: Column, by: str) -> Column:
-    """0 to 1 over a group; a constant tells nothing and is 0."""
-    w = Window.partitionBy(by)
-    lo, hi = F.min(value).over(w), F.max(value).over(w)
-    return F.when(hi <= lo, F.lit(0.0)).otherwise((value - lo) / (hi - lo))
+def min_max(df: DataFrame, columns: list[str], by: str) -> DataFrame:
+    """df with the columns scaled 0 to 1 over each group; a constant tells nothing and is 0. Groups are summed up before they are joined, so
+    that a large one is not gathered in a task."""
+    bounds = df.groupBy(by).agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
+    scaled = {c: F.when(F.col(f"_hi_{c}") <= F.col(f"_lo_{c}"), F.lit(0.0)).otherwise((F.col(c) - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}"))) for c in columns}
+    return df.join(bounds, by).withColumns(scaled).select(*df.columns)
 
 
 def composite(candidates: DataFrame, stats: DataFrame, k: int, key: str = "source_file") -> DataFrame:
@@ -73,8 +74,8 @@ def composite(candidates: DataFrame, stats: DataFrame, k: int, key: str = "sourc
         "duration": F.log1p(F.coalesce("duration_sec", F.lit(0.0)).cast("double") / 60),
         "plays": F.log1p(F.coalesce("plays", F.lit(0)).cast("double")),
     }
-    j = j.select("query_id", key, *[v.alias(n) for n, v in raw.items()])
-    total = sum((F.lit(w) * min_max(F.col(n), "query_id") for n, w in WEIGHTS.items()), F.lit(0.0))
+    j = min_max(j.select("query_id", key, *[v.alias(n) for n, v in raw.items()]), list(raw), "query_id")
+    total = sum((F.lit(w) * F.col(n) for n, w in WEIGHTS.items()), F.lit(0.0))
     scored = j.select("query_id", key, F.round(total, 4).alias("score"))
     return top(scored, k, [F.desc("score"), F.col(key)])
 

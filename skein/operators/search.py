@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .filters import Filters, apply
 from .fulltext import bm25, corpus_stats, postings
 from .ranking import above_floor, arm_weights, fused_order, keep_best, lexical_scorer, rrf, top
-from .vectors import embedded, nearest
+from .vectors import cosine, embedded, nearest
 
 #: Candidates of an arm, results at most and by default, files of a first stage, weights of the lexical arm by class.
 CANDIDATES, MOST, DEFAULT_K, STAGE_FILES = 40, 40, 4, 6
@@ -75,12 +75,13 @@ def summaries(queries: DataFrame, rows: DataFrame, k: int, filters: Filters | No
 
 
 def two_stage(corpus: Corpus, rows: DataFrame, queries: DataFrame, k: int = DEFAULT_K, files: int = STAGE_FILES) -> DataFrame:
-    """Chunks of the files that a summary search finds first: a semi-join of the fused chunks with each query's files. A query without files is
+    """Chunks of the files that a summary search finds first: each query meets the chunks of its files alone. A query without files is
     searched plainly. The catalog never takes part."""
     stage = summaries(queries, rows, files).select("query_id", F.col("id").alias("source_file"))
-    wide = nearest(queries, corpus.chunks.select("id", "vector"), 10**9).join(corpus.chunks.select("id", "source_file"), "id")
-    inside = wide.join(stage, ["query_id", "source_file"], "left_semi").unionByName(wide.join(stage.select("query_id").distinct(), "query_id", "left_anti"))
-    pool = top(inside, CANDIDATES, [F.desc("score"), F.col("id")])
+    pairs = corpus.chunks.select("id", "source_file", "vector").join(stage, "source_file").join(queries.select("query_id", F.col("vector").alias("q")), "query_id")
+    inside = pairs.select("query_id", "id", cosine(F.col("q"), F.col("vector")).alias("score"))
+    plain = nearest(queries.join(stage.select("query_id").distinct(), "query_id", "left_anti"), corpus.chunks.select("id", "vector"), CANDIDATES)
+    pool = top(inside.unionByName(plain.select("query_id", "id", "score")), CANDIDATES, [F.desc("score"), F.col("id")])
     return rerank(pool, queries, corpus.chunks.select("id", "text"), k)
 
 

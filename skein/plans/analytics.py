@@ -99,7 +99,7 @@ def visible_nodes(spark, sf_dir) -> DataFrame:
 
 def _turns(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    return c.select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("turn_index"), F.substring("text", 1, 40).alias("title"), F.col("role").alias("mode"), (F.col("conv_id") * 100 + F.col("turn")).alias("created_at"), "role", "text")
+    return c.select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("turn_index"), F.col("text").alias("title"), F.col("role").alias("mode"), (F.col("conv_id") * 100 + F.col("turn")).alias("created_at"), "role", "text")
 
 
 def thread_rollup(spark, sf_dir) -> DataFrame:
@@ -135,7 +135,7 @@ _STATE = "CASE WHEN n_chunks > 0 AND session_date IS NOT NULL THEN 'remembered'
 _TREE = f"""SELECT array_to_string(p[1:k], '/') AS path, p[k] AS name, CAST(k AS INTEGER) AS depth, bool_and(k = len(p)) AS is_leaf, count(*) AS n_files, CAST(sum(n_chunks) AS BIGINT) AS n_chunks,
   round(sum(duration_sec), 1) AS duration_sec, count(*) FILTER (s = 'remembered') AS remembered, count(*) FILTER (s = 'written') AS written, count(*) FILTER (s = 'failed') AS failed
 FROM (SELECT *, {_STATE} AS s, string_split(source_file, '/') AS p, unnest(generate_series(1, least(2, len(string_split(source_file, '/'))))) AS k FROM docs) GROUP BY 1, 2, 3"""
-_TURNS = "t AS (SELECT conv_id AS conversation_id, turn AS turn_index, left(text, 40) AS title, role AS mode, conv_id * 100 + turn AS created_at, role, text FROM conversations)"
+_TURNS = "t AS (SELECT conv_id AS conversation_id, turn AS turn_index, text AS title, role AS mode, conv_id * 100 + turn AS created_at, role, text FROM conversations)"
 
 SQL = {
     "count_mentions": f"SELECT count(*) AS n FROM documents WHERE {_MATCH}",

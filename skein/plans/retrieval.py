@@ -34,7 +34,7 @@ def bm25_topk(spark, sf_dir) -> DataFrame:
 
 def postings_summary(spark, sf_dir) -> DataFrame:
     p = fulltext.postings(documents(spark, sf_dir), "doc_id")
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 50")
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def cosine_topk(spark, sf_dir) -> DataFrame:
@@ -100,7 +100,8 @@ def relevance_trim(spark, sf_dir) -> DataFrame:
 
 def minmax_normalise(spark, sf_dir) -> DataFrame:
     d = documents(spark, sf_dir)
-    return d.select("doc_id", F.round(ranking.min_max(F.col("n_chars").cast("double"), "lang"), 6).alias("scaled"))
+    scaled = ranking.min_max(d.select("doc_id", "lang", F.col("n_chars").cast("double").alias("x")), ["x"], "lang")
+    return scaled.select("doc_id", F.round("x", 6).alias("scaled"))
 
 
 def best_rank(spark, sf_dir) -> DataFrame:
@@ -146,7 +147,7 @@ def two_stage_search(spark, sf_dir) -> DataFrame:
 def multi_query_search(spark, sf_dir) -> DataFrame:
     d = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "source_file")
     p = _passages(spark, sf_dir)
-    variants = p.withColumn("variant", F.lit(0)).unionByName(p.select("query_id", F.substring("text", 1, 60).alias("text")).withColumn("variant", F.lit(1)))
+    variants = p.withColumn("variant", F.lit(0)).unionByName(p.select("query_id", F.array_join(F.reverse(F.split("text", " ")), " ").alias("text")).withColumn("variant", F.lit(1)))
     return search.multi_query(search.Corpus.build(d), vectors.embedded(variants), 10).select("query_id", "id", "score")
 
 
@@ -185,7 +186,7 @@ p AS (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl,
 q AS (SELECT item_id AS query_id, unnest(list_distinct({tokens('text')})) AS term FROM benchmark),
 r AS (SELECT query_id, doc_id AS id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM q JOIN p USING (term) JOIN df USING (term), s GROUP BY 1, 2)
 SELECT query_id, id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM r) WHERE k <= 10""",
-    "postings_summary": f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({tokens('text')}) AS term FROM documents) GROUP BY 1 HAVING df >= 50",
+    "postings_summary": f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({tokens('text')}) AS term FROM documents) GROUP BY 1",
     "cosine_topk": f"SELECT query_id, id, score FROM {_arm(_COS, 10)}",
     "filtered_cosine_topk": f"SELECT query_id, id, score FROM {_arm(_COS, 5, 'c.label = 3')}",
     "mean_pool": "WITH m AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2) SELECT label, round(max(x) FILTER (pos = 1), 5) AS x1, round(sqrt(sum(x * x)), 5) AS norm FROM m GROUP BY 1",

@@ -54,10 +54,9 @@ def quote_detection(spark, sf_dir) -> DataFrame:
 def _ranked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     d = documents(spark, sf_dir)
     passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    found = fulltext.bm25(passages, fulltext.postings(d, "doc_id"), fulltext.corpus_stats(d), 10).select("query_id", "id", (F.col("rank") + 1).alias("rank"))
-    # the documents of the ten that hold the passage word for word
-    expected = found.join(d.select(F.col("doc_id").alias("id"), "text"), "id").join(passages.withColumnRenamed("text", "passage"), "query_id").where(F.expr("contains(text, passage)")).select("query_id", "id")
-    return found, expected
+    index = fulltext.postings(d, "doc_id")
+    found = fulltext.bm25(passages, index, fulltext.corpus_stats(d), 10).select("query_id", "id", (F.col("rank") + 1).alias("rank"))
+    return found, evaluate.holders(passages, d.select(F.col("doc_id").alias("id"), "text"), index)
 
 
 def quote_hits(spark, sf_dir) -> DataFrame:
@@ -102,7 +101,7 @@ def faithfulness_summary(spark, sf_dir) -> DataFrame:
 
 
 def context_blocks(spark, sf_dir) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("place"), F.col("role").alias("source_file"), F.substring("text", 1, 30).alias("text"))
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("place"), F.col("role").alias("source_file"), "text")
     return models.context_blocks(c)
 
 
@@ -119,7 +118,8 @@ p AS (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl,
 q AS (SELECT item_id AS query_id, unnest(list_distinct({tokens('text')})) AS term FROM benchmark),
 r AS (SELECT query_id, doc_id AS id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM q JOIN p USING (term) JOIN df USING (term), s GROUP BY 1, 2),
 f AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r) WHERE rank <= 10),
-h AS (SELECT query_id, min(rank) AS b, max(rank) AS w, count(*) AS n FROM f JOIN documents d ON d.doc_id = f.id JOIN benchmark m ON m.item_id = f.query_id WHERE contains(d.text, m.text) GROUP BY 1)"""
+e AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark m, documents d WHERE contains(d.text, m.text)),
+h AS (SELECT query_id, min(rank) AS b, CASE WHEN count(rank) = count(*) THEN max(rank) END AS w, count(rank) AS n_found, count(*) AS n_expected FROM e LEFT JOIN f USING (query_id, id) GROUP BY 1)"""
 SQL = {
     "date_signals": "SELECT event_id AS query_id, CASE event_id % 10 WHEN 2 THEN '2015-01-01' WHEN 4 THEN '2010-01-01' ELSE '2010-01-07' END AS start, CASE event_id % 10 WHEN 2 THEN '2015-12-31' WHEN 4 THEN '2014-12-31' ELSE '2012-03-26' END AS \"end\" FROM events WHERE event_id % 10 IN (2, 4, 6)",
     "vocabulary_signals": "SELECT event_id AS query_id, 'event_type' AS field, event_type AS value FROM events WHERE event_id % 10 NOT IN (7, 8)",
@@ -130,8 +130,8 @@ SQL = {
   CASE event_id % 10 WHEN 0 THEN 'analytic' WHEN 7 THEN 'chitchat' WHEN 8 THEN 'name' ELSE 'thematic' END AS class, CASE event_id % 10 WHEN 1 THEN 10 WHEN 2 THEN {_N} WHEN 3 THEN 10 WHEN 4 THEN {_N} END AS n FROM events""",
     "verbatim_topics": "SELECT event_id AS query_id, 'sitting on ' || event_type AS topic FROM events WHERE event_id % 10 = 5",
     "quote_detection": "SELECT event_id % 4 = 0 AS is_quote, count(*) AS n FROM events GROUP BY 1",
-    "quote_hits": f"WITH {_BM25} SELECT count(*) AS n, round(avg((b <= 1)::INT), 6) AS hit_1, round(avg((b <= 5)::INT), 6) AS hit_5, round(avg((b <= 10)::INT), 6) AS hit_10, round(avg(1 / b::DOUBLE), 6) AS mrr_best, round(avg(1 / w::DOUBLE), 6) AS mrr_worst, 1.0::DOUBLE AS recall FROM h",
-    "hit_ranks": f"WITH {_BM25} SELECT query_id, CAST(b AS INTEGER) AS best_rank, CAST(w AS INTEGER) AS worst_rank, n AS n_found, n AS n_expected FROM h",
+    "quote_hits": f"WITH {_BM25} SELECT count(*) AS n, " + ", ".join(f"round(avg(coalesce((b <= {k})::INT, 0)), 6) AS hit_{k}" for k in (1, 5, 10)) + ", round(avg(coalesce(1 / b::DOUBLE, 0)), 6) AS mrr_best, round(avg(coalesce(1 / w::DOUBLE, 0)), 6) AS mrr_worst, round(avg(n_found / n_expected::DOUBLE), 6) AS recall FROM h",
+    "hit_ranks": f"WITH {_BM25} SELECT query_id, CAST(b AS INTEGER) AS best_rank, CAST(w AS INTEGER) AS worst_rank, n_found, n_expected FROM h",
     "abstention_matrix": """WITH s AS (SELECT doc_id % 101 / 100.0::DOUBLE AS score, quality = 0 AS neg, floor FROM labels, (SELECT unnest([0.03::DOUBLE, 0.25, 0.5, 0.75]) AS floor)),
 g AS (SELECT floor, count(*) FILTER (score < floor AND neg) AS tp, count(*) FILTER (score < floor AND NOT neg) AS fp, count(*) FILTER (score >= floor AND neg) AS fn, count(*) FILTER (score >= floor AND NOT neg) AS tn FROM s GROUP BY 1)
 SELECT *, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS precision, round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS recall, round(fp / nullif(fp + tn, 0)::DOUBLE, 6) AS false_abstention FROM g""",
@@ -140,7 +140,7 @@ SELECT *, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS precision, round(tp / nul
     "latency_summary": "SELECT event_type, round(median(value), 6) AS median_ms, round(avg(value), 6) AS mean_ms, round(avg(user_id % 11 / 10.0::DOUBLE), 6) AS mean_recall FROM events GROUP BY 1",
     "recall_shares": "SELECT doc_id, round(((source = 'src1')::INT + (lang = 'en')::INT) / 2.0::DOUBLE, 6) AS recall FROM documents",
     "faithfulness_summary": "SELECT count(*) FILTER (doc_id % 17 = 0) AS failed, count(*) FILTER (doc_id % 5 = 0) AS abstained, round(avg(CASE WHEN quality = 1 AND doc_id % 17 <> 0 THEN doc_id % 4 / 4.0::DOUBLE END), 6) AS faithfulness, count(*) FILTER (quality <> 1 AND doc_id % 5 <> 0 AND doc_id % 17 <> 0) AS n_leaks FROM labels",
-    "context_blocks": "SELECT conv_id AS query_id, string_agg('[' || turn || '] SOURCE: ' || role || chr(10) || 'TEXT: ' || left(text, 30), chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY 1",
+    "context_blocks": "SELECT conv_id AS query_id, string_agg('[' || turn || '] SOURCE: ' || role || chr(10) || 'TEXT: ' || text, chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY 1",
     "grounded_answers": "SELECT conv_id, turn, CASE WHEN turn % 2 <> 0 AND turn % 3 <> 0 AND turn % 5 <> 0 THEN 'One is so. Two is not! Three may be?' ELSE concat_ws(' ', CASE WHEN turn % 2 = 0 THEN 'One is so.' END, CASE WHEN turn % 3 = 0 THEN 'Two is not!' END, CASE WHEN turn % 5 = 0 THEN 'Three may be?' END) END AS answer FROM conversations",
 }
 QUERIES = {f.__name__: f for f in (
