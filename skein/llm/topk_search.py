@@ -1,10 +1,11 @@
 """Operator 1: exact top-k by inner product, aggregating sorted lists without random access.
 
 A block of candidates has two sorted lists for each component, largest values first and smallest first; a query reads the one
-its own component's sign asks for. After t entries of each list a value that was read is known, and one that was not lies
-between the list's end and its t-th entry: that bounds every score from below and above. Reading goes on, twice as deep each
-time, until few candidates can still be among the k best; their final scores are then resolved. For all queries of a block at
-once both bounds are matrix products with the values clamped to what has been read."""
+its own component's sign asks for, entry after entry. After t entries of each list a value that was read is known, and one that was not lies
+between the list's end and its t-th entry: that bounds every score from below and above. Candidates whose upper bound is below the k-th
+lower bound are outsiders; so are those below the k-th score of the blocks before. Reading goes on, twice as deep each time and for the
+others alone, until their bounds meet: then their scores are known. Bounds of many queries at once are matrix products with the values clamped
+to what has been read."""
 
 from __future__ import annotations
 
@@ -18,6 +19,8 @@ from .common import tasks
 
 #: Rows of a block of candidates and of queries.
 BLOCK, QUERIES = 2048, 256
+#: Queries whose best scores a task keeps from block to block, and a score below all.
+_SEEN, _LOWEST = 200_000, np.iinfo(np.int64).min // 4
 
 
 def _pack(group: pa.Table) -> pa.Table:
@@ -34,36 +37,52 @@ def _blocks(vectors: DataFrame, rows: int) -> tuple[DataFrame, int]:
     return dealt.groupBy("dim", "block").applyInArrow(_pack, "dim int, block int, ids binary, values binary"), count
 
 
-def search_block(queries: np.ndarray, own: np.ndarray, values: np.ndarray, ids: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
-    """For each query the (score, id) of its k best candidates, ties to the smaller id; a candidate with the query's id is none."""
+def search_block(queries: np.ndarray, own: np.ndarray, values: np.ndarray, ids: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[list[list[tuple[int, int]]], np.ndarray]:
+    """For each query the (score, id) of its k best candidates, ties to the smaller id, and how many entries of each list it read. A
+    candidate with the query's id, or with a score below the query's floor, is none."""
     n = len(ids)
     bound = float(np.abs(values).max(initial=0)) * float(np.abs(queries).max(initial=0)) * values.shape[1]
     kind = np.float64 if bound < 2**52 else np.int64  # exact either way
     v, q = values.astype(kind), queries.astype(kind)
     plus, minus = np.maximum(q, 0), np.minimum(q, 0)
     lists = np.sort(v, 0)  # each component's list: read from its end for plus, from its start for minus
-    alive = [np.arange(n)] * len(q)
-    active, depth = np.arange(len(q)), max(1, n // 8)
-    while len(active) and depth < n:
+    floors = np.full(len(q), _LOWEST) if floors is None else floors
+    out: list[list[tuple[int, int]]] = [[] for _ in q]
+    read = np.full(len(q), n)
+
+    def bounds(rows: np.ndarray, x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         top, bottom = lists[n - depth], lists[depth - 1]
-        high = plus[active] @ np.maximum(v, top).T + minus[active] @ np.minimum(v, bottom).T
-        low = plus[active] @ np.where(v >= top, v, lists[0]).T + minus[active] @ np.where(v <= bottom, v, lists[-1]).T
-        same = own[active][:, None] == ids[None, :]
-        low[same] = np.iinfo(np.int64).min // 4
-        enough = min(k, n - 1)
-        floor = np.partition(low, n - enough, 1)[:, n - enough] if enough else np.full(len(active), np.iinfo(np.int64).min // 4)
-        maybe = (high >= floor[:, None]) & ~same
-        some = maybe.sum(1) <= max(8 * k, n // 32)
-        for i in np.flatnonzero(some):
-            alive[active[i]] = np.flatnonzero(maybe[i])
-        active, depth = active[~some], depth * 2
-    out = []
-    for i, left in enumerate(alive):
-        left = left[ids[left] != own[i]]
-        scores = v[left] @ q[i]
-        best = np.lexsort((ids[left], -scores))[:k]
-        out.append([(int(scores[j]), int(ids[left[j]])) for j in best])
-    return out
+        low = plus[rows] @ np.where(x >= top, x, lists[0]).T + minus[rows] @ np.where(x <= bottom, x, lists[-1]).T
+        return low, plus[rows] @ np.maximum(x, top).T + minus[rows] @ np.minimum(x, bottom).T
+
+    def insiders(low: np.ndarray, high: np.ndarray, floor: float) -> np.ndarray:
+        if len(low) > k:
+            floor = max(floor, np.partition(low, len(low) - k)[len(low) - k])
+        return high >= floor
+
+    many, few, depth = np.arange(len(q)), {}, max(1, n // 16)
+    while len(many) or few:
+        low, high = bounds(many, v, depth) if len(many) else ((), ())
+        left = []
+        for i, lo, hi in zip(many.tolist(), low, high, strict=True):
+            others = np.flatnonzero(ids != own[i])
+            found = others[insiders(lo[others], hi[others], floors[i])]
+            if len(found) <= max(8 * k, n // 8) or depth == n:
+                few[i] = found
+            else:
+                left.append(i)
+        many = np.array(left, np.int64)
+        for i, found in list(few.items()):
+            low, high = (x[0] for x in bounds(np.array([i]), v[found], depth))
+            inside = insiders(low, high, floors[i])
+            found, low, high = found[inside], low[inside], high[inside]
+            few[i] = found
+            if (low == high).all():
+                best = np.lexsort((ids[found], -low))[:k]
+                out[i], read[i] = [(int(low[j]), int(ids[found[j]])) for j in best], depth
+                del few[i]
+        depth = min(n, depth * 2)
+    return out, read
 
 
 def _search(k: int):
@@ -71,6 +90,7 @@ def _search(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = None
+        seen: dict[tuple[int, int], list[int]] = {}  # the best scores of a bounded number of queries: they spare reading alone
         for b in batches:
             rows = []
             for dim, at, query, ids, values in zip(*(b.column(n).to_pylist() for n in ("dim", "block", "query", "ids", "values")), strict=True):
@@ -78,8 +98,12 @@ def _search(k: int):
                 if not query:
                     block = (dim, at, matrix, own)
                 elif block and block[:2] == (dim, at):
-                    for q, best in zip(own.tolist(), search_block(matrix, own, *block[2:], k), strict=True):
+                    before = [seen.get((dim, q), ()) for q in own.tolist()]
+                    floors = np.array([s[-1] if len(s) == k else _LOWEST for s in before])
+                    for q, best, old in zip(own.tolist(), search_block(matrix, own, *block[2:], k, floors)[0], before, strict=True):
                         rows += [(q, i, s) for s, i in best]
+                        if (dim, q) in seen or len(seen) < _SEEN:
+                            seen[dim, q] = sorted([*old, *(s for s, _ in best)], reverse=True)[:k]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["query_id", "vec_id", "score"])
 

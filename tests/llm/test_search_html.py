@@ -27,8 +27,24 @@ def test_top_k_matches_brute_force(spark):
 
 def test_block_with_huge_values_and_few_candidates():
     v = np.array([[2**30, 1], [2**30, 2], [-(2**30), 3]], np.int64)
-    assert search_block(v[:1], np.array([7]), v, np.array([7, 8, 9]), 5) == [[(2**60 + 2, 8), (3 - 2**60, 9)]]
-    assert search_block(np.array([[1, 1]]), np.array([1]), np.array([[1, 1]]), np.array([1]), 5) == [[]]
+    assert search_block(v[:1], np.array([7]), v, np.array([7, 8, 9]), 5)[0] == [[(2**60 + 2, 8), (3 - 2**60, 9)]]
+    assert search_block(np.array([[1, 1]]), np.array([1]), np.array([[1, 1]]), np.array([1]), 5)[0] == [[]]
+
+
+def test_reading_stops_when_outsiders_cannot_qualify():
+    rng = np.random.default_rng(3)
+    v = rng.integers(-20, 20, (4096, 16))
+    v[[5, 900, 4000]] += 400
+    v[[17, 3000]] -= 400
+    q = np.stack([np.full(16, 3), np.full(16, -3), rng.integers(-9, 9, 16)])
+    ids, own = np.arange(4096), np.array([-1, 3000, 1])
+    best, read = search_block(q, own, v, ids, 3)
+    for i in range(3):
+        want = sorted((-int(s), j) for j, s in zip(ids.tolist(), v @ q[i], strict=True) if j != own[i])[:3]
+        assert best[i] == [(-s, j) for s, j in want]
+    assert read[0] <= 512 and read[2] == 4096  # with dense random values all is read
+    again, less = search_block(q, own, v, ids, 3, np.array([10**6, 10**6, 10**6]))
+    assert again == [[], [], []] and less.max() <= 256
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body class="has-sidebar"><nav><ul><li><a href="/a">menu</a></li></ul></nav>
