@@ -138,32 +138,36 @@ def _key(text: str) -> int:
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The style tree's entries: for each node of a page its host, the node's path, its content there, and the page's content.
+    """The style tree's entries: for each node of a page its host, the node's path, its content and its presentation there, and the page's content.
 
-    Each ancestor is a node too; its content is that of all blocks below it."""
+    Each ancestor is a node too; its content is that of all blocks below it, and so what stands below counts above. Its presentation is the
+    names of the elements directly below it, in order."""
     for b in batches:
         rows = []
         for url, html in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
             below: dict[str, int] = {}
+            looks: dict[str, int] = {}
             for x in blocks(html):
                 content, parts = _key(x.text), x.path.split("/")
                 for i in range(2, len(parts) + 1):
                     path = "/".join(parts[:i])
                     below[path] = (below.get(path, 0) * 1_000_003 + content) % 2**63
+                    looks[path] = (looks.get(path, 0) * 1_000_003 + (_key(parts[i]) if i < len(parts) else 1)) % 2**63
             site, page = _key(host(url)), _key(html)
-            rows += [(site, _key(p), c, page) for p, c in below.items()]
+            rows += [(site, _key(p), c, looks[p], page) for p, c in below.items()]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["site", "path", "content", "page"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["site", "path", "content", "look", "page"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(site, path, pages, importance) of each node of each host's tree: the entropy of its contents over the host's different
-    pages, as a share of the largest there could be. Equal pages count once. Sums only are shuffled beyond the entries."""
-    each = pages.mapInArrow(_nodes, "site long, path long, content long, page long").distinct()
-    contents = each.groupBy("site", "path", "content").agg(F.count("*").alias("n"))
-    nodes = contents.groupBy("site", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    importance = F.when(F.col("pages") > 1, (F.log("pages") - F.col("s") / F.col("pages")) / F.log("pages")).otherwise(1.0)
-    return nodes.select("site", "path", "pages", importance.alias("importance"))
+    """(site, path, pages, importance) of each node of each host's tree: the entropy of its contents or of its presentations over the host's
+    different pages, whichever is larger, as a share of the largest there could be. Equal pages count once. Sums only are shuffled beyond the entries."""
+    each = pages.mapInArrow(_nodes, "site long, path long, content long, look long, page long").distinct()
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("look").alias("value")))
+    values = each.select("site", "path", F.inline(kinds)).groupBy("site", "path", "kind", "value").agg(F.count("*").alias("n"))
+    nodes = values.groupBy("site", "path", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    entropy = F.when(F.col("pages") > 1, (F.log("pages") - F.col("s") / F.col("pages")) / F.log("pages")).otherwise(1.0)
+    return nodes.groupBy("site", "path").agg(F.max("pages").alias("pages"), F.max(entropy).alias("importance"))
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -85,3 +85,31 @@ def test_style_tree_decides_on_pages_with_an_article(spark):
     got = {r.page_id: r.text for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"body {i}\nmore {i}" for i in range(12))
     assert got[99] == "Follow us\nmore 99"
+
+
+def test_importance_is_the_larger_entropy(spark):
+    """Against a plain version over the nodes of a page."""
+    import math
+    from collections import Counter, defaultdict
+
+    from skein.llm.html_text import _key, blocks
+
+    rng = random.Random(4)
+    part = lambda: rng.choice(["<p>same</p>", f"<p>{rng.randrange(5)}</p>", "<div><b>x</b><p>y</p></div>", "<ul><li>1<li>2</ul>"])
+    pages = [(i, f"https://h{i % 3}.example/{i}", f"<body><nav>menu</nav><div class='a'>{''.join(part() for _ in range(3))}</div><p>{i % 4}</p></body>") for i in range(40)]
+    seen = defaultdict(set)
+    for _, url, html in pages:
+        found = defaultdict(list)
+        for x in blocks(html):
+            steps = x.path.split("/")
+            for i in range(2, len(steps) + 1):
+                found["/".join(steps[:i])].append((x.text, tuple(steps[i : i + 1])))
+        for path, below in found.items():
+            seen[url.split("/")[2], path].add((html, tuple(t for t, _ in below), tuple(n for _, n in below)))
+    want = {}
+    for (site, path), own in seen.items():
+        n = len(own)
+        share = lambda values: -sum(c / n * math.log(c / n) for c in Counter(values).values()) / math.log(n) if n > 1 else 1.0  # noqa: E731, B023
+        want[_key(site), _key(path)] = (n, round(max(share([t for _, t, _ in own]), share([s for *_, s in own])), 9))
+    got = {(r.site, r.path): (r.pages, round(r.importance, 9)) for r in style_tree(spark.createDataFrame(pages, "page_id long, url string, html string").select("url", "html")).collect()}
+    assert got == {k: (n, abs(x)) for k, (n, x) in want.items()}
