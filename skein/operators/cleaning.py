@@ -109,10 +109,9 @@ def skeleton(token: Column) -> Column:
 def entity_grams(tokens: Column, surnames: list[str], stop: list[str], least: int = 3) -> Column:
     """Windows of two and three words that end in a surname and otherwise hold names."""
     named = lambda t: ~t.isin(stop) & ~t.isin(surnames) & (F.length(t) >= least)
-    window = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.slice(tokens, i, F.lit(n)))
-    windows = [window(2), window(3)]
+    window = lambda n: F.filter(F.transform(tokens, lambda t, i: F.slice(tokens, i + 1, n)), lambda g: F.size(g) == n)
     good = lambda g: F.element_at(g, -1).isin(surnames) & F.forall(F.slice(g, F.lit(1), F.size(g) - 1), named)
-    return F.transform(F.filter(F.concat(*windows), lambda g: (F.size(g) >= 2) & good(g)), lambda g: F.array_join(g, " "))
+    return F.transform(F.filter(F.concat(window(2), window(3)), good), lambda g: F.array_join(g, " "))
 
 
 def surfaces(lines: DataFrame, surnames: list[str], stop: list[str]) -> DataFrame:

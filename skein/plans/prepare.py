@@ -284,8 +284,47 @@ def store_parity(spark, sf_dir) -> DataFrame:
     return audit.parity(d.where("key % 10 <> 3"), d.where("key % 10 <> 7"))
 
 
+_MARKS = """',।॥.!?;:"''()[]{}—–-'"""
+
+
+def _loops(lines: str) -> str:
+    """CTEs from tokens of lines (doc_id, ln, line) to n: each token with its run's length and its place in the run."""
+    return f"""tk AS (SELECT doc_id, ln, generate_subscripts(w, 1) AS i, unnest(w) AS t FROM (SELECT doc_id, ln, {words('line')} AS w FROM {lines})),
+tb AS (SELECT *, trim(t, {_MARKS}) AS bare FROM tk),
+ts AS (SELECT *, CASE WHEN bare <> '' AND bare = lag(bare) OVER (PARTITION BY doc_id, ln ORDER BY i) THEN 0 ELSE 1 END AS new FROM tb),
+tr AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, ln ORDER BY i) AS run FROM ts),
+n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, ln, run) AS len, row_number() OVER (PARTITION BY doc_id, ln, run ORDER BY i) AS k FROM tr),
+j AS (SELECT doc_id, ln, string_agg(t, ' ' ORDER BY i) AS short FROM n WHERE len < 6 OR k <= 3 GROUP BY 1, 2)"""
+
+
+def _lines(source: str, text: str) -> str:
+    return f"(SELECT doc_id, generate_subscripts(l, 1) AS ln, unnest(l) AS line FROM (SELECT doc_id, string_split({text}, chr(10)) AS l FROM {source}))"
+
+
+def _tidy(text: str) -> str:
+    return f"regexp_replace(regexp_replace({text}, ',(?:[ \\t]*,)+', ',', 'g'), '[ \\t]+([,।॥])', '\\1', 'g')"
+
+
+_MAPPED = f"""m AS (SELECT doc_id, ln, string_agg(CASE WHEN trim(w, {_MARKS}) IN ('the', 'de') THEN replace(w, trim(w, {_MARKS}), upper(trim(w, {_MARKS}))) ELSE w END, ' ' ORDER BY i) AS line,
+  count(*) FILTER (trim(w, {_MARKS}) = 'the') AS loanwords FROM (SELECT doc_id, ln, generate_subscripts(w, 1) AS i, unnest(w) AS w FROM (SELECT doc_id, ln, {words('line')} AS w FROM al)) GROUP BY 1, 2),
+mt AS (SELECT doc_id, string_agg(coalesce(m.line, ''), chr(10) ORDER BY ln) AS text, CAST(coalesce(sum(loanwords), 0) AS BIGINT) AS loanwords FROM al LEFT JOIN m USING (doc_id, ln) GROUP BY 1)"""
+_EXCISED = "regexp_replace(regexp_replace(text, '\\s*\\(\\s*([A-Za-z][A-Za-z0-9 ''\\-/&.]*)\\s*\\)', '', 'g'), '(?:lorem)(?:[\\s,]+(?:ipsum)){0,8}[\\s,]*', ' ', 'g')"
 _STATE_SQL = words("text")
 SQL = {
+    "loop_collapse": f"WITH al AS {_lines('documents', 'text')}, {_loops('al')} SELECT doc_id, md5(text) AS digest, length(text) AS length FROM (SELECT doc_id, string_agg(coalesce(short, ''), chr(10) ORDER BY ln) AS text FROM al LEFT JOIN j USING (doc_id, ln) GROUP BY 1)",
+    "normalised_texts": f"""WITH al AS {_lines('documents', 'text')}, {_MAPPED}, xl AS {_lines('mt', _tidy(_EXCISED))}, {_loops('xl')}, c AS (SELECT doc_id, count(*) AS loops FROM n WHERE k = 1 AND len >= 6 GROUP BY 1),
+f AS (SELECT doc_id, {_tidy("string_agg(coalesce(short, ''), chr(10) ORDER BY ln)")} AS text FROM xl LEFT JOIN j USING (doc_id, ln) GROUP BY 1)
+SELECT doc_id, md5(f.text) AS digest, loanwords, coalesce(loops, 0) AS loops FROM f JOIN mt USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "chunk_ids": """WITH d AS (SELECT doc_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(source || '/' || lang || '/' || doc_id || '|0|' || substr(sha256(text), 1, 16))) AS h FROM documents)
+SELECT doc_id, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3), substr(h, 21, 12)) AS chunk_id FROM d""",
+    "performers_split": "SELECT p_partkey, p_brand || CASE WHEN upper(p_type) = upper(p_brand) THEN '' ELSE '|' || CASE WHEN p_type IN (upper(p_type), lower(p_type)) THEN upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) ELSE p_type END END AS names FROM part",
+    "packed_paragraphs": r"""WITH p AS (SELECT doc_id, list_transform(list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n|\n'), lambda x: trim(x)), lambda x: x <> ''), lambda x: [length(x)]) AS l FROM documents),
+r AS (SELECT doc_id, list_reduce(l, lambda s, e: CASE WHEN s[2] > 0 AND s[2] + 1 + e[1] <= 400 THEN [s[1], s[2] + 1 + e[1], s[3] + 1 + e[1]] ELSE [s[1] + 1, e[1], s[3] + e[1]] END, CAST([0, 0, 0] AS BIGINT[])) AS s FROM p WHERE len(l) > 0)
+SELECT doc_id, s[1] AS packs, s[3] AS chars FROM r""",
+    "entity_surfaces": f"""WITH t AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS t FROM (SELECT doc_id, {words('text')} AS w FROM documents)),
+w AS (SELECT t, lag(t) OVER o AS a, lag(t, 2) OVER o AS b FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT *, t IN ('the', 'der') AS s, length(a) >= 3 AND a NOT IN ('the', 'der', 'and', 'of') AS na, length(b) >= 3 AND b NOT IN ('the', 'der', 'and', 'of') AS nb FROM w)
+SELECT phrase, count(*) AS n FROM (SELECT a || ' ' || t AS phrase FROM g WHERE s AND na UNION ALL SELECT b || ' ' || a || ' ' || t FROM g WHERE s AND na AND nb) GROUP BY 1""",
     "token_estimates": f"SELECT doc_id, CAST(greatest(1, round_even(len({_STATE_SQL}) * 1.3::DOUBLE, 0)) AS INTEGER) AS tokens FROM documents",
     "unique_ratios": f"SELECT doc_id, round(CASE WHEN len(w) = 0 THEN 1.0 ELSE len(list_distinct(w)) / len(w)::DOUBLE END, 6) AS ratio FROM (SELECT doc_id, {_STATE_SQL} AS w FROM documents)",
     "sentence_split": r"SELECT doc_id, count(*) AS n, max(length(s)) AS longest FROM (SELECT doc_id, trim(s, ' ' || chr(10)) AS s FROM (SELECT doc_id, unnest(string_split(regexp_replace(trim(text), '([.!?।॥])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents)) WHERE s <> '' GROUP BY 1",
