@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .text import bound
+
 #: Months by their first three letters.
 MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
 
@@ -59,3 +61,31 @@ def recency(day: Column, today: Column) -> Column:
 
 def hours_between(later: Column, earlier: Column) -> Column:
     return (later.cast("double") - earlier.cast("double")) / 3600
+
+
+#: An event folder: number, place, first day and month and year, last day and month and year; the month and year of the first may be left out.
+EVENT_SPAN = r"(?i)^(?:(\d{1,3})\s+)?([A-Za-z][A-Za-z .]*?)\s+(\d{1,2})(?:\s*([A-Za-z]{3,9}))?(?:\s*(\d{4}))?\s*-\s*(\d{1,2})\s*([A-Za-z]{3,9})(?:\s*(\d{4}))?(?:\s.*)?$"
+
+
+def event_span(name: Column, year: Column) -> Column:
+    """(seq, location, start, end, warning) of an event folder. A missing month or year is the last day's, a missing last year that of the folders above;
+    a first day after the last one without a year of its own is the year before's. Null dates and a warning where they make no dates."""
+    part = lambda i: F.nullif(F.regexp_extract(name, EVENT_SPAN, i), F.lit(""))
+    day = lambda y, m, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
+    read = F.struct(
+        part(1).cast("int").alias("seq"), F.upper(F.regexp_replace(part(2), r"\s+", " ")).alias("location"), part(3).cast("int").alias("d1"), part(6).cast("int").alias("d2"),
+        month_number(part(4)).alias("m1"), month_number(part(7)).alias("m2"), part(5).cast("int").alias("y1"), F.coalesce(part(8).cast("int"), year).alias("y2"),
+    )
+
+    def dated(p: Column) -> Column:
+        y1, m1 = F.coalesce(p["y1"], p["y2"]), F.coalesce(p["m1"], p["m2"])
+        whole = p["y2"].isNotNull() & p["m2"].isNotNull()
+        days = F.struct(F.when(whole, day(y1, m1, p["d1"])).alias("a"), F.when(whole, day(p["y2"], p["m2"], p["d2"])).alias("b"), F.when(whole, day(y1 - 1, m1, p["d1"])).alias("back"))
+        return bound(days, lambda x: bound(F.when((x["a"] > x["b"]) & p["y1"].isNull(), x["back"]).otherwise(x["a"]), lambda start: span(p, x, start)))
+
+    def span(p: Column, x: Column, start: Column) -> Column:
+        warning = F.when(p["y2"].isNull(), "no year").when(x["a"].isNull() | x["b"].isNull() | start.isNull(), "bad date").when(start > x["b"], "start after end")
+        good = start.isNotNull() & x["b"].isNotNull()
+        return F.struct(p["seq"].alias("seq"), p["location"].alias("location"), F.when(good, start).alias("start"), F.when(good, x["b"]).alias("end"), warning.alias("warning"))
+
+    return bound(read, lambda p: F.when(p["d2"].isNotNull(), dated(p)))

@@ -103,3 +103,31 @@ def next_turn(existing: DataFrame, new: DataFrame) -> DataFrame:
     top = existing.groupBy("conversation_id").agg(F.max("turn_index").alias("_last"))
     n = F.row_number().over(Window.partitionBy("conversation_id").orderBy("created_at"))
     return new.join(top, "conversation_id", "left").withColumn("turn_index", F.coalesce(F.col("_last") + 1, F.lit(0)) + n - 1).drop("_last")
+
+
+def failed_files(rows: DataFrame) -> DataFrame:
+    """The files of a corpus that were read but failed, in order; a table, since there may be many."""
+    return rows.where(track_state(F.col("source_file"), F.col("n_chunks"), F.col("session_date")) == "failed").select("source_file").orderBy("source_file")
+
+
+def has(df: DataFrame, column: str, value: object) -> DataFrame:
+    """One row: whether a row has this key. One match ends the scan of a task."""
+    return df.where(F.col(column) == value).limit(1).agg((F.count("*") > 0).alias("found"))
+
+
+def history(thread_rows: DataFrame, limit: int) -> DataFrame:
+    """The latest threads, 1 to 500 of them, the most recent first."""
+    return thread_rows.orderBy(F.desc("last_at"), "conversation_id").limit(max(1, min(limit, 500)))
+
+
+def node_radius(n_chunks: Column, n_files: Column, is_root: Column) -> Column:
+    """A node's radius on a map: its area in proportion to its chunks, else its files, to a limit."""
+    size = F.when(n_chunks > 0, n_chunks).otherwise(n_files)
+    return F.when(is_root, F.lit(14.0)).otherwise(F.least(F.lit(22.0), 2.2 + F.sqrt(size) * 0.7))
+
+
+def duration_text(seconds: Column) -> Column:
+    """Seconds below a minute, minutes below an hour, hours with a decimal below a hundred."""
+    s, half_up = F.coalesce(seconds, F.lit(0.0)), lambda x: F.floor(x + 0.5).cast("string")
+    hours = s / 3600
+    return F.when(s < 60, F.concat(half_up(s), F.lit("s"))).when(s < 3600, F.concat(half_up(s / 60), F.lit(" min"))).when(hours < 100, F.concat(F.format_string("%.1f", hours), F.lit(" hours"))).otherwise(F.concat(F.format_number(F.floor(hours + 0.5), 0), F.lit(" hours")))

@@ -71,3 +71,17 @@ def apply(df: DataFrame, filters: Filters, **how) -> DataFrame:
 def under(path: Column, prefix: str) -> Column:
     """Keys below a folder, taken literally; '' is the root."""
     return F.lit(True) if not prefix else path.startswith(prefix if prefix.endswith("/") else prefix + "/")
+
+
+#: Fields that hold several values.
+LIST_FIELDS = ("track_type", "topics", "people_named", "scriptures_referenced", "performers")
+
+
+def signal_filters(detections: DataFrame, soft: bool = False) -> DataFrame:
+    """(query_id, field, values) of detections (query_id, at, field, value, is_soft) in their order `at`: all different values of a list field, the
+    last one of any other. Soft detections count only if asked for."""
+    used = detections if soft else detections.where("not is_soft")
+    first = used.groupBy("query_id", "field", "value").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    values = F.transform(F.sort_array(F.collect_list(F.struct("first", "value"))), lambda x: x["value"])
+    found = first.groupBy("query_id", "field").agg(values.alias("all"), F.max_by("value", "last").alias("latest"))
+    return found.select("query_id", "field", F.when(F.col("field").isin(*LIST_FIELDS), F.col("all")).otherwise(F.array("latest")).alias("values"))

@@ -107,3 +107,14 @@ def catalog_search(catalog: DataFrame, queries: DataFrame, k: int, filters: Filt
 
 def cited(results: DataFrame, floor: float, abstain: bool = False) -> DataFrame:
     return above_floor(results, floor, abstain)
+
+
+def as_results(found: DataFrame, chunks: DataFrame, fields: list[str]) -> DataFrame:
+    """Hits (query_id, id, score) with their chunks as results: kind and source, score to four places, text, no null speakers, and a map of the
+    fields that are known."""
+    catalog = F.coalesce(F.col("source_type") == "catalog", F.lit(False))
+    facts = F.map_filter(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))]), lambda _, v: v.isNotNull())
+    return found.join(chunks, "id").select(
+        "query_id", F.when(catalog, "catalog").otherwise("chunk").alias("result_type"), F.when(catalog, "catalog").otherwise("transcript").alias("source"), F.col("id").alias("chunk_id"), F.round("score", 4).alias("score"),
+        F.coalesce("text", F.lit("")).alias("text"), "source_file", "start_sec", "end_sec", F.coalesce("speakers", F.array().cast("array<string>")).alias("speakers"), facts.alias("metadata"),
+    )

@@ -1,7 +1,7 @@
 """Registered queries with their oracles, by plane."""
 
-from . import analytics, prepare, retrieval, understand
+from . import analytics, columns, prepare, retrieval, understand
 
-PLANES = (analytics, retrieval, prepare, understand)
+PLANES = (analytics, retrieval, prepare, understand, columns)
 QUERIES = {name: query for plane in PLANES for name, query in plane.QUERIES.items()}
 SQL = {name: sql for plane in PLANES for name, sql in plane.SQL.items()}

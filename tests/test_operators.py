@@ -144,3 +144,21 @@ def test_tags_are_checked_and_capped(spark):
 def test_groundedness_fails_open(spark):
     df = spark.createDataFrame([("One. Two.", [True, False]), ("One. Two.", [False, False]), ("One. Two.", None)], "a string, v array<boolean>")
     assert [r[0] for r in df.select(models.grounded(F.col("a"), F.col("v"))).collect()] == ["One.", "One. Two.", "One. Two."]
+
+
+def test_event_spans(spark):
+    from skein.functions import dates
+
+    cases = [
+        ("17 NEW YEAR DELHI 30 DEC - 1 JAN 2012", None, (17, "NEW YEAR DELHI", "2011-12-30", "2012-01-01", None)),
+        ("DAGSHAI 10 - 13 JUNE CHILDREN CAMP", 2009, (None, "DAGSHAI", "2009-06-10", "2009-06-13", None)),
+        ("DAGSHAI 10 - 13 JUNE CHILDREN CAMP", None, (None, "DAGSHAI", None, None, "no year")),
+        ("3 Delhi 29 Feb - 2 March 2012", None, (3, "DELHI", "2012-02-29", "2012-03-02", None)),
+        ("Delhi 31 June - 2 July 2012", None, (None, "DELHI", None, None, "bad date")),
+        ("Delhi 5 May 2012 - 2 May 2012", None, (None, "DELHI", "2012-05-05", "2012-05-02", "start after end")),
+        ("no event", 2012, None),
+    ]
+    df = spark.createDataFrame([(i, n, y) for i, (n, y, _) in enumerate(cases)], "i int, n string, y int").select("i", dates.event_span(F.col("n"), F.col("y")).alias("s"))
+    for r in df.collect():
+        want = cases[r.i][2]
+        assert (r.s and (r.s.seq, r.s.location, r.s.start and str(r.s.start), r.s.end and str(r.s.end), r.s.warning)) == want, cases[r.i]
