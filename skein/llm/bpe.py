@@ -3,26 +3,30 @@
 A word is an array of one-byte pieces; a fold over it merges the neighbours of the lowest rank, the leftmost first, until no
 pair has a rank. The ranks are a literal map in the plan, split into buckets by hash because a map is searched from its start.
 Pieces are strings whose characters are bytes (ISO 8859-1). The commonest distinct words are folded once for the whole table
-and become a literal map themselves, of a fixed number of entries; a document folds its other distinct words in place. No
-text, word or id is shuffled but the distinct words of each task, to be counted."""
+and become a literal map themselves, of a fixed number of entries; the other distinct words of a stretch of a document are folded in
+place. No text, word or id is shuffled but the distinct words of each task, to be counted."""
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 #: Distinct words in the literal map of common words, their longest in characters, and buckets of the literal maps.
-COMMON, COMMON_CHARS, BUCKETS = 1 << 17, 24, 1 << 14
+COMMON, COMMON_CHARS, BUCKETS = 1 << 17, 24, 1 << 16
+#: Words of a stretch of a document, and bytes beyond which a word is merged with a heap, since a fold costs their square.
+STRETCH, LONG = 4096, 256
 _NONE = 2**31 - 1
-_ENTRY = "struct<n:int,ids:string,back:string>"
+_ENTRY = "struct<ids:string,back:string>"
 
 
-def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
+def read_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a vocabulary file, base64 token and rank on each line; the file is installed with the vocabularies on every machine."""
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
@@ -32,16 +36,23 @@ def _bucket(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
-def _literal(entries: dict[str, object], kind: str) -> Column:
-    """A literal array of maps from string to kind; a key is in the map of its hash."""
-    buckets: list[dict[str, object]] = [{} for _ in range(BUCKETS)]
-    for k, v in entries.items():
-        buckets[_signed(xxhash.xxh64_intdigest(k.encode(), 42)) % BUCKETS][k] = v
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), f"array<map<string,{kind}>>")
+def _rank_map(ranks: dict[bytes, int]) -> Column:
+    """A literal array of maps from a token, as a string of bytes, to its rank; a token is in the map of its hash."""
+    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    for token, rank in ranks.items():
+        key = token.decode("latin-1")
+        buckets[xxhash.xxh64_intdigest(key.encode(), 42) % BUCKETS][key] = rank  # the number of buckets divides 2**64, so signs don't matter
+    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
 
 
-def _signed(x: int) -> int:
-    return x - 2**64 if x >= 2**63 else x
+def _word_map(words: DataFrame) -> Column:
+    """A literal array of maps from a word to its entry, made of a table (word, e) of a bounded number of short rows."""
+    spark = words.sparkSession
+    pairs = F.map_from_entries(F.collect_list(F.struct("word", "e")))
+    maps = words.groupBy(_bucket(F.col("word")).cast("long").alias("id")).agg(F.to_json(pairs).alias("json"))
+    every = spark.range(BUCKETS).join(maps, "id", "left").select(F.struct("id", F.coalesce("json", F.lit("{}")).alias("json")).alias("x"))
+    ordered = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["json"]), ",")
+    return F.from_json(F.lit("[" + every.agg(ordered.alias("json")).first().json + "]"), f"array<map<string,{_ENTRY}>>")
 
 
 def _lookup(maps: Column, key: Column) -> Column:
@@ -49,95 +60,149 @@ def _lookup(maps: Column, key: Column) -> Column:
 
 
 def _bound(value: Column, use) -> Column:
-    """use(value), with the value computed once."""
+    """use(value), with the value computed once; Catalyst would else put its expression wherever a lambda names it."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _with(literals: list[Column], use) -> Column:
+    """use(*literals), with each literal once in the plan: it is shipped, and printed, as often as it stands there."""
+
+    def bind(left: list[Column], names: list[Column]) -> Column:
+        return _bound(left[0], lambda x: bind(left[1:], [*names, x])) if left else use(*names)
+
+    return bind(literals, [])
+
+
 def words_of(text: Column, pattern: str) -> Column:
-    """The matches of the pattern, each as a string of bytes. White space is Unicode's, as in the pattern's own engine."""
-    return F.transform(F.regexp_extract_all(text, F.lit(f"(?U)({pattern})"), F.lit(0)), lambda w: F.decode(F.encode(w, "UTF-8"), "ISO-8859-1"))
+    """The matches of the pattern. White space is Unicode's, as in the pattern's own engine."""
+    return F.regexp_extract_all(text, F.lit(f"(?U)({pattern})"), F.lit(0))
 
 
 def encode_word(word: Column, ranks: Column) -> Column:
-    """The pieces of a word after all merges: a fold whose state is the pieces and the ranks of their neighbouring pairs."""
-    kind = "struct<p:array<string>,r:array<int>>"
+    """The pieces of a word after all merges: a fold whose state is the pieces, each with the rank of the pair that it begins."""
     rank = lambda pair: F.coalesce(_lookup(ranks, pair), F.lit(_NONE))
-    empty = F.array().cast("array<int>")
+    piece = lambda r, p: F.struct(r.alias("r"), p.alias("p"))
 
     def start(chars: Column) -> Column:
-        pairs = F.transform(F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))), lambda c, i: rank(F.concat(F.get(chars, i), c)))
-        return F.struct(chars.alias("p"), pairs.alias("r")).cast(kind)
+        return F.transform(chars, lambda c, i: piece(F.when(i + 1 < F.size(chars), rank(F.concat(c, F.get(chars, i + 1)))).otherwise(_NONE), c))
 
     def merge(acc: Column, pos: Column, new: Column) -> Column:
-        p, r = acc["p"], acc["r"]
-        left = F.when(pos > 1, F.array(rank(F.concat(F.get(p, pos - 2), new)))).otherwise(empty)
-        right = F.when(pos + 1 < F.size(p), F.array(rank(F.concat(new, F.get(p, pos + 1))))).otherwise(empty)
-        pieces = F.concat(F.slice(p, F.lit(1), pos - 1), F.array(new), F.slice(p, pos + 2, F.size(p)))
-        ranked = F.concat(F.slice(r, F.lit(1), F.greatest(pos - 2, F.lit(0))), left, right, F.slice(r, pos + 2, F.size(p)))
-        return F.struct(pieces.alias("p"), ranked.alias("r")).cast(kind)
+        before, after = F.get(acc, pos - 2)["p"], F.get(acc, pos + 1)["p"]
+        left = F.when(pos > 1, F.array(piece(rank(F.concat(before, new)), before))).otherwise(F.slice(acc, 1, 0))
+        own = F.array(piece(F.when(after.isNull(), _NONE).otherwise(rank(F.concat(new, after))), new))
+        return F.concat(F.slice(acc, F.lit(1), F.greatest(pos - 2, F.lit(0))), left, own, F.slice(acc, pos + 2, F.size(acc)))
 
     def step(acc: Column, _: Column) -> Column:
         best = F.array_min(acc["r"])
-        at = lambda pos: _bound(F.concat(F.get(acc["p"], pos - 1), F.get(acc["p"], pos)), lambda new: merge(acc, pos, new))
-        done = _bound(F.array_position(acc["r"], best).cast("int"), at)
-        return F.when(F.coalesce(best, F.lit(_NONE)) == _NONE, acc).otherwise(done).cast(kind)
+        at = lambda pos: _bound(F.concat(F.get(acc, pos - 1)["p"], F.get(acc, pos)["p"]), lambda new: merge(acc, pos, new))
+        return F.when(best == _NONE, acc).otherwise(_bound(F.array_position(acc["r"], best).cast("int"), at))
 
     def fold(chars: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), start(chars), step)["p"]
+        return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(chars), F.lit(2))), start(chars), step)["p"]
 
-    return _bound(F.filter(F.split(word, ""), lambda c: c != ""), fold)
+    return _bound(F.filter(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: c != ""), fold)
 
 
 def _entry(word: Column, ranks: Column, tokens: Column) -> Column:
-    """(n, ids, back) of a word: its number of ids, the ids as hex of little-endian 32 bits, and the bytes that they decode to."""
+    """(ids, back) of a word: its ids as hex of little-endian 32 bits, and the bytes that they decode to."""
 
     def of(ids: Column) -> Column:
         digits = F.transform(ids, lambda i: F.concat(F.lpad(F.hex(i % 256), 2, "0"), F.lpad(F.hex(F.floor(i / 256) % 256), 2, "0"), F.lpad(F.hex(F.floor(i / 65536)), 2, "0"), F.lit("00")))
         back = F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), "")
-        return F.struct(F.size(ids).alias("n"), F.array_join(digits, "").alias("ids"), back.alias("back")).cast(_ENTRY)
+        return F.struct(F.array_join(digits, "").alias("ids"), back.alias("back")).cast(_ENTRY)
 
     return _bound(F.transform(encode_word(word, ranks), lambda piece: _lookup(ranks, piece)), of)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, common: int = COMMON, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges with a heap of pairs and a list of neighbours: n log n steps for n bytes."""
+    pieces: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
+    before, after = list(range(-1, len(word) - 1)), list(range(1, len(word) + 1))
+    heap: list[tuple[int, int, bytes]] = []
+
+    def offer(i: int) -> None:
+        if i >= 0 and after[i] < len(word) and (rank := ranks.get(pair := pieces[i] + pieces[after[i]])) is not None:
+            heapq.heappush(heap, (rank, i, pair))
+
+    for i in range(len(word) - 1):
+        offer(i)
+    while heap:
+        _, i, pair = heapq.heappop(heap)
+        if pieces[i] is None or after[i] >= len(word) or pieces[i] + pieces[after[i]] != pair:
+            continue  # one of the two has been merged since
+        j = after[i]
+        pieces[i], pieces[j], after[i] = pair, None, after[j]
+        if after[j] < len(word):
+            before[after[j]] = i
+        offer(before[i])
+        offer(i)
+    return [ranks[p] for p in pieces if p is not None]
+
+
+def _long_words(path: str):
+    """The entries of the words of each array, for those few that are too long for a fold."""
+
+    @F.pandas_udf(f"array<{_ENTRY}>")
+    def entries(words: pd.Series) -> pd.Series:
+        found, by_rank = {}, {}
+
+        def entry(word: str) -> dict:
+            if not found:
+                found.update(read_ranks(path))
+                by_rank.update((r, t) for t, r in found.items())
+            ids = merge_long(word.encode(), found)
+            return {"ids": b"".join(i.to_bytes(4, "little") for i in ids).hex(), "back": b"".join(by_rank[i] for i in ids).decode("latin-1")}
+
+        return words.map(lambda own: [entry(w) for w in own])
+
+    return entries
+
+
+def encode_documents(docs: DataFrame, path: str, pattern: str, common: int = COMMON, long: int = LONG, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text and decode its ids again: (doc_id, n_tokens, ids_sha256, decoded_sha256).
 
     Words are the pattern's matches; each is encoded by itself, without special tokens. Every byte has a rank of its own, so
     that any text can be encoded. A null text is empty, has no ids, and the digests of nothing. Null and repeated ids keep
-    their rows. An empty table gives an empty result. Other columns are ignored. A word of n bytes costs n steps over n pieces."""
-    spark = docs.sparkSession
-    byte_ranks = read_ranks(spark, path)
-    table = {token.decode("latin-1"): rank for token, rank in byte_ranks.items()}
-    by_rank = [""] * (max(table.values()) + 1)
-    for token, rank in table.items():
-        by_rank[rank] = token
-    ranks, tokens = _literal(table, "int"), F.from_json(F.lit(json.dumps(by_rank)), "array<string>")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("doc_id", words_of(F.col("text"), pattern).alias("words"))
-
-    known = None
+    their rows. An empty table gives an empty result. Other columns are ignored. A word of more than `long` bytes is merged with a heap."""
+    byte_ranks = read_ranks(path)
+    by_rank = [""] * (max(byte_ranks.values()) + 1)
+    for token, rank in byte_ranks.items():
+        by_rank[rank] = token.decode("latin-1")
+    literals = [_rank_map(byte_ranks), F.from_json(F.lit(json.dumps(by_rank)), "array<string>")]
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), words_of(F.coalesce(F.col(text_col), F.lit("")), pattern).alias("words"))
+
     if common:
-        counted = source.select(F.explode("words").alias("word")).where(F.length("word") <= COMMON_CHARS).groupBy("word").count()
+        counted = source.select(F.explode("words").alias("word")).groupBy("word").count().where(F.length("word") <= COMMON_CHARS)
         chosen = materialise(counted.orderBy(F.desc("count"), "word").limit(common).select("word"))
-        encoded = chosen.repartition(8).select("word", _entry(F.col("word"), ranks, tokens).alias("e")).select("word", "e.*").collect()  # at most `common` short rows
-        known = _literal({r.word: {"n": r.n, "ids": r.ids, "back": r.back} for r in encoded}, _ENTRY)
-
-    if known is None:
-        entry = lambda w: _entry(w, ranks, tokens)
-        found = F.transform("words", entry)
-        out = source.select("doc_id", found.alias("e"))
-    else:
-        # each array is bound before a lambda names it; Catalyst would else compute it anew for every word
-        def with_rare(words: Column, e: Column) -> Column:
-            rare = F.array_distinct(F.filter(words, lambda w, i: F.get(e, i).isNull()))
-            return _bound(rare, lambda r: _bound(F.transform(r, lambda w: _entry(w, ranks, tokens)), lambda own: filled(words, e, r, own)))
-
-        def filled(words: Column, e: Column, rare: Column, own: Column) -> Column:
-            return F.transform(words, lambda w, i: F.coalesce(F.get(e, i), F.get(own, (F.array_position(rare, w) - 1).cast("int"))))
-
-        every = _bound(F.col("words"), lambda words: _bound(F.transform(words, lambda w: _lookup(known, w)), lambda e: with_rare(words, e)))
-        out = source.select("doc_id", every.alias("e"))
-    joined = lambda field: F.array_join(F.transform("e", lambda x: x[field]), "")
+        literals.append(_word_map(chosen.repartition(16).select("word", _with(literals, lambda ranks, tokens: _entry(F.col("word"), ranks, tokens)).alias("e"))))
+        discard(chosen)
+    too_long = lambda w: F.octet_length(w) > long
+
+    def stretches(words: Column, ranks: Column, tokens: Column, known: Column | None = None) -> Column:
+        """(ids, back) of each stretch of the words: common ones are looked up, other distinct ones folded."""
+        seen = lambda w: _lookup(known, w) if known is not None else F.lit(None).cast(_ENTRY)
+
+        def stretch(some: Column) -> Column:
+            return _bound(F.transform(some, seen), lambda e: _bound(F.array_distinct(F.filter(some, lambda w, i: F.get(e, i).isNull() & ~too_long(w))), lambda rare: folded(some, e, rare)))
+
+        def folded(some: Column, e: Column, rare: Column) -> Column:
+            return _bound(F.transform(rare, lambda w: _entry(w, ranks, tokens)), lambda own: _bound(filled(some, e, rare, own), joined))
+
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(STRETCH))
+        return F.transform(starts, lambda at: _bound(F.slice(words, at, STRETCH), stretch))
+
+    def filled(words: Column, e: Column, rare: Column, own: Column) -> Column:
+        other = lambda w: F.when(too_long(w), F.get("long_entries", (F.array_position("long_words", w) - 1).cast("int"))).otherwise(F.get(own, (F.array_position(rare, w) - 1).cast("int")))
+        return F.transform(words, lambda w, i: F.coalesce(F.get(e, i), other(w)))
+
+    def joined(entries: Column) -> Column:
+        return F.struct(*[F.array_join(F.transform(entries, lambda x: x[f]), "").alias(f) for f in ("ids", "back")])
+
+    source = source.withColumn("long_words", F.array_distinct(F.filter("words", too_long)))
+    source = source.withColumn("long_entries", _long_words(path)("long_words"))
+    out = source.select("doc_id", _with(literals, lambda *maps: stretches(F.col("words"), *maps)).alias("e"))
+    whole = lambda f: F.array_join(F.transform("e", lambda x: x[f]), "")
+    out = out.select("doc_id", whole("ids").alias("ids"), whole("back").alias("back"))
     return out.select(
-        "doc_id", F.aggregate("e", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("n_tokens"),
-        F.sha2(F.unhex(joined("ids")), 256).alias("ids_sha256"), F.sha2(F.encode(joined("back"), "ISO-8859-1"), 256).alias("decoded_sha256"),
+        "doc_id", F.expr("cast(octet_length(ids) div 8 as bigint)").alias("n_tokens"), F.sha2(F.unhex("ids"), 256).alias("ids_sha256"), F.sha2(F.encode("back", "ISO-8859-1"), 256).alias("decoded_sha256")
     )
