@@ -143,7 +143,7 @@ def _pack(length: int):
 def pack(docs: DataFrame, path: str, length: int = 4096, end_id: int = 2, group_pieces: int = 8192, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise every text, add end_id, cut it into pieces of at most `length` ids and pack the pieces into sequences.
 
-    Pieces are dealt at random (a hash of id, start and crc32) to groups of about group_pieces, however many there are, so no
+    Pieces are dealt at random (a hash of id, start and row) to groups of about group_pieces, however many there are, so no
     group grows with the input; each group is packed by first-fit decreasing. Only the pieces' descriptions are shuffled.
 
     A null or empty text is the single id end_id. Repeated rows are packed as often as they occur. Null ids are kept.
@@ -154,5 +154,5 @@ def pack(docs: DataFrame, path: str, length: int = 4096, end_id: int = 2, group_
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = materialise(source.mapInArrow(_pieces(path, length, end_id), schema))
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups)))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)))
     return dealt.repartition(min(groups, 4 * tasks(spark)), "grp").groupBy("grp").applyInArrow(_pack(length), schema + ", sequence_id long, offset long")

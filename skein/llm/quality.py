@@ -153,8 +153,9 @@ def fit(source: DataFrame, labels: DataFrame, positives: int = MAX_POSITIVES, un
     prior = known.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0]
     by_hash = lambda df, n, flag: df.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(n)), "doc_id").limit(n).withColumn("positive", F.lit(flag))
     chosen = by_hash(known.where("label = 1"), positives, True).union(by_hash(source.where(~held_out("doc_id") & F.col("doc_id").isNotNull()), unlabelled, False))
-    # at most positives + unlabelled ids, whatever the input
-    sample = source.join(F.broadcast(chosen), "doc_id").select("positive", "text").mapInArrow(_features, "positive boolean, x binary").collect()
+    # at most positives + unlabelled ids, whatever the input, and one text of each
+    texts = source.join(F.broadcast(chosen.distinct()), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
+    sample = texts.select("positive", "text").mapInArrow(_features, "positive boolean, x binary").collect()
     x = {flag: np.array([np.frombuffer(r.x, np.float32) for r in sample if r.positive == flag]) for flag in (True, False)}
     if not len(x[True]) or not len(x[False]):
         return spark.sparkContext.broadcast(None)
