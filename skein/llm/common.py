@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,21 +14,37 @@ BATCH_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="skein-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as a table into the shared folder and read it again; lost executors lose none of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skein-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise wrote and that nothing reads any more."""
+    for df in tables:
+        if path := _places.pop(df, None):
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def short_batches(spark: SparkSession) -> None:

@@ -9,16 +9,21 @@ import random
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialise, tasks
+from .common import discard, materialise, tasks
 from .components import components
 
 #: Characters of a shingle, minima of a signature, and the bands: twelve sets of four minima, each minimum in two of them, drawn
-#: once and for all.
-SHINGLE, MINIMA = 5, 24
+#: once and for all. A pair that shares a band is compared if at least AGREE of its minima are equal.
+SHINGLE, MINIMA, AGREE = 5, 24, 13
 _DRAW = random.Random(5)
 BANDS = tuple(tuple(sorted(order[i : i + 4])) for order in (_DRAW.sample(range(MINIMA), MINIMA) for _ in range(2)) for i in range(0, MINIMA, 4))
-#: Shingles of a chunk of a line, rows of a bucket that one task pairs, and counters that tell large buckets.
-_CHUNK, _BUCKET_ROWS, _COUNTERS = 4096, 50_000, 1 << 16
+#: Shingles of a row that is folded, rows of a bucket that one task pairs, counters that tell large buckets, and bits of the filter of lines.
+_STEP, _BUCKET_ROWS, _COUNTERS, _FILTER = 4, 50_000, 1 << 16, 1 << 26
+#: Lines of a large bucket, and how many of its lines all its lines are compared with at first.
+_LARGE, _CENTRES = 32, 6
+#: Bits of a minimum in a sketch, and the lowest bits of its twelve fields in each of a sketch's two halves.
+_BITS = 5
+_LOWEST = sum(1 << (_BITS * i) for i in range(MINIMA // 2))
 
 
 def _mask(i: int) -> int:
@@ -27,96 +32,195 @@ def _mask(i: int) -> int:
     return (int(f"{i:05b}"[::-1], 2) << 27 | random.Random(i).getrandbits(27)) - 2**31
 
 
-def _units(line: str = "line") -> Column:
-    """A line as four bytes a character, so that a shingle is cut out in constant time."""
-    return F.encode(F.col(line), "UTF-32")
-
-
 def _last(units: str) -> str:
-    """The place of a line's last shingle; a line shorter than a shingle is one itself."""
+    """The place of the last shingle of a line in UTF-32; a line shorter than a shingle is one itself."""
     return f"greatest(octet_length({units}) div 4 - {SHINGLE}, 0)"
 
 
-def lines_of(docs: DataFrame, width: int) -> DataFrame:
-    """(pos, line, k1, k2) of each line that is not blank, trimmed of spaces, tabs and carriage returns: pos is doc_id * width + its number, k1 and k2 a 128-bit key."""
-    each = docs.where("doc_id is not null").select((F.col("doc_id") * F.lit(width)).alias("base"), F.posexplode(F.split("text", "\n")).alias("number", "line"))
+def _grams(line: str) -> Column:
+    """The hashes of a line's shingles. The line's units, four bytes a character, are bound, or each shingle would make them anew."""
+    hashes = f"transform(sequence(0, {_last('u')}), i -> xxhash64(substring(u, 4 * i + 1, {4 * SHINGLE})))"
+    return F.expr(f"element_at(transform(array(encode({line}, 'UTF-32')), u -> {hashes}), 1)")
+
+
+def lines_of(docs: DataFrame, lowest: int, width: int) -> DataFrame:
+    """(pos, line, k1, k2) of each line that is not blank, trimmed of spaces, tabs and carriage returns: pos is (doc_id - lowest) * width + its number, k1 and k2 a 128-bit key."""
+    base = (F.col("doc_id") - F.lit(lowest)) * F.lit(width)
+    each = docs.where("doc_id is not null").select(base.alias("base"), F.posexplode(F.split("text", "\n")).alias("number", "line"))
     each = each.select((F.col("base") + F.col("number")).alias("pos"), F.btrim("line", F.lit(" \t\r")).alias("line")).where("line <> ''")
     return each.select("pos", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(pos, m0, m1, ...) of each different line: its first place and the minima of its shingles' hashes. One row a line and
-    task is shuffled; the shingles are folded as they are made."""
-    units = lines.select("pos", "k1", "k2", _units().alias("u"))
-    chunks = units.select("*", F.explode(F.expr(f"sequence(0, {_last('u')} div {_CHUNK})")).alias("c"))
-    grams = chunks.select("pos", "k1", "k2", "u", F.explode(F.expr(f"sequence(c * {_CHUNK}, least(c * {_CHUNK} + {_CHUNK - 1}, {_last('u')}))")).alias("i"))
-    hashed = grams.select("pos", "k1", "k2", F.expr(f"hash(substring(u, 4 * i + 1, {4 * SHINGLE}))").alias("h"))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(_mask(i)))).alias(f"m{i}") for i in range(MINIMA)]
-    return hashed.groupBy("k1", "k2").agg(F.min("pos").alias("pos"), *minima).drop("k1", "k2")
+    """(k1, k2, pos, last, m0, m1, ...) of each different line: its first and last place and the minima of its shingles' hashes.
+    One row a line and task is shuffled; _STEP shingles at a time are folded as they are made."""
+    units = lines.select("pos", "k1", "k2", F.encode("line", "UTF-32").alias("u")).withColumn("end", F.expr(_last("u")))
+    steps = units.select("*", F.explode(F.expr(f"sequence(0, end div {_STEP})")).alias("i"))
+    hashed = steps.select("pos", "k1", "k2", *[F.expr(f"hash(substring(u, 4 * least({_STEP} * i + {j}, end) + 1, {4 * SHINGLE}))").alias(f"h{j}") for j in range(_STEP)])
+    minima = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(_mask(i))) for j in range(_STEP)])).alias(f"m{i}") for i in range(MINIMA)]
+    return hashed.groupBy("k1", "k2").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"), *minima)
 
 
-def _grams(line: str) -> Column:
-    """The distinct hashes of a line's shingles. The line's units are bound, or each shingle would make them anew."""
-    hashes = f"transform(sequence(0, {_last('u')}), i -> xxhash64(substring(u, 4 * i + 1, {4 * SHINGLE})))"
-    return F.expr(f"element_at(transform(array(encode({line}, 'UTF-32')), u -> array_distinct({hashes})), 1)")
+def _sketches(signed: DataFrame) -> DataFrame:
+    """(pos, s0, s1): the last bits of the minima of each line."""
+    half = lambda h: sum(F.shiftleft(F.col(f"m{MINIMA // 2 * h + i}").bitwiseAND(2**_BITS - 1).cast("long"), _BITS * i) for i in range(MINIMA // 2))
+    return signed.select("pos", half(0).alias("s0"), half(1).alias("s1"))
+
+
+def _agree(x: str, y: str) -> Column:
+    """Whether enough of two lines' minima can be equal."""
+    different = F.lit(0)
+    for half in ("s0", "s1"):
+        v = F.col(f"{x}{half}").bitwiseXOR(F.col(f"{y}{half}"))
+        for shift in (1, 2):  # gathers a field's five bits in its lowest one
+            v = v.bitwiseOR(F.shiftrightunsigned(v, shift))
+        v = v.bitwiseOR(F.shiftrightunsigned(F.col(f"{x}{half}").bitwiseXOR(F.col(f"{y}{half}")), _BITS - 1))
+        different += F.bit_count(v.bitwiseAND(_LOWEST))
+    return different <= MINIMA - AGREE
+
+
+def _some(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """The lines whose pos is among ids, and a few more: a filter of 8 MB, whatever the input, spares most texts the shuffle."""
+    place = F.pmod(F.xxhash64("pos"), F.lit(_FILTER))
+    maps = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    marked = lines.select("pos", "line", F.bitmap_bucket_number(place).alias("chunk"), F.bitmap_bit_position(place).alias("at")).join(F.broadcast(maps), "chunk")
+    return marked.where("shiftright(cast(conv(hex(substring(bits, cast(at div 8 as int) + 1, 1)), 16, 10) as int), cast(at % 8 as int)) & 1 = 1").select("pos", "line")
 
 
 def _verified(lines: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) whose lines' shingle sets have a Jaccard similarity of num/den or more."""
-    buckets = 1 << 20
     ids = pairs.select(F.explode(F.array("a", "b")).alias("pos")).distinct()
-    # at most 2**20 short rows, whatever the input: spares most lines the shuffle
-    needed = F.broadcast(ids.select(F.pmod("pos", F.lit(buckets)).alias("bucket")).distinct())
-    few = lines.select("pos", "line").withColumn("bucket", F.pmod("pos", F.lit(buckets))).join(needed, "bucket", "left_semi").select("pos", "line")
-    texts = materialise(few.join(ids.hint("merge"), "pos", "left_semi"))
-    both = pairs.join(texts.select(F.col("pos").alias("b"), F.col("line").alias("y")), "b").join(texts.select(F.col("pos").alias("a"), F.col("line").alias("x")), "a")
-    sets = both.select("a", "b", _grams("x").alias("x"), _grams("y").alias("y"))
-    counts = sets.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("n"))
-    return materialise(counts.where(F.col("n") * (num + den) >= (F.col("nx") + F.col("ny")) * num).select("a", "b"))
+    # joins by merging at every size: a side that is small here is large elsewhere; an inner join, since a semi-join would be pushed below the filter
+    texts = _some(lines, ids).join(ids.hint("merge"), "pos").select("pos", "line", F.size(F.array_distinct(_grams("line"))).alias("n"))
+    texts = materialise(texts)
+    left, right = (texts.select(F.col("pos").alias(c), F.col("line").alias(f"{c}line"), F.col("n").alias(f"{c}n")).hint("merge") for c in "ab")
+    both = pairs.join(right, "b").join(left, "a").where(F.least("an", "bn").cast("long") * den >= F.greatest("an", "bn").cast("long") * num)
+    # a generator, so that each set is made once and not once for each use of it
+    sets = both.select("a", "b", (F.col("an") + F.col("bn")).alias("n"), F.inline(F.array(F.struct(_grams("aline").alias("x"), _grams("bline").alias("y")))))
+    found = materialise(sets.where(F.size(F.array_intersect("x", "y")).cast("long") * (num + den) >= F.col("n").cast("long") * num).select("a", "b"))
+    discard(texts)
+    return found
+
+
+def _bands(signed: DataFrame) -> DataFrame:
+    """(band, part, parts, pos): the bands of each line; large ones are dealt to several parts, from 1 (0 is one that is not split)."""
+    bands = signed.select("pos", F.explode(_names()).alias("band"))
+    counter = F.pmod("band", F.lit(_COUNTERS))
+    large = bands.groupBy(counter.alias("counter")).count().where(f"count > {_BUCKET_ROWS}")  # at most 2**16 rows
+    dealt = bands.withColumn("counter", counter).join(F.broadcast(large), "counter", "left")
+    parts = F.when(F.col("count").isNotNull(), F.ceil(F.col("count") / _BUCKET_ROWS)).otherwise(0).cast("int")
+    return dealt.select("band", F.when(parts > 0, F.pmod(F.xxhash64("pos"), parts) + 1).otherwise(0).cast("int").alias("part"), parts.alias("parts"), "pos")
 
 
-def similar_lines(lines: DataFrame, num: int, den: int) -> DataFrame:
+def _names() -> Column:
+    return F.array(*[F.xxhash64(F.lit(b), *[f"m{i}" for i in rows]) for b, rows in enumerate(BANDS)])
+
+
+def similar_lines(lines: DataFrame, signed: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component) of the different lines that are similar to another, each by its first place.
 
-    In a bucket of a band every line is paired with the bucket's first line; then lines of different components that still share a bucket are
-    paired, so that groups of copies cost their size. Large buckets are dealt to several tasks by counters of a fixed number."""
-    spark = lines.sparkSession
-    signed = materialise(signatures(lines))
-    names = F.array(*[F.xxhash64(F.lit(b), *[f"m{i}" for i in rows]) for b, rows in enumerate(BANDS)])
-    bands = signed.select("pos", F.explode(names).alias("band"))
-    counter = F.pmod("band", F.lit(_COUNTERS))
-    large = bands.groupBy(counter.alias("counter")).count().where(f"count > {_BUCKET_ROWS}")  # at most 2**16 rows
-    dealt = bands.withColumn("counter", counter).join(F.broadcast(large), "counter", "left")
-    # part 0 is a bucket that is not split
-    dealt = dealt.select("band", F.coalesce(F.pmod(F.xxhash64("pos"), F.ceil(F.col("count") / _BUCKET_ROWS)) + 1, F.lit(0)).cast("int").alias("part"), "pos")
+    In a bucket of a band every line is compared with the bucket's first line, in a large one with some others too. What is then linked to the bucket's largest component
+    is done with; the other lines are compared with all lines of other components in the bucket, in the first band that the two share. So a group of
+    copies costs its size, and no pair that shares a band is left out unless its lines are linked already or too few of their minima agree."""
     bucket = Window.partitionBy("band", "part")
-    met = dealt.select("band", "part", "pos", F.min("pos").over(bucket).alias("first"), F.count("*").over(bucket).alias("c"))
-    kept = materialise(met.where("c > 1 or part > 0").select("band", "pos", "first"))
-    heads = kept.where("pos = first").groupBy("band").agg(F.min("pos").alias("head"), F.count("*").alias("c")).where("c > 1")
-    across = kept.where("pos = first").join(heads, "band").where("pos <> head").select(F.col("head").alias("a"), F.col("pos").alias("b"))
-    pairs = materialise(kept.where("pos <> first").select(F.col("first").alias("a"), F.col("pos").alias("b")).union(across).distinct())
+    met = _bands(signed).select("*", F.min("pos").over(bucket).alias("first"), F.count("*").over(bucket).alias("c"))
+    kept = materialise(met.where("c > 1 or part > 0"))
+    firsts = kept.where("part > 0 and pos = first")
+    heads = firsts.groupBy("band").agg(F.min("pos").alias("head"), F.count("*").alias("n")).where("n > 1")
+    across = firsts.join(heads, "band").where("pos <> head").select(F.col("head").alias("a"), F.col("pos").alias("b"))
+    star = kept.where("pos <> first").select(F.col("first").alias("a"), F.col("pos").alias("b")).union(across).distinct()
+    sketch = materialise(_sketches(signed))
+    left, right = (sketch.select(F.col("pos").alias(c), F.col("s0").alias(f"{c}s0"), F.col("s1").alias(f"{c}s1")).hint("merge") for c in "ab")
+    pairs = star.join(right, "b").join(left, "a").where(_agree("a", "b")).select("a", "b")
+    # lines that share a passage are often similar to some of a large bucket's lines, but not to the first one
+    large = kept.where(f"c > {_LARGE}").select("band", "part", "pos").join(sketch.hint("merge"), "pos")
+    order = Window.partitionBy("band", "part").orderBy(F.xxhash64("band", "pos"))
+    chosen = large.withColumn("n", F.row_number().over(order)).where(F.col("n") <= _CENTRES).drop("n")
+    centres, others = (df.select("band", "part", F.col("pos").alias(c), F.col("s0").alias(f"{c}s0"), F.col("s1").alias(f"{c}s1")) for df, c in ((chosen, "a"), (large, "b")))
+    around = others.join(centres.hint("merge"), ["band", "part"]).where((F.col("a") != F.col("b")) & _agree("a", "b"))
+    pairs = materialise(pairs.union(around.select(F.least("a", "b"), F.greatest("a", "b"))).distinct())
     links = _verified(lines, pairs, num, den)
     so_far = materialise(components(links))
-    # joins by merging at every size: a side that is small here is large elsewhere
-    placed = kept.select("band", "pos").join(so_far.withColumnRenamed("node", "pos").hint("merge"), "pos", "left").withColumn("component", F.coalesce("component", "pos"))
-    placed = materialise(placed)
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    placed = materialise(placed.join(mixed.hint("merge"), "band"))
-    x, y = placed.alias("x"), placed.alias("y")
-    rest = x.join(y, F.col("x.band") == F.col("y.band")).where("x.pos < y.pos and x.component <> y.component").select(F.col("x.pos").alias("a"), F.col("y.pos").alias("b"))
-    rest = materialise(rest.distinct().join(pairs, ["a", "b"], "left_anti"))
-    return components(links.union(_verified(lines, rest, num, den))).repartition(tasks(spark), "node")
-
-
-def removed_lines(docs: DataFrame, width: int, num: int = 75, den: int = 100) -> DataFrame:
-    """(pos, kept) of each line that goes, and the line that stays for it: the first of its component, in order of id and number."""
-    lines = lines_of(docs, width)
-    first = lines.groupBy("k1", "k2").agg(F.min("pos").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    similar = materialise(similar_lines(lines, num, den)).where("node <> component")
-    copies = lines.select("pos", "k1", "k2").join(first, ["k1", "k2"]).select("pos", "first")
-    copies = copies.join(similar.withColumnRenamed("node", "first"), "first", "left").select("pos", F.coalesce("component", "first").alias("kept")).where("pos <> kept")
-    alone = similar.select(F.col("node").alias("pos"), F.col("component").alias("kept"))
-    return copies.union(alone).distinct()
+
+    # a bucket of two lines is done with
+    more = kept.where("c > 2 or part > 0").drop("c").join(so_far.withColumnRenamed("node", "pos").hint("merge"), "pos", "left")
+    placed = materialise(more.withColumn("component", F.coalesce("component", "pos")))
+    counted = placed.groupBy("band", "component").agg(F.count("*").alias("c"))
+    main = counted.groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("different")).where("different > 1").drop("different")
+    # bands as 32 bits tell which one is the first that two lines share
+    facts = signed.select("pos", F.transform(_names(), lambda n: F.hash(n)).alias("names")).join(sketch.hint("merge"), "pos").hint("merge")
+    mixed = materialise(placed.join(main.hint("merge"), "band").join(facts, "pos"))
+    # a line that is not of the bucket's largest component goes to all parts of it
+    others = mixed.where("component <> main").withColumn("part", F.explode(F.expr("if(parts > 0, sequence(1, parts), array(0))")))
+    x, y = others.select([F.col(c).alias(f"x{c}") for c in others.columns]), mixed.select([F.col(c).alias(f"y{c}") for c in mixed.columns])
+    differ = (F.col("xcomponent") != F.col("ycomponent")) & ((F.col("ycomponent") == F.col("ymain")) | (F.col("xpos") < F.col("ypos")))
+    untried = (F.col("xpart") > 0) | ((F.col("xpos") != F.col("xfirst")) & (F.col("ypos") != F.col("xfirst")))
+    shared = [F.expr(f"if(xnames[{b}] = ynames[{b}], {b}, null)") for b in range(len(BANDS))]
+    here = F.coalesce(*shared) == F.array_position("xnames", F.hash("xband")) - 1
+    rest = x.hint("merge").join(y, (F.col("xband") == F.col("yband")) & (F.col("xpart") == F.col("ypart")) & differ & untried & _agree("x", "y") & here)
+    rest = rest.select(F.least("xpos", "ypos").alias("a"), F.greatest("xpos", "ypos").alias("b")).distinct()
+    rest = materialise(rest.join(pairs.hint("merge"), ["a", "b"], "left_anti"))
+    last = _verified(lines, rest, num, den)
+    found = materialise(components(links.union(last)).repartition(tasks(lines.sparkSession), "node"))
+    discard(kept, sketch, pairs, links, so_far, placed, mixed, rest, last)
+    return found
+
+
+def _ranked(docs: DataFrame) -> DataFrame:
+    """docs with their ids' ranks in the place of the ids, and the ids as `real`."""
+    spark = docs.sparkSession
+    ids = docs.select("doc_id").where("doc_id is not null").distinct().repartitionByRange(tasks(spark), "doc_id").sortWithinPartitions("doc_id")
+    ids = materialise(ids.select("doc_id", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row")))
+    totals = ids.groupBy("pid").count()  # one row a partition
+    before = F.coalesce(F.sum("count").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = ids.join(F.broadcast(totals.select("pid", before.alias("before"))), "pid").select("doc_id", (F.col("before") + F.col("row")).alias("rank"))
+    return materialise(docs.join(ranks.hint("merge"), "doc_id").select(F.col("rank").alias("doc_id"), F.col("doc_id").alias("real"), "text"))
+
+
+def removed_lines(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
+    """(doc_id, removed) of each document of (doc_id, text) that loses lines: an array of (line, kept_doc, kept_line), by line.
+
+    Lines are ordered by id and number; the first of a component stays. Ids whose span, times the longest text, does not fit a long are
+    replaced by their ranks meanwhile."""
+    found = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(F.octet_length("text")).alias("width")).first()
+    lowest, width = found.lo or 0, (found.width or 0) + 1
+    ranked = None
+    if found.lo is not None and (found.hi - found.lo + 1) * width >= 2**63:
+        ranked, lowest = _ranked(docs), 0
+    lines = lines_of(docs if ranked is None else ranked, lowest, width)
+    signed = materialise(signatures(lines))
+    similar = similar_lines(lines, signed, num, den)
+    classes = signed.select("k1", "k2", "pos", "last").join(similar.withColumnRenamed("node", "pos").hint("merge"), "pos", "left")
+    gone = classes.select("k1", "k2", "pos", "last", F.coalesce("component", "pos").alias("kept")).where("pos <> last or pos <> kept")
+    each = lines.select("pos", "k1", "k2").join(gone.drop("pos", "last").hint("merge"), ["k1", "k2"]).where("pos <> kept").select("pos", "kept").distinct()
+    doc = lambda c: F.expr(f"({c} div {width}L) + {lowest}L")
+    number = lambda c: F.expr(f"cast(pmod({c}, {width}L) as int)")
+    listed = each.select(doc("pos").alias("doc_id"), number("pos").alias("line"), doc("kept").alias("kept_doc"), number("kept").alias("kept_line"))
+    if ranked is not None:
+        real = ranked.select("doc_id", "real").distinct()
+        listed = listed.join(real.hint("merge"), "doc_id").drop("doc_id").withColumnRenamed("real", "doc_id")
+        listed = listed.join(real.toDF("kept_doc", "real").hint("merge"), "kept_doc").drop("kept_doc").withColumnRenamed("real", "kept_doc")
+    by_doc = listed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line", "kept_doc", "kept_line"))).alias("removed"))
+    by_doc = materialise(by_doc)
+    discard(signed, similar, *([ranked] if ranked is not None else []))
+    return by_doc
+
+
+def _judged(docs: DataFrame, num: int, den: int, id_col: str, text_col: str, row: Column) -> DataFrame:
+    """(row, n_lines, removed) of each row of docs."""
+    gone = removed_lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), num, den)
+    count = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n")))
+    rows = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("_doc"), count.alias("n_lines"))
+    joined = rows.join(gone.withColumnRenamed("doc_id", "_doc").hint("merge"), "_doc", "left")
+    return joined.select("row", "n_lines", F.coalesce("removed", F.array().cast("array<struct<line:int,kept_doc:bigint,kept_line:int>>")).alias("removed"))
+
+
+def _stay(text_col: str) -> Column:
+    """The text of the row without its removed lines."""
+    text = F.col("row").getField(text_col)
+    numbers = F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), F.transform("removed", lambda r: r["line"]))
+    one = F.transform(F.array(F.split(text, "\n")), lambda cut: F.array_join(F.transform(numbers, lambda i: F.get(cut, i)), "\n"))
+    return F.when(F.size("removed") > 0, F.element_at(one, 1)).otherwise(text)
 
 
 def dedup_lines(docs: DataFrame, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
@@ -124,25 +228,19 @@ def dedup_lines(docs: DataFrame, num: int = 75, den: int = 100, id_col: str = "d
     of (line, kept_doc, kept_line) of the lines that went, numbered from 0. The text column has the lines that stay, in order.
 
     Lines are cut at line feeds and compared trimmed; two are similar when the Jaccard similarity of their sets of five-character shingles
-    is num/den or more; a shorter line is one shingle. The banding finds a pair of that similarity with a probability of about 0.98, more alike ones
+    is num/den or more; a shorter line is one shingle. The banding finds a pair of that similarity with a probability of about 0.97, more alike ones
     nearly always; equal lines always. Blank lines stay and are compared with nothing. A null text stays null, with no lines. A document
-    with a null id stays as it is. Rows with one id count as one document and lose the same lines. An empty table gives an empty result.
-    Ids times the longest text's bytes must fit a long. Without with_text the text column is left out and texts are not shuffled."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    width = (source.agg(F.max(F.octet_length("text"))).first()[0] or 0) + 1
-    gone = removed_lines(source, width, num, den)
-    whole = lambda c: F.expr(f"({c} - pmod({c}, {width}L)) div {width}L")
-    part = lambda c: F.expr(f"cast(pmod({c}, {width}L) as int)")
-    listed = gone.select(whole("pos").alias("_doc"), F.struct(part("pos").alias("line"), whole("kept").alias("kept_doc"), part("kept").alias("kept_line")).alias("r"))
-    by_doc = listed.groupBy("_doc").agg(F.sort_array(F.collect_list("r")).alias("removed"))
-    found = docs.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n"))))
-    if not with_text:
-        found = found.drop(text_col)
-    joined = found.join(by_doc, found[id_col] == by_doc["_doc"], "left").drop("_doc")
-    joined = joined.withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<line:int,kept_doc:bigint,kept_line:int>>")))
-    joined = joined.withColumn("n_kept", F.col("n_lines") - F.size("removed"))
-    if with_text:
-        numbers = F.expr("transform(removed, r -> r.line)")
-        stay = F.array_join(F.filter(F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(numbers, s["i"]))["x"], "\n")
-        joined = joined.withColumn(text_col, F.when(F.size("removed") > 0, stay).otherwise(F.col(text_col)))
-    return joined
+    with a null id stays as it is. Rows with one id count as one document and lose the same lines. Any ids of 64 bits will do. An empty table gives
+    an empty result. Columns of docs named n_lines, n_kept or removed give way to the result's. Without with_text the text column is left out and texts are not shuffled."""
+    others = [c for c in docs.columns if c not in ("n_lines", "n_kept", "removed") and (with_text or c != text_col)]
+    judged = _judged(docs, num, den, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in others]))
+    columns = [_stay(text_col).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in others]
+    return judged.select(*columns, "n_lines", (F.col("n_lines") - F.size("removed")).alias("n_kept"), "removed")
+
+
+def keep_lines(docs: DataFrame, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows and columns of docs, whatever their names, with the lines that stay as dedup_lines finds them; a row that loses its last line that is
+    not blank goes."""
+    judged = _judged(docs, num, den, id_col, text_col, F.struct("*")).withColumn("stay", _stay(text_col))
+    left = judged.where((F.size("removed") == 0) | (F.btrim("stay", F.lit(" \n\r\t")) != ""))
+    return left.select(*[F.col("stay").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

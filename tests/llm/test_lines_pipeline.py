@@ -5,7 +5,8 @@ import pytest
 pytest.importorskip("skein.llm.line_dedup")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from skein.llm.line_dedup import dedup_lines  # noqa: E402
+from skein.llm import line_dedup  # noqa: E402
+from skein.llm.line_dedup import dedup_lines, keep_lines  # noqa: E402
 
 
 def grams(line):
@@ -91,6 +92,39 @@ def test_many_near_copies_cost_their_number(spark):
     assert {r.doc_id for r in got if r.n_kept} == {0}
 
 
+def test_any_ids_and_clashing_columns(spark):
+    line = "the quick brown fox jumps over the lazy dog and runs along the river bank"
+    data = [(2**62, line), (-(2**62), line + "!"), (7, "own line here\n" + line), (7, "own line here\n" + line), (8, None), (None, line)]
+    df = spark.createDataFrame([(d, t, "r", 5, 6, "p") for d, t in data], "doc_id long, text string, removed string, n_lines int, n_kept int, pos string")
+    got = {r.doc_id: r for r in dedup_lines(df).collect()}
+    assert set(dedup_lines(df).columns) == {"doc_id", "text", "pos", "n_lines", "n_kept", "removed"}
+    assert got[2**62].text == "" and got[-(2**62)].text == line + "!" and got[7].text == "own line here" and got[None].text == line and got[8].text is None
+    assert [(x.line, x.kept_doc, x.kept_line) for x in got[7].removed] == [(1, -(2**62), 0)]
+    kept = keep_lines(df).collect()
+    assert keep_lines(df).columns == df.columns and all((r.removed, r.n_lines, r.n_kept, r.pos) == ("r", 5, 6, "p") for r in kept)
+    assert sorted(map(str, (r.doc_id for r in kept))) == sorted(["7", "7", "8", "None", str(-(2**62))])
+
+
+def test_split_buckets_lose_nothing(spark, monkeypatch):
+    rng = random.Random(2)
+    base = [prose(rng, 20) for _ in range(4)]
+    lines = []
+    for i in range(120):
+        words = rng.choice(base).split()
+        for _ in range(rng.randrange(0, 5)):
+            words[rng.randrange(len(words))] = prose(rng, 1)
+        lines.append(" ".join(words))
+    data = list(enumerate(lines))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    whole = {r.doc_id: r.n_kept for r in dedup_lines(df, with_text=False).collect()}
+    monkeypatch.setattr(line_dedup, "_BUCKET_ROWS", 5)
+    monkeypatch.setattr(line_dedup, "_LARGE", 3)
+    split = {r.doc_id: r.n_kept for r in dedup_lines(df, with_text=False).collect()}
+    want = brute(data)
+    assert split == whole
+    assert sum((n > 0) != (want[d] != "") for d, n in whole.items()) <= 2
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     rng = random.Random(9)
     clean = [" ".join(prose(rng, 10).capitalize() + "." for _ in range(6)) for _ in range(260)]
@@ -114,3 +148,21 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert "b7db7aa4a5fcc78305" not in {r.doc_id: r.text for r in seen["secrets"].collect()}.get(10, "")
     assert ids["packing"] == ids["secrets"] == ids["near_duplicates"]
     assert seen["packing"].groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
+
+
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_pipeline_on_odd_tables(spark, tmp_path, rows):
+    good = "The quick brown fox jumps over the lazy dog, and then it sleeps for some hours in the shade. "
+    data = [(i, good + f"It met {i} others on its way home that day.", "en", "s", 1, "x") for i in range(40)] + [(i, "BUY!! NOW!! " * 30, "en", "s", 1, "x") for i in range(40, 60)]
+    data += [(None, good, None, None, None, None), (60, None, "en", None, 0, "y"), (61, "", None, "s", 0, "y"), (1, data[1][1], "en", "s", 1, "x"), (62, "word " * 40_000, "en", "s", 1, "x")]
+    labels = [(i, int(i < 40), 0) for i in range(60)] + [(None, 1, None), (1, 1, 0), (61, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, removed string"
+    spark.createDataFrame(data if rows == "odd" else [], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels if rows == "odd" else [], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns = now.columns
+    for name, stage in corpus_pipeline.STAGES:
+        now = corpus_pipeline.materialise(stage(spark, now, str(tmp_path)))
+        assert name == "packing" or now.columns == columns
+    assert (now.count() > 0) == (rows == "odd")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
