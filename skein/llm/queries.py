@@ -87,6 +87,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import topk_search
+    from . import jaccard_join, topk_search
 
-    return {"op1_topk_search": topk_search.ORACLE_SQL}
+    return {"op1_topk_search": topk_search.ORACLE_SQL, "op7_jaccard_join": jaccard_join.ORACLE_SQL}
