@@ -76,6 +76,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     rng = np.random.default_rng(seed)
     every = np.concatenate((positive, unlabelled))
     mean, scale = every.mean(0), every.std(0) + 0.05
+    del every
     p, u = (positive - mean) / scale, (unlabelled - mean) / scale
     w = {"a": rng.normal(0, 0.05, (p.shape[1], 24)), "b": np.zeros(24), "c": rng.normal(0, 0.2, 24), "d": np.zeros(())}
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
@@ -157,6 +158,7 @@ def fit(source: DataFrame, labels: DataFrame, positives: int = MAX_POSITIVES, un
     texts = source.join(F.broadcast(chosen.distinct()), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
     sample = texts.select("positive", "text").mapInArrow(_features, "positive boolean, x binary").collect()
     x = {flag: np.array([np.frombuffer(r.x, np.float32) for r in sample if r.positive == flag]) for flag in (True, False)}
+    del sample
     if not len(x[True]) or not len(x[False]):
         return spark.sparkContext.broadcast(None)
     x = {k: v[np.lexsort(v.T[::-1][:8])] for k, v in x.items()}  # an order of their own, whatever the tasks' order
