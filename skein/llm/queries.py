@@ -82,11 +82,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster
+
+    return cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op2_html_text, op3_byte_bpe, op4_fingerprints, op5_line_dedup, op6_packing, op7_jaccard_join, op8_secrets, op9_quality, op10_sharding)}
+    return {f.__name__: f for f in (op1_topk_search, op2_html_text, op3_byte_bpe, op4_fingerprints, op5_line_dedup, op6_packing, op7_jaccard_join, op8_secrets, op9_quality, op10_sharding, op12_centroids, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import jaccard_join, topk_search
+    from . import centroids, jaccard_join, topk_search
 
-    return {"op1_topk_search": topk_search.ORACLE_SQL, "op7_jaccard_join": jaccard_join.ORACLE_SQL}
+    return {"op1_topk_search": topk_search.ORACLE_SQL, "op7_jaccard_join": jaccard_join.ORACLE_SQL, "op12_centroids": centroids.oracle_sql()}
