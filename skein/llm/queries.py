@@ -82,6 +82,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"))
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pitman_yor import lm_scores
+
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .centroids import cluster
 
@@ -95,7 +101,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op2_html_text, op3_byte_bpe, op4_fingerprints, op5_line_dedup, op6_packing, op7_jaccard_join, op8_secrets, op9_quality, op10_sharding, op12_centroids, op13_whitening)}
+    return {f.__name__: f for f in (op1_topk_search, op2_html_text, op3_byte_bpe, op4_fingerprints, op5_line_dedup, op6_packing, op7_jaccard_join, op8_secrets, op9_quality, op10_sharding, op11_lm_scores, op12_centroids, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
