@@ -396,7 +396,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, strength:
         rest = float(gammas(np.array([strength + high * parent_tables]), np.array([np.uint64(2)]), salt)[0])
         (weight,) = _dense(in_parent.where(is_common("w")).select("w", "g").collect(), "w", COMMON, "g")
         (tables,) = _dense(dishes.where(is_common("u")).groupBy("u").agg(F.sum("t").alias("t")).collect(), "u", COMMON, "t")
-        shared = sc.broadcast((words.value, gammas(strength / low + tables + singles, key, salt), weight, rest / (v + 1), float(sums.g or 0) + rest))
+        shared = sc.broadcast((words.value, gammas(strength / low + tables + singles, key, salt + 50), weight, rest / (v + 1), float(sums.g or 0) + rest))
         tu = dishes.where(~is_common("u")).select("u", "t").unionByName(rare_singles).groupBy("u").agg(F.sum("t").cast("double").alias("tu"))
         g = in_parent.where(~is_common("w")).select("w", "g")
         left, left_rare = dishes.where(is_common("u")).withColumn("tu", F.lit(None).cast("double")), dishes.where(~is_common("u")).join(tu, "u")
