@@ -67,6 +67,8 @@ def corpus_stats(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ranked(df: DataFrame, k: int) -> DataFrame:
-    """The k best rows of each query by score, ties by id, with ranks from 0."""
+    """The k best rows of each query by score, ties by id, with ranks from 0.
+
+    The limit stands on the bare row number, so that each task keeps k rows a query before anything is shuffled by query."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return df.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)

@@ -86,3 +86,19 @@ def lexical_scorer(query: Column, text: Column) -> Column:
 
     asked = F.array_distinct(tokens(query))
     return F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(asked, tokens(text))), F.size(asked)), F.lit(0.0)), 4)
+
+
+def lexical_nearest(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): the k texts (id, text) of the highest lexical score for each query (query_id, text), ties to the smaller id.
+
+    Joined by words, so that each text is cut once and meets only queries that share one. Texts that share none score 0; those
+    that can still be among the k have the smallest ids, of which twice k suffice."""
+    from ..functions.text import tokens
+    from .fulltext import ranked
+
+    asked = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("w")).select("query_id", F.size("w").alias("n"), F.explode_outer("w").alias("term"))
+    said = texts.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    shared = said.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.count("*") / F.first("n"), 4).alias("score"))
+    first = texts.select("id").distinct().orderBy("id").limit(2 * k)
+    none = asked.select("query_id").distinct().join(F.broadcast(first)).withColumn("score", F.lit(0.0))
+    return ranked(shared.unionByName(none).groupBy("query_id", "id").agg(F.max("score").alias("score")), k)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from .fulltext import ranked
 
@@ -29,15 +33,96 @@ def cosine(a: Column, b: Column) -> Column:
     return F.round(F.try_divide(dot(a, b), norm(a) * norm(b)), 6)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 40) -> DataFrame:
-    """(query_id, id, score, rank) of the k vectors (id, vector) nearest to each query (query_id, vector) by cosine, exactly.
-
-    Norms are computed once a row; a stated query set meets every row, in the blocks that Spark makes of the vectors, and k rows a
-    query and task are merged."""
-    q = queries.select("query_id", F.col("vector").alias("q"), norm(F.col("vector")).alias("qn"))
-    v = vectors.select("id", "vector", norm(F.col("vector")).alias("vn"))
-    pairs = v.join(q).select("query_id", "id", F.round(F.try_divide(dot(F.col("q"), F.col("vector")), F.col("qn") * F.col("vn")), 6).alias("score"))
-    return ranked(pairs, k)
+#: Queries whose vectors every task holds at once, and scores computed at a time.
+QUERY_BLOCK, SCORES = 4096, 1 << 21
+
+
+def query_blocks(queries: DataFrame) -> list[pa.Table]:
+    """The queries (query_id, vector, ...) in blocks of about QUERY_BLOCK rows: what is sent to all tasks is bounded, whatever their number."""
+    head = queries.limit(QUERY_BLOCK + 1).toArrow()
+    if head.num_rows <= QUERY_BLOCK:
+        return [head]
+    parts = -(-queries.count() // QUERY_BLOCK)
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).toArrow() for i in range(parts)]
+
+
+def list_matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of an Arrow column as rows of so many numbers, and which give one: a vector that is null, of another length, zero or not finite gives none."""
+    lengths = np.asarray(column.value_lengths().fill_null(-1))
+    fits = lengths == size
+    if fits.any() and not column.flatten().null_count:
+        own = column if fits.all() else column.filter(pa.array(fits))
+        flat = own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    else:
+        rows = [v if f and all(x is not None for x in v) else [np.nan] * size for v, f in zip(column.to_pylist(), fits.tolist(), strict=True)]
+        flat, fits = np.array(rows, np.float64).reshape(len(rows), size), np.ones(len(rows), bool)
+    out = np.zeros((len(column), size))
+    out[fits] = flat
+    norms = np.sqrt((out * out).sum(1))
+    return out, np.isfinite(norms) & (norms > 0)
+
+
+def best_of(scores: np.ndarray, ids: pa.Array, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, query) that may be among the k best of a query, given the k-th best score seen before; floor is raised in place.
+
+    Of equal scores those with the smallest ids are kept, so that a query never has more than k rows of a block."""
+    n = len(scores)
+    if n > k:
+        np.maximum(floor, np.partition(scores, n - k, axis=0)[n - k], out=floor)
+    rows, cols = np.nonzero((scores >= floor) & np.isfinite(scores))
+    if len(cols) and np.bincount(cols).max() > k:
+        by_id = np.empty(n, np.int64)
+        by_id[pc.sort_indices(ids).to_numpy()] = np.arange(n)
+        order = np.lexsort((by_id[rows], -scores[rows, cols], cols))
+        rows, cols = rows[order], cols[order]
+        place = np.arange(len(cols)) - np.searchsorted(cols, cols)
+        rows, cols = rows[place < k], cols[place < k]
+    return rows, cols
+
+
+def query_matrix(block: pa.Table) -> tuple[np.ndarray, pa.Array]:
+    """The block's usable vectors, all of its longest one's length, and their query ids."""
+    column = block["vector"].combine_chunks()
+    size = pc.max(pc.list_value_length(column)).as_py() or 0
+    q, good = list_matrix(column, size)
+    return q[good], block["query_id"].combine_chunks().filter(pa.array(good))
+
+
+def scan(vectors: DataFrame, block: pa.Table, k: int, measure: str) -> DataFrame:
+    """(query_id, id, score): of each task the rows that may be among the k best of the block's queries."""
+    q, names = query_matrix(block)
+    if measure == "cosine":
+        q = q / np.sqrt((q * q).sum(1))[:, None] if len(q) else q
+    shared = vectors.sparkSession.sparkContext.broadcast((q, names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, names = shared.value
+        floor = np.full(len(q), -np.inf)
+        step = max(1, SCORES // max(1, len(q)))
+        for b in batches:
+            for at in range(0, b.num_rows if len(q) else 0, step):
+                part = b.slice(at, step)
+                x, good = list_matrix(part.column("vector"), q.shape[1])
+                scores = x @ q.T
+                if measure == "cosine":
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        scores /= np.sqrt((x * x).sum(1))[:, None]
+                scores = np.round(scores, 6) + 0.0
+                scores[~good] = -np.inf
+                rows, cols = best_of(scores, part.column("id"), floor, k)
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(cols)), part.column("id").take(pa.array(rows)), pa.array(scores[rows, cols])], ["query_id", "id", "score"])
+
+    return vectors.select("id", "vector").mapInArrow(run, f"query_id {from_arrow_type(names.type).simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double")
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 40, measure: str = "cosine") -> DataFrame:
+    """(query_id, id, score, rank) of the k vectors (id, vector) nearest to each query (query_id, vector), exactly, by cosine or by inner product ('dot').
+
+    The vectors stay where they are: a block of queries is sent to all tasks, which multiply their vectors by it in Arrow batches and keep k rows a query;
+    more queries than a block go in several passes. A vector that is null, zero, not finite or of another length has no score and is not found."""
+    parts = [scan(vectors, block, k, measure) for block in query_blocks(queries.select("query_id", "vector"))]
+    return ranked(reduce(DataFrame.unionByName, parts), k)
 
 
 def mean_pool(df: DataFrame, by: str, vector: str) -> DataFrame:

@@ -23,7 +23,7 @@ def _passages(spark, sf_dir) -> DataFrame:
 
 def _by_dot(q: DataFrame, v: DataFrame, k: int) -> DataFrame:
     """A second arm: the same vectors by their inner product."""
-    return fulltext.ranked(v.join(q.withColumnRenamed("vector", "q")).select("query_id", "id", F.round(vectors.dot(F.col("q"), F.col("vector")), 6).alias("score")), k)
+    return vectors.nearest(q, v, k, "dot")
 
 
 def bm25_topk(spark, sf_dir) -> DataFrame:
@@ -158,10 +158,8 @@ def catalog_browse(spark, sf_dir) -> DataFrame:
 
 
 def rerank_lexical(spark, sf_dir) -> DataFrame:
-    d = documents(spark, sf_dir)
-    p = _passages(spark, sf_dir)
-    scored = d.join(p.withColumnRenamed("text", "query")).select("query_id", F.col("doc_id").alias("id"), ranking.lexical_scorer(F.col("query"), F.col("text")).alias("score"))
-    return fulltext.ranked(scored, 3).select("query_id", "id", "score")
+    texts = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    return ranking.lexical_nearest(_passages(spark, sf_dir), texts, 3).select("query_id", "id", "score")
 
 
 _COS = "round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6)"
