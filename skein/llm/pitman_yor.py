@@ -282,11 +282,24 @@ def _column(b: pa.RecordBatch, name: str) -> np.ndarray:
     return b.column(name).to_numpy(zero_copy_only=False)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Short batches put together to longer ones."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= rows:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _seat_parent(words, discount: float, log_weight: float, salt: int):
     """Of every word the tables of the parent's dish, and a gamma variable for its weight in the parent's measure."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _gathered(batches):
             w, c = _column(b, "w").view(np.uint64), _column(b, "c")
             key = words.value.hashed(w)
             t = draw_tables(c, np.full(len(c), log_weight), discount, key, salt)
@@ -295,12 +308,13 @@ def _seat_parent(words, discount: float, log_weight: float, salt: int):
     return run
 
 
-def _seat(words, discount: float, strength: float, salt: int, keep: bool):
-    """New tables of dishes. Rows bring their restaurant's tables (tu) and their word's weight in the parent (g) where those are rare."""
+def _seat(words, discount: float, strength: float, salt: int, kept: list[str], new: str | None):
+    """New tables of dishes. Rows bring their restaurant's tables (tu) and their word's weight in the parent (g) where those are rare, and the
+    kept samples, to which the new one is added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, aux, weight, rest, total = words.value
-        for b in batches:
+        for b in _gathered(batches):
             u, w, c = _column(b, "u").view(np.uint64), _column(b, "w").view(np.uint64), _column(b, "n")
             hu = known.hashed(u)
             x, g = np.nan_to_num(_column(b, "tu").astype(np.float64)), np.nan_to_num(_column(b, "g").astype(np.float64))
@@ -310,10 +324,9 @@ def _seat(words, discount: float, strength: float, salt: int, keep: bool):
             often = w < COMMON
             g[often] = weight[w[often].astype(np.int64)]
             t = draw_tables(c, np.log(discount * x) + np.log((g + rest) / total), discount, mix64(hu * _U + known.hashed(w)), salt)
-            samples = b.column("samples")
-            if keep:
-                samples = pa.array([[*s, int(i)] for s, i in zip(samples.to_pylist(), t, strict=True)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("w"), b.column("n"), pa.array(t), samples], ["u", "w", "n", "t", "samples"])
+            t = pa.array(t)
+            names = ["u", "w", "n", *kept]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), t, *([t] if new else [])], [*names, "t", *([new] if new else [])])
 
     return run
 
@@ -367,7 +380,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, strength:
     low = bounded(facts.one or 0, facts.two or 0)
     vocabulary = materialise(counted.where("kind = 2").groupBy("w").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
     contexts = counted.where("kind = 1").groupBy("u").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    dishes = materialise(counted.where("kind = 0").select("u", "w", "n", F.lit(1).cast("long").alias("t"), F.array().cast("array<long>").alias("samples")))
+    dishes = materialise(counted.where("kind = 0").select("u", "w", "n", F.lit(1).cast("long").alias("t")))
     first = vocabulary.select("w", F.col("m").alias("c")).unionByName(dishes.select("w", F.col("t").alias("c"))).groupBy("w").agg(F.sum("c").alias("c"))
     heads = first.agg(F.sum((F.col("c") == 1).cast("long")).alias("one"), F.sum((F.col("c") == 2).cast("long")).alias("two"), F.count("*").alias("v")).first()
     high = bounded(heads.one or 0, heads.two or 0)
@@ -377,7 +390,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, strength:
     customers, singles = (np.array([own.get(u, (0, 0))[i] for u in range(COMMON)], np.float64) for i in (0, 1))
     key = np.append(common, np.zeros(COMMON - len(common), np.uint64))
     rare_singles = contexts.where(~is_common("u")).select("u", F.col("m").alias("t"))
-    in_parent, parent_tables, masses, totals = None, float(v), [], []
+    in_parent, parent_tables, masses, totals, kept = None, float(v), [], [], []
     for turn in range(rounds + 1):
         salt = 100 * (turn + 1)
         # the parent: its customers are the tables below
@@ -402,7 +415,10 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, strength:
         left, left_rare = dishes.where(is_common("u")).withColumn("tu", F.lit(None).cast("double")), dishes.where(~is_common("u")).join(tu, "u")
         both = left.unionByName(left_rare)
         routed = both.where(is_common("w")).withColumn("g", F.lit(None).cast("double")).unionByName(both.where(~is_common("w")).join(g, "w"))
-        before, dishes = dishes, materialise(routed.mapInArrow(_seat(shared, low, strength, salt + 50, turn + 1 > burn_in), "u long, w long, n long, t long, samples array<long>"))
+        new = f"s{turn}" if turn + 1 > burn_in else None
+        schema = ", ".join(f"{c} long" for c in ["u", "w", "n", *kept, "t", *([new] if new else [])])
+        before, dishes = dishes, materialise(routed.mapInArrow(_seat(shared, low, strength, salt + 50, list(kept), new), schema))
+        kept += [new] if new else []
         discard(before)
         shared.unpersist()
     named = vocabulary.select("w", "n")
@@ -416,13 +432,13 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, strength:
     for r in often:
         seen[r.w], mass[:, r.w] = r.n, r.masses
     tables = np.repeat(singles[None], count, 0)
-    for r in dishes.where(is_common("u")).select("u", F.posexplode("samples").alias("at", "t")).groupBy("u", "at").agg(F.sum("t").alias("t")).collect():
-        tables[r.at, r.u] += r.t
+    for r in dishes.where(is_common("u")).groupBy("u").agg(*(F.sum(c).alias(c) for c in kept)).collect():
+        tables[:, r.u] += [r[c] for c in kept]
     # the parent's predictive probability of a word is (its mass + spread) * scale, per sample
     scale = np.array([1 / (strength + c) for c, _ in totals])
     spread = np.array([(strength + high * t) / (v + 1) for _, t in totals])
     small = dict(words=words.value, low=low, strength=strength, customers=customers, tables=tables, seen=seen, mass=mass, scale=scale, spread=spread, tokens=tokens, v=v)
-    return Model(dishes=dishes, named=named, words=words, small=small, parts=parts, high=high, low=low)
+    return Model(dishes=dishes.select("u", "w", *kept), named=named, words=words, small=small, parts=parts, high=high, low=low)
 
 
 def _by_home(words, kind: int, count: int):
@@ -430,14 +446,13 @@ def _by_home(words, kind: int, count: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words.value
-        for b in batches:
+        for b in _gathered(batches, 1 << 20):
             w = _column(b, "w").view(np.uint64)
-            values = b.column("samples" if kind == _DISHES else "masses").flatten().to_numpy(zero_copy_only=False).reshape(-1, count)
             if kind == _DISHES:
                 u = _column(b, "u").view(np.uint64)
-                homes, columns = known.homes(u, w), [u, w, values.astype(np.uint32)]
+                homes, columns = known.homes(u, w), [u, w, np.stack([_column(b, n) for n in b.schema.names[2:]], 1).astype(np.uint32)]
             else:
-                homes, columns = known.home(w), [w, _column(b, "n"), values]
+                homes, columns = known.home(w), [w, _column(b, "n"), b.column("masses").flatten().to_numpy(zero_copy_only=False).reshape(-1, count)]
             order = np.argsort(homes, kind="stable")
             homes = homes[order]
             for a, e in zip(starts := _heads(homes), np.append(starts[1:], len(homes)), strict=True):
@@ -588,7 +603,7 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, str
     count = len(model.small["scale"])
     small = spark.sparkContext.broadcast(model.small)
     rare = model.named.where(~((F.col("w") >= 0) & (F.col("w") < COMMON))).mapInArrow(_by_home(model.words, _WORDS, count), _SCHEMA)
-    dishes = model.dishes.select("u", "w", "samples").mapInArrow(_by_home(model.words, _DISHES, count), _SCHEMA)
+    dishes = model.dishes.mapInArrow(_by_home(model.words, _DISHES, count), _SCHEMA)
     mapped = source.mapInArrow(_map(model.words, True), _SCHEMA)
     met = materialise(mapped.unionByName(dishes).unionByName(rare).groupBy("home").applyInArrow(_meet(small, count), _SCHEMA))
     mail = met.where(F.col("kind") == _MAIL).unionByName(rare).groupBy("home").applyInArrow(_predict_mail(small, count), _SCHEMA)
