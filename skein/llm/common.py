@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import weakref
@@ -47,6 +48,12 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def collect_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans now: its cleaner waits for the driver's garbage collector, which a quiet driver seldom runs."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def short_batches(spark: SparkSession) -> None:
     """Keep Arrow batches short, so that a batch of long texts fits a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import discard, materialise, mix64, short_batches, text_buffer, word_hashes
+from .common import collect_shuffles, discard, materialise, mix64, short_batches, text_buffer, word_hashes
 
 #: Common words, whose figures every task has; tokens of a block of documents, and of one home's share.
 COMMON, BLOCK, SHARE = 65_535, 1 << 20, 1 << 21
@@ -524,7 +524,7 @@ def _predict(small, count: int):
         mass[here[there]], seen[here[there]] = masses[at[there]], times[at[there]]
         log_p = np.log10(share + (handed * (mass + s["spread"]) * s["scale"]).sum(1))
         away = rare_u & rare_w
-        out, first = [], 0
+        out, go, first = [], [], 0
         for block, own_u, _, _, (many, doc, m) in rows:
             pair = np.repeat(of[first : first + len(own_u)], np.frombuffer(many, np.uint32))
             first += len(own_u)
@@ -532,14 +532,17 @@ def _predict(small, count: int):
             stay = ~away[pair]
             if stay.any():
                 out.append(_sum_row(block, doc[stay], m[stay], log_p[pair[stay]], seen[pair[stay]], s))
-            if not stay.all():
-                go, doc, m = pair[~stay], doc[~stay], m[~stay]
-                homes = s["words"].home(w[go])
-                order = np.argsort(homes, kind="stable")
-                homes = homes[order]
-                for a, b in zip(starts := _heads(homes), np.append(starts[1:], len(homes)), strict=True):
-                    p = go[order[a:b]]
-                    out.append(_row(int(homes[a]), _MAIL, block, w[p].tobytes(), share[p].tobytes(), handed[p].tobytes(), doc[order[a:b]].astype(np.uint16).tobytes(), m[order[a:b]].astype(np.uint32).tobytes()))
+            go.append((pair[~stay], np.full((~stay).sum(), block), doc[~stay], m[~stay]))
+        p, blocks, doc, m = (np.concatenate(x) for x in zip(*go, strict=True))
+        if not len(p):
+            return _table(out)
+        homes = s["words"].home(w[p])
+        order = np.argsort(homes, kind="stable")
+        homes = homes[order]
+        for a, b in zip(starts := _heads(homes), np.append(starts[1:], len(homes)), strict=True):
+            own = order[a:b]
+            q = p[own]
+            out.append(_row(int(homes[a]), _MAIL, 0, w[q].tobytes(), share[q].tobytes(), handed[q].tobytes(), blocks[own].tobytes(), doc[own].astype(np.uint16).tobytes(), m[own].astype(np.uint32).tobytes()))
         return _table(out)
 
     return run
@@ -551,16 +554,19 @@ def _predict_mail(small, count: int):
     def run(group: pa.Table) -> pa.Table:
         s = small.value
         names, times, masses = _word_table(group, count)
-        out = []
-        for kind, block, *b in zip(*(group.column(n).to_pylist() for n in ("kind", "block", *_FIELDS[:5])), strict=True):
-            if kind == _MAIL:
-                w, share, handed = np.frombuffer(b[0], np.uint64), np.frombuffer(b[1]), np.frombuffer(b[2]).reshape(-1, count)
-                at, there = _find(names, w)
-                mass, seen = np.zeros((len(w), count)), np.zeros(len(w))
-                mass[there], seen[there] = masses[at[there]], times[at[there]]
-                log_p = np.log10(share + (handed * (mass + s["spread"]) * s["scale"]).sum(1))
-                out.append(_sum_row(block, np.frombuffer(b[3], np.uint16).astype(np.int64), np.frombuffer(b[4], np.uint32).astype(np.int64), log_p, seen, s))
-        return _table(out)
+        mail = [b for kind, *b in zip(*(group.column(n).to_pylist() for n in ("kind", *_FIELDS[:6])), strict=True) if kind == _MAIL]
+        if not mail:
+            return _table([])
+        kinds = (np.uint64, np.float64, np.float64, np.int64, np.uint16, np.uint32)
+        w, share, handed, blocks, doc, m = (np.concatenate([np.frombuffer(b[i], k) for b in mail]) for i, k in enumerate(kinds))
+        at, there = _find(names, w)
+        mass, seen = np.zeros((len(w), count)), np.zeros(len(w))
+        mass[there], seen[there] = masses[at[there]], times[at[there]]
+        log_p = np.log10(share + (handed.reshape(-1, count) * (mass + s["spread"]) * s["scale"]).sum(1))
+        order = np.argsort(blocks, kind="stable")
+        starts = _heads(blocks[order])
+        own = [order[a:b] for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True)]
+        return _table([_sum_row(int(blocks[o[0]]), doc[o].astype(np.int64), m[o].astype(np.int64), log_p[o], seen[o], s) for o in own])
 
     return run
 
@@ -600,6 +606,7 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, str
     held = F.crc32(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).cast("binary")) % 5 == 1
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held.alias("held_out"))
     model = fit(source, rounds, burn_in, strength)
+    collect_shuffles(spark)
     count = len(model.small["scale"])
     small = spark.sparkContext.broadcast(model.small)
     rare = model.named.where(~((F.col("w") >= 0) & (F.col("w") < COMMON))).mapInArrow(_by_home(model.words, _WORDS, count), _SCHEMA)
