@@ -47,10 +47,10 @@ def year_span(first: Column, last: Column) -> Column:
 
 
 def year_in_span(month: Column, day: Column, start: Column, end: Column) -> Column:
-    """The date of a month and day within a span that may cross a year's end; null outside it."""
+    """The date of a month and day within a span that may cross a year's end; outside of it, or where its end is unknown, in the year it starts."""
     early = F.try_to_date(F.format_string("%04d-%02d-%02d", F.year(start), month, day), "yyyy-MM-dd")
     late = F.try_to_date(F.format_string("%04d-%02d-%02d", F.year(end), month, day), "yyyy-MM-dd")
-    return F.when(early.between(start, end), early).when(late.between(start, end), late)
+    return F.when(F.coalesce(early.between(start, end), F.lit(False)), early).when(F.coalesce(late.between(start, end), F.lit(False)), late).otherwise(early)
 
 
 def recency(day: Column, today: Column) -> Column:

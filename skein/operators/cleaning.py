@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.text import bound, collapse_loops, excise, loop_count, map_tokens, mapped_count, strip_glosses, tidy, words
 
@@ -46,34 +49,89 @@ def normalised(text: Column, loanwords: dict[str, str], natives: dict[str, str],
     return mapped(text, list(maps), [])
 
 
-def align(segments: list[str], cleaned: str) -> list[str]:
-    """The cleaned words dealt to the raw segments, each word once and in order: equal runs go where the raw words are,
-    a changed run in proportion to the raw words that it stands for."""
-    raw = [(w, i) for i, s in enumerate(segments) for w in s.split()]
-    new = cleaned.split()
-    if not new or not raw:
-        return list(segments)
+#: Products of lengths above which a stretch without words of its own is dealt in proportion rather than compared word by word.
+MOST_CELLS = 1 << 24
+
+
+def _anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of words that stand once in a and once in b, the longest run of them that is in order in both."""
+    once = {w for w, n in Counter(a).items() if n == 1} & {w for w, n in Counter(b).items() if n == 1}
+    where = {w: j for j, w in enumerate(b) if w in once}
+    pairs = [(i, where[w]) for i, w in enumerate(a) if w in once]
+    ends: list[int] = []
+    tops: list[int] = []
+    back = [-1] * len(pairs)
+    for n, (_, j) in enumerate(pairs):
+        at = bisect.bisect_left(ends, j)
+        back[n] = tops[at - 1] if at else -1
+        ends[at : at + 1], tops[at : at + 1] = [j], [n]
+    out, n = [], tops[-1] if tops else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = back[n]
+    return out[::-1]
+
+
+def edits(a: list[str], b: list[str]) -> Iterator[tuple[str, int, int, int, int]]:
+    """equal, replace, delete and insert spans that turn a into b, in order.
+
+    Words that stand once on both sides cut the texts into stretches, those into further ones, and only stretches without such a
+    word are compared in full, so that a long text does not cost the square of its words."""
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, k, j, m = todo.pop()
+        if k - i == 1 and m - j == 1 and a[i] == b[j]:
+            yield "equal", i, k, j, m
+            continue
+        own = _anchors(a[i:k], b[j:m]) if i < k and j < m else []
+        if own:
+            spans, x, y = [], i, j
+            for p, q in own:
+                spans += [(x, i + p, y, j + q), (i + p, i + p + 1, j + q, j + q + 1)]
+                x, y = i + p + 1, j + q + 1
+            spans.append((x, k, y, m))
+            todo += [s for s in reversed(spans) if s[0] < s[1] or s[2] < s[3]]
+        elif (k - i) * (m - j) > MOST_CELLS:
+            yield "replace", i, k, j, m
+        else:
+            for op, p, q, r, s in difflib.SequenceMatcher(None, a[i:k], b[j:m], autojunk=False).get_opcodes():
+                yield op, i + p, i + q, j + r, j + s
+
+
+def align(segments: list[dict], cleaned: str) -> list[dict]:
+    """The cleaned words dealt to the raw segments (text, start, end, speaker), each word once and in order; times and speakers stay.
+
+    A word goes to the segment of the raw word that it equals or, in a changed run, stands for in proportion. New words go to the segment
+    reached last, that of a deleted word included; before any word that is the first. Segments that receive nothing go. Without
+    cleaned words the raw ones stay, blank segments aside; without raw words there is nothing."""
+    raw = [(w, i) for i, s in enumerate(segments) for w in (s["text"] or "").split()]
+    new = (cleaned or "").split()
+    if not raw:
+        return []
+    if not new:
+        return [{**s, "text": s["text"].strip()} for s in segments if (s["text"] or "").strip()]
     out: list[list[str]] = [[] for _ in segments]
     at = 0
-    for op, a, b, c, d in difflib.SequenceMatcher(None, [w for w, _ in raw], new, autojunk=False).get_opcodes():
+    for op, a, b, c, d in edits([w for w, _ in raw], new):
+        if op == "delete":
+            at = raw[a][1]
         for k in range(c, d):
-            if op == "insert":
-                of = raw[min(max(a - 1, 0), len(raw) - 1)][1]
-            else:
-                of = raw[min(a + (k - c) * (b - a) // max(d - c, 1), len(raw) - 1)][1]
-            at = max(at, of)
+            if op != "insert":
+                at = raw[min(a + (k - c) * (b - a) // (d - c), b - 1)][1]
             out[at].append(new[k])
-    return [" ".join(x) for x in out]
+    return [{**s, "text": " ".join(x)} for s, x in zip(segments, out, strict=True) if x]
 
 
 def aligned(files: DataFrame) -> DataFrame:
-    """Transcripts (source_file, segments: array<string>, cleaned) with the cleaned words in the segments' place."""
+    """Transcripts (source_file, segments: array of text, start, end, speaker; cleaned) with the cleaned words in the segments' place."""
+    schema = T.StructType([files.schema["source_file"], files.schema["segments"]])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"source_file": b["source_file"], "segments": [align(list(s), c or "") for s, c in zip(b["segments"], b["cleaned"], strict=True)]})
+            out = [align(s or [], c) for s, c in zip(b.column("segments").to_pylist(), b.column("cleaned").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("source_file"), pa.array(out, b.schema.field("segments").type)], ["source_file", "segments"])
 
-    return files.mapInPandas(run, "source_file string, segments array<string>")
+    return files.select("source_file", "segments", "cleaned").mapInArrow(run, schema)
 
 
 def _word_changes(old: pd.Series, new: pd.Series) -> pd.DataFrame:

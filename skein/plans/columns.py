@@ -139,7 +139,7 @@ SQL = {
 k AS (SELECT doc_id, t, min(i) AS i FROM e WHERE t NOT IN ('the', 'and', 'de', 'der', 'le') AND NOT regexp_full_match(t, '\p{{N}}+') AND (length(t) >= 3 OR regexp_matches(t, '[ऀ-ॿ]')) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM k) SELECT d.doc_id, coalesce(string_agg(t, ' ' ORDER BY i), '') AS terms FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id AND n <= 8 GROUP BY 1""",
     "shown_answers": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN trim(text) ELSE '' END AS answer FROM conversations WHERE role = 'assistant'",
-    "dates_in_spans": f"""WITH o AS (SELECT o_orderkey, strftime({_DAY}, '%m-%d') AS d FROM orders) SELECT o_orderkey, CASE WHEN d >= '11-01' THEN '1994-' || d WHEN d <= '02-10' THEN '1995-' || d END AS day FROM o""",
+    "dates_in_spans": f"""WITH o AS (SELECT o_orderkey, strftime({_DAY}, '%m-%d') AS d FROM orders) SELECT o_orderkey, CASE WHEN d >= '11-01' THEN '1994-' || d WHEN d <= '02-10' THEN '1995-' || d ELSE CAST(TRY_CAST('1994-' || d AS DATE) AS VARCHAR) END AS day FROM o""",
     "event_spans": f"""WITH o AS (SELECT o_orderkey AS k, {_DAY} AS d, {_DAY} + 5 AS e FROM orders), y AS (SELECT *, CASE WHEN k % 3 > 0 OR k % 2 = 0 THEN 1 END AS known FROM o)
 SELECT k AS o_orderkey, CAST(k % 30 + 1 AS INTEGER) AS seq, 'NEW DELHI' AS location, CASE WHEN known = 1 THEN strftime(d, '%Y-%m-%d') END AS start, CASE WHEN known = 1 THEN strftime(e, '%Y-%m-%d') END AS "end", CASE WHEN known IS NULL THEN 'no year' END AS warning FROM y""",
     "lit_shares": f"WITH {DOCS} SELECT source, round(count(*) FILTER (n_chunks > 0 AND session_date IS NOT NULL) / count(*)::DOUBLE, 6) AS share FROM docs GROUP BY 1",

@@ -55,11 +55,60 @@ def test_sections_pack(spark):
     assert sorted((r.section, r.n_chunks) for r in chunking.sections(df, 2000).collect()) == [(0, 2), (1, 2), (2, 1)]
 
 
-def test_alignment_places_each_word_once():
-    segments = ["a b c d", "e f g", "h i"]
-    out = cleaning.align(segments, "A b c x d e g h i j")
-    assert " ".join(out).split() == "A b c x d e g h i j".split() and len(out) == 3
-    assert cleaning.align(segments, "") == segments
+def _segments(*texts):
+    return [{"text": t, "start": float(i), "end": i + 1.0, "speaker": f"S{i}"} for i, t in enumerate(texts)]
+
+
+def _texts(found):
+    return [s["text"] for s in found]
+
+
+def test_alignment_keeps_times_and_places_each_word_once():
+    out = cleaning.align(_segments("a b c d", "e f g", "h i"), "A b c x d e g h i j")
+    assert " ".join(_texts(out)).split() == "A b c x d e g h i j".split() and [s["speaker"] for s in out] == ["S0", "S1", "S2"]
+    raw = _segments("hello world", "foo bar baz")
+    assert cleaning.align(raw, "hello world foo bar baz") == raw
+    assert _texts(cleaning.align(_segments("medishan ise muhabbat", "apne aapse mulakat"), "meditation ise muhabbat apne aapse mulakat")) == ["meditation ise muhabbat", "apne aapse mulakat"]
+    assert _texts(cleaning.align(_segments("मेडिशन इसे", "मुहब्बत"), "मेडिटेशन इसे मुहब्बत")) == ["मेडिटेशन इसे", "मुहब्बत"]
+    assert " ".join(_texts(cleaning.align(_segments("a b c d", "e f g h"), "a b c e f g h"))) == "a b c e f g h"
+
+
+def test_alignment_of_deleted_new_and_missing_words():
+    out = cleaning.align(_segments("alpha beta", "noise noise", "gamma"), "alpha beta gamma")
+    assert _texts(out) == ["alpha beta", "gamma"] and [s["start"] for s in out] == [0.0, 2.0]
+    assert _texts(cleaning.align(_segments("", "one two"), "new one two")) == ["new", "one two"]  # before any match: the first segment, blank or not
+    assert _texts(cleaning.align(_segments("one two", "three four"), "one two extra three four")) == ["one two extra", "three four"]
+    assert cleaning.align([], "anything") == [] and cleaning.align(_segments(" ", None), "anything") == []
+    assert [(s["text"], s["start"]) for s in cleaning.align(_segments(" keep this ", "  "), " ")] == [("keep this", 0.0)]
+
+
+def test_alignment_against_plain_edits():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(300):
+        a = [rng.choice("abcdefghij") for _ in range(rng.randint(1, 30))]
+        b = [w for w in a if rng.random() > 0.2] + [rng.choice("xyz") for _ in range(rng.randint(0, 3))]
+        made, at, to = [], 0, 0
+        for op, i, k, j, m in cleaning.edits(a, b):
+            assert (i, j) == (at, to) and (op != "equal" or a[i:k] == b[j:m])
+            made, at, to = made + b[j:m], k, m
+        assert made == b and (at, to) == (len(a), len(b))
+        assert " ".join(_texts(cleaning.align(_segments(" ".join(a[:7]), " ".join(a[7:])), " ".join(b)))) == " ".join(b) or not b
+
+
+def test_alignment_of_a_long_file_is_quick(spark):
+    import time
+
+    words = [f"w{i % 5000}" if i % 3 else "the" for i in range(60_000)]
+    segments = _segments(*(" ".join(words[i : i + 20]) for i in range(0, len(words), 20)))
+    cleaned = " ".join(w.upper() if i % 50 == 0 else w for i, w in enumerate(words) if i % 97)
+    began = time.time()
+    out = cleaning.align(segments, cleaned)
+    assert " ".join(_texts(out)) == cleaned and time.time() - began < 30
+    df = spark.createDataFrame([("f", segments[:3], " ".join(words[:60])), ("g", None, "x"), ("h", segments[:2], None)], "source_file string, segments array<struct<text:string,start:double,end:double,speaker:string>>, cleaned string")
+    got = {r.source_file: r.segments for r in cleaning.aligned(df).collect()}
+    assert [s.text for s in got["f"]] == _texts(segments[:3]) and got["g"] == [] and [s.end for s in got["h"]] == [1.0, 2.0]
 
 
 def test_skeletons_meet(spark):
