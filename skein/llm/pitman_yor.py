@@ -122,11 +122,18 @@ class Words:
 
     def __init__(self, hashes: np.ndarray, parts: int):
         self.hashes, self.parts = hashes, np.uint64(parts)
+        places = (hashes >> np.uint64(44)).astype(np.int64)  # sorted, so the words of a place stand side by side
+        self.first = np.searchsorted(places, np.arange(1 << 20)).astype(np.int32)
+        self.deep = int(np.bincount(places, minlength=1).max(initial=1))
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        rare = np.where(hashes <= COMMON, hashes + np.uint64(COMMON + 1), hashes)
-        return np.where(self.hashes[at] == hashes, at.astype(np.uint64), rare)
+        out = np.where(hashes <= COMMON, hashes + np.uint64(COMMON + 1), hashes)
+        first, last = self.first[(hashes >> np.uint64(44)).astype(np.int64)], len(self.hashes) - 1
+        for step in range(self.deep):
+            at = np.minimum(first + step, last)
+            found = np.flatnonzero(self.hashes[at] == hashes)
+            out[found] = at[found]
+        return out
 
     def hashed(self, symbols: np.ndarray) -> np.ndarray:
         return np.where(symbols < COMMON, self.hashes[np.minimum(symbols, len(self.hashes) - 1).astype(np.int64)], symbols)
@@ -193,7 +200,8 @@ def _block(words: Words, block: int, hashes: list, counts: list, ids: list, held
         keep = ~held_[doc]
         u, w, doc = u[keep], w[keep], doc[keep]
     key = mix64(u * _U + mix64(w * _W))
-    order = np.argsort(key, kind="stable")  # within a pair documents stay in order
+    # by pair, within a pair by document. Pairs that share the upper bits may mix; a home then meets a pair in several rows of the block, which it adds up
+    order = np.argsort(key & ~np.uint64(0xFFFF) | doc.astype(np.uint64))
     key, doc = key[order], doc[order]
     entries = _heads(key, doc) if score else _heads(key)
     times = np.diff(np.append(entries, len(key)))
@@ -202,7 +210,7 @@ def _block(words: Words, block: int, hashes: list, counts: list, ids: list, held
     trained = np.add.reduceat(times * ~held_[doc[entries]], firsts) if len(firsts) else times
     many = np.diff(np.append(firsts, len(entries)))
     homes = words.homes(u, w)
-    by = np.lexsort((u, homes))
+    by = np.argsort(homes.astype(np.uint64) << np.uint64(48) | mix64(u) >> np.uint64(16)) if int(words.parts) < 1 << 16 else np.lexsort((u, homes))
     homes = homes[by]
     for a, b in zip(starts := _heads(homes), np.append(starts[1:], len(homes)), strict=True):
         own = by[a:b]
@@ -251,7 +259,7 @@ def _read_pairs(group: pa.Table) -> Iterator[tuple]:
 def _merge(u: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs with their sums, and of each row its pair's place."""
     key = mix64(u * _U + mix64(w * _W))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     starts = _heads(key[order])
     of = np.empty(len(key), np.int64)
     of[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
@@ -391,25 +399,29 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, strength:
     key = np.append(common, np.zeros(COMMON - len(common), np.uint64))
     rare_singles = contexts.where(~is_common("u")).select("u", F.col("m").alias("t"))
     in_parent, parent_tables, masses, totals, kept = None, float(v), [], [], []
+    # a word with one customer has one table, always; it has no dish to seat, so that of all such words only the sum of their weights is drawn
+    lonely = vocabulary.where("n = 1").count()
+    several = vocabulary.where("n > 1").select("w", F.col("m").alias("c"))
     for turn in range(rounds + 1):
         salt = 100 * (turn + 1)
         # the parent: its customers are the tables below
-        below = vocabulary.select("w", F.col("m").alias("c")).unionByName(dishes.select("w", F.col("t").alias("c"))).groupBy("w").agg(F.sum("c").alias("c"))
+        below = several.unionByName(dishes.select("w", F.col("t").alias("c"))).groupBy("w").agg(F.sum("c").alias("c"))
         aux = float(gammas(np.array([strength / high + parent_tables]), np.array([np.uint64(1)]), salt)[0])
         before, in_parent = in_parent, materialise(below.mapInArrow(_seat_parent(words, high, float(np.log(high * aux / (v + 1))), salt), "w long, c long, t long, g double"))
         if before is not None and before not in masses:
             discard(before)
         sums = in_parent.agg(F.sum("c").alias("c"), F.sum("t").alias("t"), F.sum("g").alias("g")).first()
-        parent_tables = float(sums.t or 0)
+        parent_tables = float(sums.t or 0) + lonely
+        weights = (sums.g or 0.0) + float(gammas(np.array([lonely * (1 - high)]), np.array([np.uint64(3)]), salt)[0] if lonely else 0.0)
         if turn > burn_in:
             masses.append(in_parent)
-            totals.append((float(sums.c or 0), parent_tables))
+            totals.append((float(sums.c or 0) + lonely, parent_tables))
         if turn == rounds:
             break
         rest = float(gammas(np.array([strength + high * parent_tables]), np.array([np.uint64(2)]), salt)[0])
         (weight,) = _dense(in_parent.where(is_common("w")).select("w", "g").collect(), "w", COMMON, "g")
         (tables,) = _dense(dishes.where(is_common("u")).groupBy("u").agg(F.sum("t").alias("t")).collect(), "u", COMMON, "t")
-        shared = sc.broadcast((words.value, gammas(strength / low + tables + singles, key, salt + 50), weight, rest / (v + 1), float(sums.g or 0) + rest))
+        shared = sc.broadcast((words.value, gammas(strength / low + tables + singles, key, salt + 50), weight, rest / (v + 1), weights + rest))
         tu = dishes.where(~is_common("u")).select("u", "t").unionByName(rare_singles).groupBy("u").agg(F.sum("t").cast("double").alias("tu"))
         g = in_parent.where(~is_common("w")).select("w", "g")
         left, left_rare = dishes.where(is_common("u")).withColumn("tu", F.lit(None).cast("double")), dishes.where(~is_common("u")).join(tu, "u")
@@ -421,10 +433,11 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, strength:
         kept += [new] if new else []
         discard(before)
         shared.unpersist()
-    named = vocabulary.select("w", "n")
+    named = vocabulary.where("n > 1").select("w", "n")
     for i, m in enumerate(masses):
         named = named.join(m.select("w", (F.col("c") - high * F.col("t")).alias(f"mass{i}")), "w")
-    named = materialise(named.select("w", "n", F.array(*(f"mass{i}" for i in range(len(masses)))).alias("masses")))
+    alone = vocabulary.where("n = 1").select("w", "n", F.array(*[F.lit(1 - high)] * len(masses)).alias("masses"))
+    named = materialise(named.select("w", "n", F.array(*(f"mass{i}" for i in range(len(masses)))).alias("masses")).unionByName(alone))
     discard(*masses, vocabulary, counted)
     count = len(masses)
     often = named.where(is_common("w")).collect()

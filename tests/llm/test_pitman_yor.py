@@ -64,7 +64,9 @@ def plain(rows, rounds=hpy.ROUNDS, burn_in=hpy.BURN_IN, strength=hpy.STRENGTH):
         if turn == rounds:
             break
         rest = hpy.gammas(one(strength + high * parent_tables), one(np.uint64(2)), salt)[0]
-        total, of = sum(g.values()) + rest, sums(0)
+        lonely = [w for w in count if count[w] == 1]
+        of_lonely = hpy.gammas(one(len(lonely) * (1 - high)), one(np.uint64(3)), salt)[0] if lonely else 0.0
+        total, of = sum(g[w] for w in g if count[w] > 1) + of_lonely + rest, sums(0)
         for (u, w), c in pairs.items():
             if c > 1:
                 x = hpy.gammas(one(strength / low + of[u]), one(hashes[u]), salt + 50)[0]
