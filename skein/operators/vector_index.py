@@ -77,12 +77,18 @@ def build(vectors: DataFrame, path: str, facets: tuple[str, ...] = (), lists: in
     # a list is dealt to several tasks by id, so that no task writes a third of all rows
     dealt = placed.repartition(F.col("list"), F.pmod(F.xxhash64("id"), F.lit(16)))
     dealt.write.mode("overwrite").partitionBy("list").parquet(f"{path}/rows")
-    radii = spark.read.parquet(f"{path}/rows").groupBy("list").agg(F.max("away").alias("radius"), F.count("*").alias("n"))
+    spark.createDataFrame([(schema,)], "ddl string").coalesce(1).write.mode("overwrite").parquet(f"{path}/schema")
+    radii = _rows(spark, path).groupBy("list").agg(F.max("away").alias("radius"), F.count("*").alias("n"))
     facts = {r.list: (r.radius, r.n) for r in radii.collect()}  # one row a list
     rows = [(i, [float(v) for v in m], *map(float, facts[i][:1]), int(facts[i][1])) for i, m in enumerate(centroids) if i in facts]
     spark.createDataFrame(rows, "list int, centroid array<double>, radius double, n long").coalesce(1).write.mode("overwrite").parquet(f"{path}/lists")
 
 
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    """The indexed rows, none included."""
+    return spark.read.schema(spark.read.parquet(f"{path}/schema").first().ddl).parquet(f"{path}/rows")
+
+
 def _coded(rows: DataFrame, shared, k: int, upper: bool) -> DataFrame:
     """By list and in Arrow batches: with upper false, the k best lower bounds of a task for each query, as (query, bound); with upper true, all
     (query, id, list) whose upper bound reaches the query's floor. Only pairs of a query and a list that it asked for are computed."""
@@ -124,7 +130,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 40, wher
     than k rows that pass the filter, a query's floor is none and all lists are read, so that the answer never depends on the lists. To a dictionary given as
     report the shares of list reads and of exact vectors are added."""
     lists = spark.read.parquet(f"{path}/lists").orderBy("list").collect()  # LISTS rows at most
-    rows = spark.read.parquet(f"{path}/rows")
+    rows = _rows(spark, path)
     rows = rows if where is None else rows.where(where)
     centroids, radii = np.array([r.centroid for r in lists]), np.array([r.radius for r in lists])
     names, sizes = np.array([r.list for r in lists]), np.array([r.n for r in lists])

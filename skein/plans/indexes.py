@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import ranking, section_trees, vector_index
+from ..operators import builds, ranking, section_trees, vector_index
 from ..operators.segments import TextIndex
 from ..sources.shared import shared_folder
+from ..sources.stores import Stores
 from . import retrieval
 from .base import documents, table, tokens
 
@@ -67,6 +68,34 @@ def segmented_bm25(spark, sf_dir) -> DataFrame:
     return found.select("query_id", "id", F.round("score", 4).alias("score"))
 
 
+def summary_builds(spark, sf_dir) -> DataFrame:
+    """A summary index built, run again, and run after titles of every tenth file changed and every eleventh file went: what each run wrote and what is held."""
+    d = documents(spark, sf_dir)
+    tagged = F.when(F.col("doc_id") % 5 != 0, F.lit("2024-01-01"))
+    files = d.select("doc_id", "source_file", F.concat(F.lit("File "), F.col("doc_id").cast("string")).alias("title"), F.array("source").alias("topics"), "text", tagged.alias("tagged_at"))
+    files = files.select("doc_id", "source_file", "title", "topics", F.col("text").alias("summary"), F.lit(None).cast("string").alias("other"), "tagged_at")
+    later = files.where("doc_id % 11 <> 0").withColumn("title", F.when(F.col("doc_id") % 10 == 1, F.concat("title", F.lit(" again"))).otherwise(F.col("title")))
+    stores = Stores(spark, shared_folder(spark), {"summaries": "source_file"})
+    wrote = [builds.build_summaries(stores, f.drop("doc_id"), prune=True) for f in (files, files, later)]
+    held = stores.table("summaries")
+    facts = held.agg(F.count("*").alias("held"), F.count_distinct("id").alias("ids"), F.count_if(F.col("title").endswith("again")).alias("changed"))
+    return facts.select(*[F.lit(w).cast("long").alias(f"run{i + 1}") for i, w in enumerate(wrote)], "held", "ids", "changed")
+
+
+def store_deletes(spark, sf_dir) -> DataFrame:
+    """Sources deleted from chunks, facts and ledger at once, their ledger entries reset: what each table holds after, and whether anything went."""
+    d = documents(spark, sf_dir).select("doc_id", F.col("source").alias("source_file"), "n_chars")
+    sources = d.select("source_file").distinct()
+    stores = Stores(spark, shared_folder(spark), {"chunks": "source_file", "facts": "source_file", "ledger": "source_file"})
+    stores.change({"chunks": d, "facts": sources.withColumn("tagged_at", F.lit("2024-01-01")), "ledger": sources.withColumn("status", F.lit("ok"))})
+    gone = sources.where("source_file in ('src0', 'src3')")
+    went = stores.delete(gone, {"facts": gone.withColumn("tagged_at", F.lit(None).cast("string")), "ledger": gone.withColumn("status", F.lit("pending"))})
+    again = stores.delete(spark.createDataFrame([("no such source",)], "source_file string"))
+    chunks = stores.table("chunks").groupBy("source_file").agg(F.count("*").alias("n_chunks"), F.sum("n_chars").alias("n_chars"))
+    rows = stores.table("ledger").join(stores.table("facts"), "source_file").join(chunks, "source_file", "left")
+    return rows.select("source_file", "status", "tagged_at", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.lit(went).alias("went"), F.lit(again).alias("went_again"))
+
+
 _SECTIONS = f"""ordered AS (
   SELECT 'conv/' || conv_id AS source_file, conv_id, turn, role, text, greatest(length(coalesce(text, '')) // 4, 1) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations
 ), placed AS (
@@ -91,5 +120,9 @@ SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id OR
     "indexed_cosine_topk": retrieval.SQL["cosine_topk"],
     "indexed_filtered_topk": retrieval.SQL["filtered_cosine_topk"],
     "segmented_bm25": retrieval.SQL["bm25_topk"],
+    "summary_builds": """WITH f AS (SELECT doc_id FROM documents WHERE doc_id % 5 <> 0), l AS (SELECT doc_id FROM f WHERE doc_id % 11 <> 0)
+SELECT (SELECT count(*) FROM f) AS run1, CAST(0 AS BIGINT) AS run2, count(*) FILTER (doc_id % 10 = 1) AS run3, count(*) AS held, count(*) AS ids, count(*) FILTER (doc_id % 10 = 1) AS changed FROM l""",
+    "store_deletes": """SELECT source AS source_file, CASE WHEN source IN ('src0', 'src3') THEN 'pending' ELSE 'ok' END AS status, CASE WHEN source IN ('src0', 'src3') THEN NULL ELSE '2024-01-01' END AS tagged_at,
+  count(*) FILTER (source NOT IN ('src0', 'src3')) AS n_chunks, CAST(coalesce(sum(n_chars) FILTER (source NOT IN ('src0', 'src3')), 0) AS BIGINT) AS n_chars, count(*) FILTER (source IN ('src0', 'src3')) >= 0 AS went, FALSE AS went_again FROM documents GROUP BY source""",
 }
-QUERIES = {f.__name__: f for f in (section_nodes, section_search, indexed_cosine_topk, indexed_filtered_topk, segmented_bm25)}
+QUERIES = {f.__name__: f for f in (section_nodes, section_search, indexed_cosine_topk, indexed_filtered_topk, segmented_bm25, summary_builds, store_deletes)}

@@ -20,6 +20,13 @@ def aligned_segments(spark, sf_dir) -> DataFrame:
     return each.select("source_file", F.col("s.start").alias("start_sec"), F.col("s.end").alias("end_sec"), F.col("s.speaker").alias("speaker"), F.col("s.text").alias("text"))
 
 
+def word_changes(spark, sf_dir) -> DataFrame:
+    """Of each turn how many words differ from the turn with some words in capitals."""
+    t = table(spark, sf_dir, "conversations")
+    new = F.regexp_replace("text", r"(?<!\S)(the|of|and|in)(?!\S)", "CLEAN")
+    return t.select("conv_id", "turn", cleaning.word_changes(F.col("text"), new).alias("c")).select("conv_id", "turn", "c.changed", "c.deleted", "c.inserted")
+
+
 def parsed_paths(spark, sf_dir) -> DataFrame:
     """Paths of ten shapes made of documents' ids, read again: whole ones, with what pipelines add, without years, over a year's end, with junk, bad and missing parts."""
     d = documents(spark, sf_dir).select("doc_id")
@@ -57,6 +64,7 @@ SQL = {
     "aligned_segments": """SELECT CAST(conv_id AS VARCHAR) AS source_file, turn * 2.0::DOUBLE AS start_sec, turn * 2.0::DOUBLE + 2 AS end_sec, role AS speaker,
   array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), lambda w: CASE WHEN w IN ('the', 'of', 'and', 'in') THEN 'CLEAN' ELSE w END), ' ') || CASE WHEN turn = max(turn) OVER (PARTITION BY conv_id) THEN ' amen' ELSE '' END AS text
 FROM conversations""",
+    "word_changes": "SELECT conv_id, turn, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w IN ('the', 'of', 'and', 'in'))) AS INTEGER) AS changed, CAST(0 AS INTEGER) AS deleted, CAST(0 AS INTEGER) AS inserted FROM conversations",
     "parsed_paths": f"""WITH k AS (SELECT doc_id, CAST(doc_id % 20 + 1995 AS INTEGER) AS y, CAST(doc_id % 12 + 1 AS INTEGER) AS m, CAST((doc_id + 1) % 12 + 1 AS INTEGER) AS nm, CAST(doc_id % 20 + 1 AS INTEGER) AS d, CAST(doc_id % 4 + 1 AS INTEGER) AS s, doc_id % 12 + 1 AS h, CAST(doc_id % 60 + 1 AS INTEGER) AS t FROM documents),
 r AS (SELECT doc_id, {_case(*["'Live Masters'"] * 2, "'Dagshai'", *["'Live Masters'"] * 3, "NULL", *["'Live Masters'"] * 2, "'B'")} AS collection, {_case(*["y"] * 6, "NULL", "y", "y", "y + 1")} AS year, {_case("1", "NULL", "NULL", "NULL", "17", "NULL", "NULL", "NULL", "NULL", "1")} AS event_seq,
   {_case("'NOIDA'", "'NOIDA'", "'DAGSHAI'", "'DELHI'", "'NEW YEAR DELHI'", "NULL", "NULL", "'NOIDA'", "'NOIDA'", "'X'")} AS location, {_case("s", "s", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "3")} AS session_seq,
@@ -68,4 +76,4 @@ r AS (SELECT doc_id, {_case(*["'Live Masters'"] * 2, "'Dagshai'", *["'Live Maste
 SELECT * REPLACE (CAST(event_start AS VARCHAR) AS event_start, CAST(event_end AS VARCHAR) AS event_end, CAST(session_date AS VARCHAR) AS session_date),
   CASE WHEN month(coalesce(session_date, event_start)) <= 2 THEN 'winter' WHEN month(coalesce(session_date, event_start)) <= 5 THEN 'summer' WHEN month(coalesce(session_date, event_start)) <= 9 THEN 'monsoon' WHEN coalesce(session_date, event_start) IS NOT NULL THEN 'post-monsoon' END AS season FROM r""",
 }
-QUERIES = {f.__name__: f for f in (aligned_segments, parsed_paths)}
+QUERIES = {f.__name__: f for f in (aligned_segments, word_changes, parsed_paths)}
