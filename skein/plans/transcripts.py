@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import MONTHS
-from ..operators import cleaning, paths
-from .base import documents, table
+from ..operators import cleaning, followup, paths, sittings
+from .base import DOCS, documents, table
 
 
 def aligned_segments(spark, sf_dir) -> DataFrame:
@@ -52,6 +54,32 @@ def parsed_paths(spark, sf_dir) -> DataFrame:
     return facts.select("doc_id", *plain, day("event_start"), day("event_end"), day("session_date"), F.size("facts.parse_warnings").alias("n_warnings"))
 
 
+def sitting_texts(spark, sf_dir) -> DataFrame:
+    """Documents as a catalog, a third of them titles and six a sitting; the candidates of each language miss every fourth, so that some titles take their details from the whole catalog."""
+    d = documents(spark, sf_dir)
+    title = F.col("doc_id") % 3 == 0
+    catalog = d.select(
+        F.col("doc_id").alias("id"), F.lit("catalog").alias("source_type"), F.when(title, "track_title").otherwise("sitting_detail").alias("kind"), "text", F.concat(F.lit("s"), F.expr("doc_id div 6").cast("string")).alias("sitting_key"),
+        F.concat(F.lit("Title "), F.col("doc_id").cast("string")).alias("track_title"), F.when(F.col("doc_id") % 2 == 0, "bhajan").alias("track_type"), F.col("source").alias("location"), F.date_format("session_date", "yyyy-MM-dd").alias("session_date"),
+        F.lit(None).cast("string").alias("season"), F.array("source", "lang").alias("performers"),
+    )
+    pool = d.where("doc_id % 4 <> 1").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("id"))
+    return sittings.rerank_texts(pool, catalog).select("query_id", "id", F.md5("read").alias("read_md5"), F.length("read").cast("long").alias("n_chars"))
+
+
+def _digest(prompt: str) -> str:
+    """A model that answers with its prompt's digest, in quotes, so that every prompt is held to its letters."""
+    return f' "{hashlib.md5(prompt.encode()).hexdigest()}" '
+
+
+def followups(spark, sf_dir) -> DataFrame:
+    """Each conversation's last user turn as a follow-up to the turns before it."""
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conversation_id"), F.col("turn").cast("long").alias("turn_index"), "role", "text")
+    last = t.where("role = 'user'").groupBy("conversation_id").agg(F.max("turn_index").alias("at"), F.max_by("text", "turn_index").alias("text")).withColumn("query_id", F.col("conversation_id"))
+    before = t.join(last.select("conversation_id", "at"), "conversation_id").where("turn_index < at").drop("at")
+    return followup.standalone(last.select("query_id", "conversation_id", "text"), before, _digest).select("query_id", "rewritten")
+
+
 _KINDS = "CASE doc_id % 10 {} END"
 
 
@@ -64,6 +92,15 @@ SQL = {
     "aligned_segments": """SELECT CAST(conv_id AS VARCHAR) AS source_file, turn * 2.0::DOUBLE AS start_sec, turn * 2.0::DOUBLE + 2 AS end_sec, role AS speaker,
   array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), lambda w: CASE WHEN w IN ('the', 'of', 'and', 'in') THEN 'CLEAN' ELSE w END), ' ') || CASE WHEN turn = max(turn) OVER (PARTITION BY conv_id) THEN ' amen' ELSE '' END AS text
 FROM conversations""",
+    "sitting_texts": f"""WITH {DOCS}, d AS (SELECT *, 's' || doc_id // 6 AS k FROM docs), near AS (SELECT lang, k, string_agg(text, chr(10) ORDER BY doc_id) AS body FROM d WHERE doc_id % 3 <> 0 AND doc_id % 4 <> 1 AND text <> '' GROUP BY 1, 2),
+far AS (SELECT k, string_agg(text, chr(10) ORDER BY doc_id) AS body FROM d WHERE doc_id % 3 <> 0 AND text <> '' GROUP BY 1),
+r AS (SELECT d.lang AS query_id, doc_id AS id, CASE WHEN doc_id % 3 <> 0 THEN coalesce(text, '') ELSE CASE WHEN doc_id % 2 = 0 THEN 'bhajan' ELSE 'track' END || ': Title ' || doc_id || ', at ' || source || coalesce(' on ' || strftime(session_date, '%Y-%m-%d'), '') || ' performed by ' || source || ', ' || d.lang || coalesce('. ' || coalesce(near.body, far.body), '') END AS read
+  FROM d LEFT JOIN near ON near.lang = d.lang AND near.k = d.k LEFT JOIN far ON far.k = d.k WHERE doc_id % 4 <> 1)
+SELECT query_id, id, md5(read) AS read_md5, length(read) AS n_chars FROM r""",
+    "followups": """WITH l AS (SELECT conv_id, max(turn) AS at, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY 1),
+b AS (SELECT c.conv_id, c.turn, c.role || ': ' || CASE WHEN c.role = 'assistant' THEN left(c.text, 400) ELSE c.text END AS line FROM conversations c JOIN l USING (conv_id) WHERE c.turn < l.at AND trim(c.text) <> '' QUALIFY row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn DESC) <= 3),
+x AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS context FROM b GROUP BY 1)
+SELECT l.conv_id AS query_id, CASE WHEN context IS NULL THEN text ELSE md5('Turns so far:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Write the question as one search query that needs no turn before it, in the same language, with the person or topic by name. Reply with the query alone.') END AS rewritten FROM l LEFT JOIN x USING (conv_id)""",
     "word_changes": "SELECT conv_id, turn, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w IN ('the', 'of', 'and', 'in'))) AS INTEGER) AS changed, CAST(0 AS INTEGER) AS deleted, CAST(0 AS INTEGER) AS inserted FROM conversations",
     "parsed_paths": f"""WITH k AS (SELECT doc_id, CAST(doc_id % 20 + 1995 AS INTEGER) AS y, CAST(doc_id % 12 + 1 AS INTEGER) AS m, CAST((doc_id + 1) % 12 + 1 AS INTEGER) AS nm, CAST(doc_id % 20 + 1 AS INTEGER) AS d, CAST(doc_id % 4 + 1 AS INTEGER) AS s, doc_id % 12 + 1 AS h, CAST(doc_id % 60 + 1 AS INTEGER) AS t FROM documents),
 r AS (SELECT doc_id, {_case(*["'Live Masters'"] * 2, "'Dagshai'", *["'Live Masters'"] * 3, "NULL", *["'Live Masters'"] * 2, "'B'")} AS collection, {_case(*["y"] * 6, "NULL", "y", "y", "y + 1")} AS year, {_case("1", "NULL", "NULL", "NULL", "17", "NULL", "NULL", "NULL", "NULL", "1")} AS event_seq,
@@ -76,4 +113,4 @@ r AS (SELECT doc_id, {_case(*["'Live Masters'"] * 2, "'Dagshai'", *["'Live Maste
 SELECT * REPLACE (CAST(event_start AS VARCHAR) AS event_start, CAST(event_end AS VARCHAR) AS event_end, CAST(session_date AS VARCHAR) AS session_date),
   CASE WHEN month(coalesce(session_date, event_start)) <= 2 THEN 'winter' WHEN month(coalesce(session_date, event_start)) <= 5 THEN 'summer' WHEN month(coalesce(session_date, event_start)) <= 9 THEN 'monsoon' WHEN coalesce(session_date, event_start) IS NOT NULL THEN 'post-monsoon' END AS season FROM r""",
 }
-QUERIES = {f.__name__: f for f in (aligned_segments, word_changes, parsed_paths)}
+QUERIES = {f.__name__: f for f in (aligned_segments, word_changes, parsed_paths, sitting_texts, followups)}
