@@ -310,7 +310,32 @@ _MAPPED = f"""m AS (SELECT doc_id, ln, string_agg(CASE WHEN trim(w, {_MARKS}) IN
 mt AS (SELECT doc_id, string_agg(coalesce(m.line, ''), chr(10) ORDER BY ln) AS text, CAST(coalesce(sum(loanwords), 0) AS BIGINT) AS loanwords FROM al LEFT JOIN m USING (doc_id, ln) GROUP BY 1)"""
 _EXCISED = "regexp_replace(regexp_replace(text, '\\s*\\(\\s*([A-Za-z][A-Za-z0-9 ''\\-/&.]*)\\s*\\)', '', 'g'), '(?:lorem)(?:[\\s,]+(?:ipsum)){0,8}[\\s,]*', ' ', 'g')"
 _STATE_SQL = words("text")
+def _ranges(always: bool) -> str:
+    """Chunks of sentences step by step: where a range ends, and where the next begins."""
+    at = "CAST(greatest(r.e - {}, r.b + 1) AS BIGINT)".format("2" if always else "CASE WHEN r.e - r.b > 2 THEN 2 ELSE 0 END")
+    reach = lambda a: f"coalesce(list_min(list_filter(range({a} + 1, n + 1), lambda e: c[e + 1] - c[{a} + 1] >= 450)), n)"
+    end = "CASE WHEN x >= a + 2 AND c[x + 1] - c[a + 1] > 700 THEN x - 1 ELSE x END"
+    return rf"""WITH RECURSIVE p AS (
+  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?।॥])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(10))), lambda s: s <> '') AS p FROM documents
+), z AS (SELECT doc_id, p, list_transform(p, lambda s: greatest(1, CAST(round_even(len({words('s')}) * 1.3::DOUBLE, 0) AS BIGINT))) AS z FROM p
+), d AS MATERIALIZED (SELECT doc_id, p, len(p) AS n, list_transform(range(0, len(p) + 1), lambda i: coalesce(list_sum(list_slice(z, 1, i)), 0)) AS c FROM z
+), r AS (
+  SELECT doc_id, 0 AS idx, a AS b, {end} AS e FROM (SELECT doc_id, n, c, CAST(0 AS BIGINT) AS a, {reach('0')} AS x FROM d WHERE n > 0)
+  UNION ALL
+  SELECT doc_id, idx, a, {end} FROM (SELECT *, {reach('a')} AS x FROM (SELECT r.doc_id, r.idx + 1 AS idx, {at} AS a, d.n, d.c FROM r JOIN d ON d.doc_id = r.doc_id WHERE r.e < d.n))
+), t AS (SELECT r.*, array_to_string(p[b + 1 : e], ' ') AS text FROM r JOIN d USING (doc_id))
+SELECT doc_id AS id, CAST(idx AS INTEGER) AS idx, text, CAST(b AS INTEGER) AS sentence_start, CAST(e AS INTEGER) AS sentence_end, CAST(len({words('text')}) AS INTEGER) AS word_count FROM t"""
+
+
 SQL = {
+    "sentence_chunks": _ranges(True),
+    "catalog_chunks": _ranges(False),
+    "section_groups": """WITH RECURSIVE o AS (SELECT conv_id, turn, greatest(length(text) // 4, 1) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+p AS (
+  SELECT *, 0 AS section, t AS held FROM o WHERE k = 1
+  UNION ALL
+  SELECT o.*, CASE WHEN p.held + o.t > 300 THEN p.section + 1 ELSE p.section END, CASE WHEN p.held + o.t > 300 THEN o.t ELSE p.held + o.t END FROM p JOIN o ON o.conv_id = p.conv_id AND o.k = p.k + 1
+) SELECT CAST(conv_id AS VARCHAR) AS source_file, CAST(section AS INTEGER) AS section, count(*) AS n_chunks, CAST(sum(t) AS BIGINT) AS tokens, min(turn) * 10.0::DOUBLE AS start_sec, max(turn) * 10.0::DOUBLE + 9 AS end_sec, list(conv_id || '-' || turn ORDER BY turn) AS chunk_ids FROM p GROUP BY conv_id, section""",
     "loop_collapse": f"WITH al AS {_lines('documents', 'text')}, {_loops('al')} SELECT doc_id, md5(text) AS digest, length(text) AS length FROM (SELECT doc_id, string_agg(coalesce(short, ''), chr(10) ORDER BY ln) AS text FROM al LEFT JOIN j USING (doc_id, ln) GROUP BY 1)",
     "normalised_texts": f"""WITH al AS {_lines('documents', 'text')}, {_MAPPED}, xl AS {_lines('mt', _tidy(_EXCISED))}, {_loops('xl')}, c AS (SELECT doc_id, count(*) AS loops FROM n WHERE k = 1 AND len >= 6 GROUP BY 1),
 f AS (SELECT doc_id, {_tidy("string_agg(coalesce(short, ''), chr(10) ORDER BY ln)")} AS text FROM xl LEFT JOIN j USING (doc_id, ln) GROUP BY 1)

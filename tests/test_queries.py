@@ -13,7 +13,7 @@ from skein.streaming import events
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = "loop_collapse normalised_texts chunk_ids performers_split packed_paragraphs entity_surfaces languages joined_texts hit_ranks minmax_normalise count_mentions top_speakers terms_sum_by_source corpus_summary corpus_tree url_tree thread_rollup next_turn_index bm25_topk cosine_topk rrf_three_arm citation_floor best_rank chunk_audit dead_letters upsert_last_wins catalog_collapse optional_enrichment path_facts router_class query_plans vocabulary_signals quote_hits abstention_matrix percentile_distribution rerank_lexical section_nodes section_search indexed_filtered_topk segmented_bm25 summary_builds store_deletes aligned_segments word_changes parsed_paths sitting_texts followups streamed_answers streamed_plays streamed_ingest".split()
+SOME = "loop_collapse normalised_texts chunk_ids performers_split packed_paragraphs entity_surfaces languages joined_texts hit_ranks minmax_normalise count_mentions top_speakers terms_sum_by_source corpus_summary corpus_tree url_tree thread_rollup next_turn_index bm25_topk cosine_topk rrf_three_arm citation_floor best_rank chunk_audit dead_letters upsert_last_wins catalog_collapse optional_enrichment path_facts router_class query_plans vocabulary_signals quote_hits abstention_matrix percentile_distribution rerank_lexical section_nodes section_search indexed_filtered_topk segmented_bm25 summary_builds store_deletes aligned_segments word_changes parsed_paths sitting_texts followups sentence_chunks catalog_chunks section_groups streamed_answers streamed_plays streamed_ingest".split()
 
 
 def plain(v):
