@@ -270,7 +270,8 @@ _COUNTS = "kind int, u long, w long, n long, m long"
 
 
 def _count(group: pa.Table) -> pa.Table:
-    """Rows of kind 0: dishes with two customers or more; 1 and 2: a word as context and as dish, its customers and dishes with one; 3: dishes with one and with two."""
+    """Rows of kind 0: dishes (u, w) with two customers or more; 1 and 2: a word as context (u) and as dish (w), its customers, its dishes with one and,
+    for 2, in u, those with more; 3: how many dishes have one and how many two."""
     rows = [(u, w, n) for _, u, w, n, _ in _read_pairs(group)]
     u, w, c, _ = _merge(*(np.concatenate(x) for x in zip(*rows, strict=True)))
     u, w, c = u[c > 0], w[c > 0], c[c > 0]
@@ -280,7 +281,8 @@ def _count(group: pa.Table) -> pa.Table:
         names, of = np.unique(x, return_inverse=True)
         ones = np.bincount(of, ~many, len(names)).astype(np.int64)
         keep = (names < COMMON) | (np.bincount(of, many, len(names)) > 0) if kind == 1 else np.ones(len(names), bool)
-        out.append((np.full(keep.sum(), kind, np.int32), names[keep], names[keep], np.bincount(of, c, len(names)).astype(np.int64)[keep], ones[keep]))
+        more = np.bincount(of, many, len(names)).astype(np.uint64) if kind == 2 else names
+        out.append((np.full(keep.sum(), kind, np.int32), more[keep], names[keep], np.bincount(of, c, len(names)).astype(np.int64)[keep], ones[keep]))
     out.append((np.array([3], np.int32), *(np.zeros(1, np.uint64) for _ in range(2)), np.array([(c == 1).sum()]), np.array([(c == 2).sum()])))
     kind, u, w, n, m = (np.concatenate(x) for x in zip(*out, strict=True))
     return pa.table({"kind": kind, "u": u.view(np.int64), "w": w.view(np.int64), "n": n.astype(np.int64), "m": m.astype(np.int64)})
@@ -358,15 +360,21 @@ def _common_words(docs: DataFrame) -> np.ndarray:
     """Hashes of the commonest words of one document in sixteen, and the end. They decide on routes alone."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, sums = np.empty(0, np.uint64), np.empty(0, np.int64)
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            names, sums = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(sums.astype(np.int64))], ["w", "n"])
+
         for b in batches:
             h, _ = word_hashes(*text_buffer(b.column("text")))
-            names, of = np.unique(np.concatenate((names, h)), return_inverse=True)
-            sums = np.bincount(of, np.concatenate((sums, np.ones(len(h), np.int64))), len(names)).astype(np.int64)
-            if len(names) > 1 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(sums)], ["w", "n"])
-                names, sums = names[:0], sums[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(sums)], ["w", "n"])
+            held.append(h)
+            size += len(h)
+            if size > 1 << 21:
+                yield counted()
+                held, size = [], 0
+        if held:
+            yield counted()
 
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).select("text").mapInArrow(count, "w long, n long")
     rows = some.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(COMMON - 1).collect()
@@ -386,10 +394,10 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, strength:
     facts = counted.where("kind = 3").agg(F.sum("n").alias("one"), F.sum("m").alias("two")).first()
     bounded = lambda one, two: round(min(0.95, max(0.1, one / (one + 2 * two) if one else 0.5)), 6)
     low = bounded(facts.one or 0, facts.two or 0)
-    vocabulary = materialise(counted.where("kind = 2").groupBy("w").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+    vocabulary = materialise(counted.where("kind = 2").groupBy("w").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("u").alias("k")))
     contexts = counted.where("kind = 1").groupBy("u").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     dishes = materialise(counted.where("kind = 0").select("u", "w", "n", F.lit(1).cast("long").alias("t")))
-    first = vocabulary.select("w", F.col("m").alias("c")).unionByName(dishes.select("w", F.col("t").alias("c"))).groupBy("w").agg(F.sum("c").alias("c"))
+    first = vocabulary.select((F.col("m") + F.col("k")).alias("c"))  # a table a dish
     heads = first.agg(F.sum((F.col("c") == 1).cast("long")).alias("one"), F.sum((F.col("c") == 2).cast("long")).alias("two"), F.count("*").alias("v")).first()
     high = bounded(heads.one or 0, heads.two or 0)
     tokens, v = vocabulary.agg(F.sum("n")).first()[0] or 0, heads.v
@@ -405,7 +413,10 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, strength:
     for turn in range(rounds + 1):
         salt = 100 * (turn + 1)
         # the parent: its customers are the tables below
-        below = several.unionByName(dishes.select("w", F.col("t").alias("c"))).groupBy("w").agg(F.sum("c").alias("c"))
+        if turn:
+            below = several.unionByName(dishes.select("w", F.col("t").alias("c"))).groupBy("w").agg(F.sum("c").alias("c"))
+        else:
+            below = vocabulary.where("n > 1").select("w", (F.col("m") + F.col("k")).alias("c"))
         aux = float(gammas(np.array([strength / high + parent_tables]), np.array([np.uint64(1)]), salt)[0])
         before, in_parent = in_parent, materialise(below.mapInArrow(_seat_parent(words, high, float(np.log(high * aux / (v + 1))), salt), "w long, c long, t long, g double"))
         if before is not None and before not in masses:
