@@ -402,7 +402,7 @@ SELECT count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS matched, count(*) FI
     "summary_texts": "SELECT doc_id, concat_ws(chr(10), source, CASE WHEN doc_id % 3 <> 0 THEN 'Topics: ' || source || ', ' || lang END, CASE WHEN doc_id % 2 = 0 OR trim(text) = '' THEN lang ELSE trim(text) END) AS text FROM documents",
     "store_parity": "SELECT doc_id AS key, CASE WHEN doc_id % 10 = 7 THEN 'key_only' ELSE 'file_only' END AS side FROM documents WHERE doc_id % 10 IN (3, 7)",
     "path_facts": """SELECT doc_id, 'Dagshai ' || y AS event_id, CAST(y AS INTEGER) AS year, 'DAGSHAI' AS location, make_date(y, 4, doc_id % 28 + 1) AS session_date, CAST(doc_id % 4 + 1 AS INTEGER) AS session_seq, '06:30' AS session_time, CAST(doc_id % 60 + 1 AS INTEGER) AS track_no, 'Song ' || doc_id AS track_title, 'bhajan' AS track_type FROM (SELECT doc_id, doc_id % 20 + 1995 AS y FROM documents)""",
-    "catalog_tracks": """WITH x AS (SELECT CAST(o_orderdate AS DATE) AS d, o_orderkey % 5 + 1 AS q, o_custkey % 30 AS k, round(o_totalprice / 10000, 2) AS u FROM orders)
+    "catalog_tracks": f"""WITH x AS (SELECT CAST(o_orderdate AS DATE) AS d, o_orderkey % 5 + 1 AS q, o_custkey % 30 AS k, {_half_up('o_totalprice / 10000')} AS u FROM orders)
 SELECT d || '|' || q || '|' || k AS join_key, d || '|' || q || '|' AS sitting_key, '06:30' AS session_time, 'DELHI' AS location, CASE WHEN round_even((u - floor(u)) * 100, 0) < 60 THEN CAST(floor(u) * 60 + round_even((u - floor(u)) * 100, 0) AS INTEGER) END AS duration_sec, 'Suman|Richa' AS performers, CAST(NULL AS VARCHAR) AS warning FROM x""",
 }
 QUERIES = {f.__name__: f for f in (
