@@ -24,6 +24,11 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})")), F.array().cast("array<string>"))
 
 
+def token_count(text: Column) -> Column:
+    """How many words tokens() gives, without making them."""
+    return F.coalesce(F.regexp_count(F.lower(text), F.lit(WORD)), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """What white space separates, in order."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != "")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import tokens
+from ..sources.shared import kept
 
 
 def holders(passages: DataFrame, docs: DataFrame, index: DataFrame) -> DataFrame:
@@ -14,10 +15,10 @@ def holders(passages: DataFrame, docs: DataFrame, index: DataFrame) -> DataFrame
     passage of fewer than three words is looked for by all of its words."""
     t = tokens(F.col("text"))
     each = passages.select("query_id", F.explode(F.array_distinct(F.when(F.size(t) > 2, F.slice(t, 2, F.greatest(F.size(t) - 2, F.lit(1)))).otherwise(t))).alias("term"))
-    known = index.join(each.select("term").distinct(), "term", "left_semi")
+    known = kept(index.join(each.select("term").distinct(), "term", "left_semi"))
     df = known.groupBy("term").agg(F.count("*").alias("df"))
     rarest = each.join(df, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
-    candidates = known.join(rarest, "term").select("query_id", "id")
+    candidates = kept(known.join(rarest, "term").select("query_id", "id"))
     both = candidates.join(docs, "id").join(passages.select("query_id", F.col("text").alias("passage")), "query_id")
     return both.where(F.contains("text", "passage")).select("query_id", "id")
 

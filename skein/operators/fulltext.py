@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import tokens
+from ..functions.text import token_count, tokens
+from ..sources.shared import kept
 
 K1, B = 1.2, 0.75
 
@@ -41,29 +46,48 @@ def term_sums(df: DataFrame, terms: DataFrame, by: str, text: str = "text") -> D
 
 def postings(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     """(term, id, tf, dl): counts are made before anything is shuffled by term."""
-    toks = df.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("toks"))
-    each = toks.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    toks = df.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("toks")).select("id", F.size("toks").alias("dl"), "toks")
+    # a word does not carry its text's words along for their number; explode() would have the text cut once more, to see whether it has any words
+    each = toks.select("id", "dl", F.explode_outer("toks").alias("term")).where("term is not null")
     return each.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
+def asked_words(queries: DataFrame) -> DataFrame:
+    """(query_id, term): the different words of each query (query_id, text)."""
+    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+
+
+def restricted(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """The postings of the words asked for, written once. The semi-join sinks below the counts of postings, so that other words are not
+    shuffled. The queries' words are broadcast only if Spark finds them small."""
+    return kept(index.join(asked_words(queries).select("term").distinct(), "term", "left_semi"))
+
+
 def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, k: int = 40) -> DataFrame:
     """(query_id, id, score, rank from 0) of the k best documents of each query (query_id, text): Okapi BM25, any word may match.
 
-    index is postings(); stats one row (n, avgdl). The semi-join with the words asked for sinks below the counts of postings, so that
-    other words are not shuffled. The queries' words are broadcast only if Spark finds them small."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    index is postings(); stats one row (n, avgdl). What documents have of the words asked for is written, a row a document, and met by blocks of queries in
+    Arrow batches: a common word does not make a row for each query and document that have it."""
+    from . import word_scan
+
+    asked = asked_words(queries)
     known = index.join(asked.select("term").distinct(), "term", "left_semi")
-    df = known.groupBy("term").agg(F.count("*").alias("df"))
-    scored = known.join(df, "term").join(asked, "term").join(F.broadcast(stats)).withColumn(
-        "part", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    )
-    total = scored.groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return ranked(total, k)
+    said = kept(known.groupBy("id").agg(F.collect_list(F.struct("term", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))).alias("said")))
+    df = said.select(F.explode("said.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n, avgdl = stats.select("n", F.coalesce("avgdl", F.lit(1.0))).first()
+    weighed = kept(asked.join(df, "term").select("query_id", "term", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))
+
+    def value(entries: pa.StructArray) -> np.ndarray:
+        tf, dl = (entries.field(c).to_numpy() for c in ("tf", "dl"))
+        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+    parts = [word_scan.best(said, word_scan.Asked(block, "idf"), value, lambda sums, _: np.round(sums, 6), k) for block in word_scan.asked_blocks(weighed)]
+    return ranked(reduce(DataFrame.unionByName, parts), k)
 
 
 def corpus_stats(df: DataFrame, text: str = "text") -> DataFrame:
     """One row: documents and their mean length in words."""
-    return df.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl"))
+    return df.agg(F.count("*").alias("n"), F.avg(token_count(F.col(text))).alias("avgdl"))
 
 
 def ranked(df: DataFrame, k: int) -> DataFrame:

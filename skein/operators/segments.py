@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import tokens
+from ..functions.text import token_count, tokens
 from ..sources.stores import Stores
 from .fulltext import bm25
 
@@ -19,9 +19,9 @@ class TextIndex:
 
     @staticmethod
     def _cut(docs: DataFrame) -> dict[str, DataFrame]:
-        cut = docs.select("id", "source_file", tokens(F.col("text")).alias("toks"))
-        lengths = cut.select("id", "source_file", F.size("toks").alias("dl"))
-        each = cut.select("id", "source_file", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+        cut = docs.select("id", "source_file", tokens(F.col("text")).alias("toks")).select("id", "source_file", F.size("toks").alias("dl"), "toks")
+        lengths = docs.select("id", "source_file", token_count(F.col("text")).alias("dl"))
+        each = cut.select("id", "source_file", "dl", F.explode_outer("toks").alias("term")).where("term is not null")
         return {"postings": each.groupBy("term", "id", "source_file", "dl").agg(F.count("*").alias("tf")), "lengths": lengths}
 
     def add(self, docs: DataFrame, replace: bool = False) -> int:

@@ -54,7 +54,7 @@ def quote_detection(spark, sf_dir) -> DataFrame:
 def _ranked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     d = documents(spark, sf_dir)
     passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    index = fulltext.postings(d, "doc_id")
+    index = fulltext.restricted(fulltext.postings(d, "doc_id"), passages)
     found = fulltext.bm25(passages, index, fulltext.corpus_stats(d), 10).select("query_id", "id", (F.col("rank") + 1).alias("rank"))
     return found, evaluate.holders(passages, d.select(F.col("doc_id").alias("id"), "text"), index)
 

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 from skein import plans
+from skein.operators import fulltext, ranking
 from skein.operators.vectors import hashing_embedder
 
 SF = "/root/testdata/sf0.001"
@@ -107,3 +108,22 @@ def test_variants_match_plain_version(spark, corpus):
                 best[i] = min(best.get(i, (0, 9, 0)), (-s, variant, rank))
         want[q] = [(i, -best[i][0]) for i in sorted(best, key=lambda i: (*best[i], i))[:10]]
     compare(spark, "multi_query_search", want)
+
+
+def test_common_words_do_not_make_a_row_for_each_query_and_document(spark):
+    d = spark.range(2000).selectExpr("id", "concat('the of and word', id % 7, ' rare', id) AS text")
+    q = spark.range(60).selectExpr("id AS query_id", "concat('the of and rare', id * 3) AS text")
+    jobs = []
+    for found in (fulltext.bm25(q, fulltext.postings(d, "id"), fulltext.corpus_stats(d), 3), ranking.lexical_nearest(q, d, 3)):
+        rows = found.collect()
+        assert len(rows) == 180 and all(r.id == 3 * r.query_id for r in rows if r["rank"] == 0)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        jobs.append("MapInArrow" in plan and "SortMergeJoin" not in plan)
+    assert all(jobs)
+
+
+def test_postings_cut_a_text_once(spark):
+    d = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "id long, text string")
+    p = fulltext.postings(d, "id")
+    assert sorted(map(tuple, p.collect())) == [("a", 1, 3, 2), ("b", 1, 3, 1)]
+    assert p._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
