@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 RRF_K = 60
@@ -91,14 +94,19 @@ def lexical_scorer(query: Column, text: Column) -> Column:
 def lexical_nearest(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): the k texts (id, text) of the highest lexical score for each query (query_id, text), ties to the smaller id.
 
-    Joined by words, so that each text is cut once and meets only queries that share one. Texts that share none score 0; those
+    Each text is cut once, where it is, and its words meet blocks of queries in Arrow batches. Texts that share no word score 0; those
     that can still be among the k have the smallest ids, of which twice k suffice."""
     from ..functions.text import tokens
-    from .fulltext import ranked
+    from . import word_scan
+    from .fulltext import asked_words, ranked
+
+    def share(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """counts / n to four places, half up."""
+        return (counts.astype(np.int64) * 20_000 + n) // (2 * n) / 10_000
 
-    asked = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("w")).select("query_id", F.size("w").alias("n"), F.explode_outer("w").alias("term"))
-    said = texts.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    shared = said.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.count("*") / F.first("n"), 4).alias("score"))
+    said = texts.select("id", F.array_distinct(tokens(F.col("text"))).alias("said"))
+    asked = asked_words(queries).withColumn("one", F.lit(1))
+    shared = [word_scan.best(said, word_scan.Asked(block, "one"), lambda entries: np.ones(len(entries)), share, k) for block in word_scan.asked_blocks(asked)]
     first = texts.select("id").distinct().orderBy("id").limit(2 * k)
-    none = asked.select("query_id").distinct().join(F.broadcast(first)).withColumn("score", F.lit(0.0))
-    return ranked(shared.unionByName(none).groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
+    none = queries.select("query_id").distinct().join(F.broadcast(first)).withColumn("score", F.lit(0.0))
+    return ranked(reduce(DataFrame.unionByName, [*shared, none]).groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
