@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.shared import kept
 from .filters import Filters, apply
 from .fulltext import bm25, corpus_stats, postings
 from .ranking import above_floor, arm_weights, fused_order, keep_best, lexical_scorer, rrf, top
@@ -57,8 +58,9 @@ def hybrid(corpus: Corpus, queries: DataFrame, filters: Filters | None = None, k
 
 
 def rerank(pool: DataFrame, queries: DataFrame, texts: DataFrame, k: int, scorer: Callable[[Column, Column], Column] = lexical_scorer) -> DataFrame:
-    """The k best of the pool by a pluggable score of query and text, ties in the pool's order."""
-    both = pool.join(texts, "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+    """The k best of the pool by a pluggable score of query and text, ties in the pool's order. The pool is written first, so that Spark sees when it is
+    small and does not shuffle all texts."""
+    both = kept(pool).join(texts, "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
     scored = both.select("query_id", "id", scorer(F.col("query"), F.col("text")).alias("score"), F.col("place").alias("fused_place"))
     return top(scored, k, [F.desc("score"), F.col("fused_place")])
 

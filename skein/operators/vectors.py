@@ -35,6 +35,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 #: Queries whose vectors every task holds at once, and scores computed at a time.
 QUERY_BLOCK, SCORES = 4096, 1 << 21
+#: Words whose places an embedder keeps at hand.
+KNOWN_WORDS = 1 << 16
 
 
 def query_blocks(queries: DataFrame) -> list[pa.Table]:
@@ -144,12 +146,20 @@ def hashing_embedder(size: int = 64) -> Callable[[pd.Series], pd.Series]:
         import re
         import zlib
 
-        out = []
+        class Places(dict):
+            """Where a word falls: its place, or size places further on for a negative sign."""
+
+            def __missing__(self, word: str) -> int:
+                if len(self) >= KNOWN_WORDS:
+                    self.clear()
+                h = zlib.crc32(word.encode())
+                self[word] = place = h % size + (0 if h >> 31 else size)
+                return place
+
+        out, places = [], Places()
         for t in texts.fillna(""):
-            v = np.zeros(size)
-            for w in re.findall(r"\w+", t.lower()):
-                h = zlib.crc32(w.encode())
-                v[h % size] += 1 if h >> 31 else -1
+            hits = np.bincount([places[w] for w in re.findall(r"\w+", t.lower())], minlength=2 * size) if t else np.zeros(2 * size)
+            v = (hits[:size] - hits[size:]).astype(np.float64)
             n = np.linalg.norm(v)
             out.append((v / n if n else v).tolist())
         return pd.Series(out)
