@@ -1,29 +1,26 @@
-"""Operator 3: byte-level BPE by Spark's higher-order functions.
+"""Operator 3: byte-level BPE. Spark cuts the texts into words; Arrow batches of words are encoded where they are.
 
-A word is an array of one-byte pieces; a fold over it merges the neighbours of the lowest rank, the leftmost first, until no
-pair has a rank. The ranks are a literal map in the plan, split into buckets by hash because a map is searched from its start.
-Pieces are strings whose characters are bytes (ISO 8859-1). The commonest distinct words are folded once for the whole table
-and become a literal map themselves, of a fixed number of entries; the other distinct words of a stretch of a document are folded in
-place. No text, word or id is shuffled but the distinct words of each task, to be counted."""
+A word begins as one-byte pieces; the neighbours of the lowest rank are merged, the leftmost first, until no pair has a rank. Of a stretch
+of words each different one is merged once, and a task keeps what it found for the next. No text, word or id is shuffled."""
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
-import json
+from collections.abc import Iterator
 
-import pandas as pd
-import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import discard, materialise
+from .common import short_batches
 
-#: Distinct words in the literal map of common words, their longest in characters, and buckets of the literal maps.
-COMMON, COMMON_CHARS, BUCKETS = 1 << 17, 24, 1 << 16
-#: Words of a stretch of a document, and bytes beyond which a word is merged with a heap, since a fold costs their square.
-STRETCH, LONG = 4096, 256
+#: Words that a task keeps, and their longest in characters.
+COMMON, COMMON_CHARS = 1 << 17, 24
+#: Words that are looked up at a time, and bytes beyond which a word is merged with a heap, since plain merging costs their square.
+STRETCH, LONG = 1 << 16, 256
 _NONE = 2**31 - 1
-_ENTRY = "struct<ids:string,back:string>"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -32,90 +29,33 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def _bucket(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-
-
-def _rank_map(ranks: dict[bytes, int]) -> Column:
-    """A literal array of maps from a token, as a string of bytes, to its rank; a token is in the map of its hash."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for token, rank in ranks.items():
-        key = token.decode("latin-1")
-        buckets[xxhash.xxh64_intdigest(key.encode(), 42) % BUCKETS][key] = rank  # the number of buckets divides 2**64, so signs don't matter
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
-
-
-def _word_map(words: DataFrame) -> Column:
-    """A literal array of maps from a word to its entry, made of a table (word, e) of a bounded number of short rows."""
-    spark = words.sparkSession
-    pairs = F.map_from_entries(F.collect_list(F.struct("word", "e")))
-    maps = words.groupBy(_bucket(F.col("word")).cast("long").alias("id")).agg(F.to_json(pairs).alias("json"))
-    every = spark.range(BUCKETS).join(maps, "id", "left").select(F.struct("id", F.coalesce("json", F.lit("{}")).alias("json")).alias("x"))
-    ordered = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["json"]), ",")
-    return F.from_json(F.lit("[" + every.agg(ordered.alias("json")).first().json + "]"), f"array<map<string,{_ENTRY}>>")
-
-
-def _lookup(maps: Column, key: Column) -> Column:
-    return F.try_element_at(F.get(maps, _bucket(key)), key)
-
-
-def _bound(value: Column, use) -> Column:
-    """use(value), with the value computed once; Catalyst would else put its expression wherever a lambda names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def _with(literals: list[Column], use) -> Column:
-    """use(*literals), with each literal once in the plan: it is shipped, and printed, as often as it stands there."""
-
-    def bind(left: list[Column], names: list[Column]) -> Column:
-        return _bound(left[0], lambda x: bind(left[1:], [*names, x])) if left else use(*names)
-
-    return bind(literals, [])
-
-
 def words_of(text: Column, pattern: str) -> Column:
     """The matches of the pattern. White space is Unicode's, as in the pattern's own engine."""
     return F.regexp_extract_all(text, F.lit(f"(?U)({pattern})"), F.lit(0))
 
 
-def encode_word(word: Column, ranks: Column) -> Column:
-    """The pieces of a word after all merges: a fold whose state is the pieces, each with the rank of the pair that it begins."""
-    rank = lambda pair: F.coalesce(_lookup(ranks, pair), F.lit(_NONE))
-    piece = lambda r, p: F.struct(r.alias("r"), p.alias("p"))
-
-    def start(chars: Column) -> Column:
-        return F.transform(chars, lambda c, i: piece(F.when(i + 1 < F.size(chars), rank(F.concat(c, F.get(chars, i + 1)))).otherwise(_NONE), c))
-
-    def merge(acc: Column, pos: Column, new: Column) -> Column:
-        before, after = F.get(acc, pos - 2)["p"], F.get(acc, pos + 1)["p"]
-        left = F.when(pos > 1, F.array(piece(rank(F.concat(before, new)), before))).otherwise(F.slice(acc, 1, 0))
-        own = F.array(piece(F.when(after.isNull(), _NONE).otherwise(rank(F.concat(new, after))), new))
-        return F.concat(F.slice(acc, F.lit(1), F.greatest(pos - 2, F.lit(0))), left, own, F.slice(acc, pos + 2, F.size(acc)))
-
-    def step(acc: Column, _: Column) -> Column:
-        best = F.array_min(acc["r"])
-        at = lambda pos: _bound(F.concat(F.get(acc, pos - 1)["p"], F.get(acc, pos)["p"]), lambda new: merge(acc, pos, new))
-        return F.when(best == _NONE, acc).otherwise(_bound(F.array_position(acc["r"], best).cast("int"), at))
-
-    def fold(chars: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(chars), F.lit(2))), start(chars), step)["p"]
-
-    return _bound(F.filter(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: c != ""), fold)
-
-
-def _entry(word: Column, ranks: Column, tokens: Column) -> Column:
-    """(ids, back) of a word: its ids as hex of little-endian 32 bits, and the bytes that they decode to."""
-
-    def of(ids: Column) -> Column:
-        digits = F.transform(ids, lambda i: F.concat(F.lpad(F.hex(i % 256), 2, "0"), F.lpad(F.hex(F.floor(i / 256) % 256), 2, "0"), F.lpad(F.hex(F.floor(i / 65536)), 2, "0"), F.lit("00")))
-        back = F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), "")
-        return F.struct(F.array_join(digits, "").alias("ids"), back.alias("back")).cast(_ENTRY)
-
-    return _bound(F.transform(encode_word(word, ranks), lambda piece: _lookup(ranks, piece)), of)
+def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a word after all merges. A word that is a token is that one, as the library has it."""
+    if word in ranks:
+        return [ranks[word]]
+    rank = ranks.get
+    pieces = [word[i : i + 1] for i in range(len(word))]
+    pairs = [rank(word[i : i + 2], _NONE) for i in range(len(word) - 1)]
+    while pairs and (best := min(pairs)) < _NONE:
+        i = pairs.index(best)
+        pieces[i] += pieces.pop(i + 1)
+        del pairs[i]
+        if i:
+            pairs[i - 1] = rank(pieces[i - 1] + pieces[i], _NONE)
+        if i < len(pairs):
+            pairs[i] = rank(pieces[i] + pieces[i + 1], _NONE)
+    return [ranks[p] for p in pieces]
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges with a heap of pairs and a list of neighbours: n log n steps for n bytes."""
+    if word in ranks:
+        return [ranks[word]]
     pieces: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
     before, after = list(range(-1, len(word) - 1)), list(range(1, len(word) + 1))
     heap: list[tuple[int, int, bytes]] = []
@@ -139,23 +79,48 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in pieces if p is not None]
 
 
-def _long_words(path: str):
-    """The entries of the words of each array, for those few that are too long for a fold."""
-
-    @F.pandas_udf(f"array<{_ENTRY}>")
-    def entries(words: pd.Series) -> pd.Series:
-        found, by_rank = {}, {}
-
-        def entry(word: str) -> dict:
-            if not found:
-                found.update(read_ranks(path))
-                by_rank.update((r, t) for t, r in found.items())
-            ids = merge_long(word.encode(), found)
-            return {"ids": b"".join(i.to_bytes(4, "little") for i in ids).hex(), "back": b"".join(by_rank[i] for i in ids).decode("latin-1")}
-
-        return words.map(lambda own: [entry(w) for w in own])
-
-    return entries
+def _encoded(path: str, common: int, long: int, stretch: int):
+    """The digests of each row's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = read_ranks(path)
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        known: dict[str, bytes] = {}
+
+        def ids_of(word: str) -> bytes:
+            data = word.encode()
+            ids = np.array((merge_long if len(data) > long else merge)(data, ranks), "<u4").tobytes()
+            if len(word) <= COMMON_CHARS and common:
+                if len(known) >= common:
+                    known.clear()
+                known[word] = ids
+            return ids
+
+        def looked_up(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            """The ids of words, and how many each has."""
+            coded = words.dictionary_encode()
+            own = [known.get(w) or ids_of(w) for w in coded.dictionary.to_pylist()]
+            sizes = np.array([len(x) // 4 for x in own], np.int64)
+            index = coded.indices.to_numpy()
+            many = sizes[index]
+            first = (np.cumsum(sizes) - sizes)[index] - (np.cumsum(many) - many)
+            return np.frombuffer(b"".join(own), "<u4")[np.arange(many.sum()) + np.repeat(first, many)], many
+
+        for b in batches:
+            words = b.column("words")
+            flat = words.flatten()
+            parts = [looked_up(flat.slice(at, stretch)) for at in range(0, len(flat), stretch)]
+            ids = np.concatenate([np.empty(0, "<u4"), *[p[0] for p in parts]])
+            ends = np.concatenate([[0], np.cumsum(np.concatenate([np.empty(0, np.int64), *[p[1] for p in parts]]))])
+            cuts = ends[np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])].tolist()
+            own = [ids[lo:hi] for lo, hi in zip(cuts, cuts[1:])]
+            back = (b"".join(map(tokens.__getitem__, x.tolist())) for x in own)
+            columns = [pa.array([len(x) for x in own], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in own], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, common: int = COMMON, long: int = LONG, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,46 +128,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, common: int = COM
 
     Words are the pattern's matches; each is encoded by itself, without special tokens. Every byte has a rank of its own, so
     that any text can be encoded. A null text is empty, has no ids, and the digests of nothing. Null and repeated ids keep
-    their rows. An empty table gives an empty result. Other columns are ignored. A word of more than `long` bytes is merged with a heap."""
-    byte_ranks = read_ranks(path)
-    by_rank = [""] * (max(byte_ranks.values()) + 1)
-    for token, rank in byte_ranks.items():
-        by_rank[rank] = token.decode("latin-1")
-    literals = [_rank_map(byte_ranks), F.from_json(F.lit(json.dumps(by_rank)), "array<string>")]
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), words_of(F.coalesce(F.col(text_col), F.lit("")), pattern).alias("words"))
-
-    if common:
-        counted = source.select(F.explode("words").alias("word")).groupBy("word").count().where(F.length("word") <= COMMON_CHARS)
-        chosen = materialise(counted.orderBy(F.desc("count"), "word").limit(common).select("word"))
-        literals.append(_word_map(chosen.repartition(16).select("word", _with(literals, lambda ranks, tokens: _entry(F.col("word"), ranks, tokens)).alias("e"))))
-        discard(chosen)
-    too_long = lambda w: F.octet_length(w) > long
-
-    def stretches(words: Column, ranks: Column, tokens: Column, known: Column | None = None) -> Column:
-        """(ids, back) of each stretch of the words: common ones are looked up, other distinct ones folded."""
-        seen = lambda w: _lookup(known, w) if known is not None else F.lit(None).cast(_ENTRY)
-
-        def stretch(some: Column) -> Column:
-            return _bound(F.transform(some, seen), lambda e: _bound(F.array_distinct(F.filter(some, lambda w, i: F.get(e, i).isNull() & ~too_long(w))), lambda rare: folded(some, e, rare)))
-
-        def folded(some: Column, e: Column, rare: Column) -> Column:
-            return _bound(F.transform(rare, lambda w: _entry(w, ranks, tokens)), lambda own: _bound(filled(some, e, rare, own), joined))
-
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(STRETCH))
-        return F.transform(starts, lambda at: _bound(F.slice(words, at, STRETCH), stretch))
-
-    def filled(words: Column, e: Column, rare: Column, own: Column) -> Column:
-        other = lambda w: F.when(too_long(w), F.get("long_entries", (F.array_position("long_words", w) - 1).cast("int"))).otherwise(F.get(own, (F.array_position(rare, w) - 1).cast("int")))
-        return F.transform(words, lambda w, i: F.coalesce(F.get(e, i), other(w)))
-
-    def joined(entries: Column) -> Column:
-        return F.struct(*[F.array_join(F.transform(entries, lambda x: x[f]), "").alias(f) for f in ("ids", "back")])
-
-    source = source.withColumn("long_words", F.array_distinct(F.filter("words", too_long)))
-    source = source.withColumn("long_entries", _long_words(path)("long_words"))
-    out = source.select("doc_id", _with(literals, lambda *maps: stretches(F.col("words"), *maps)).alias("e"))
-    whole = lambda f: F.array_join(F.transform("e", lambda x: x[f]), "")
-    out = out.select("doc_id", whole("ids").alias("ids"), whole("back").alias("back"))
-    return out.select(
-        "doc_id", F.expr("cast(octet_length(ids) div 8 as bigint)").alias("n_tokens"), F.sha2(F.unhex("ids"), 256).alias("ids_sha256"), F.sha2(F.encode("back", "ISO-8859-1"), 256).alias("decoded_sha256")
-    )
+    their rows. An empty table gives an empty result. Other columns are ignored. A task keeps the ids of `common` short words at most; a word of more than
+    `long` bytes is merged with a heap."""
+    short_batches(docs.sparkSession)
+    words = words_of(F.coalesce(F.col(text_col), F.lit("")), pattern)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
+    return source.mapInArrow(_encoded(path, common, long, STRETCH), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -35,3 +35,19 @@ def test_ids_match_the_library(spark, common, long, monkeypatch):
         assert r.ids_sha256 == hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), text
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert encode_documents(df.where("false"), path, public_tokenizers.PATTERN, common=common, long=long).count() == 0
+
+
+def test_words_are_not_gathered_by_the_driver(spark):
+    """The plan holds no literal of the vocabulary or of words: nothing grows on the driver."""
+    df = spark.createDataFrame([(1, "some words"), (2, "some more words")], "doc_id long, text string")
+    out = encode_documents(df, vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and len(plan) < 20_000
+
+
+def test_plain_merging_and_the_heap_agree():
+    ranks = bpe.read_ranks(vocabulary("byte_bpe_multi_50k.tiktoken"))
+    rng = random.Random(8)
+    for _ in range(2000):
+        word = "".join(rng.choice("aeinrst é漢🙂-_09") for _ in range(rng.randrange(1, 40))).encode()
+        assert bpe.merge(word, ranks) == bpe.merge_long(word, ranks)
