@@ -6,8 +6,7 @@ import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _OPEN, _CLOSE = re.compile(r"<think>", re.I), re.compile(r"</think>", re.I)
@@ -31,29 +30,41 @@ def feed(held: str, inside: bool, piece: str) -> tuple[str, str, bool]:
 
 
 class _Shown(StatefulProcessor):
-    """Per answer: the held characters, whether a block is open and the number of the next piece; pieces that came early wait by their numbers."""
+    """Per answer: the held characters, whether a block is open and the number of the next piece; pieces that came early wait in a list.
+
+    Each call of the state store is a message to the JVM, so the pieces of a batch are put in order here: an answer costs a few messages a batch, not some a
+    piece. The list is read only when the piece that it waits for has come, and appended to otherwise."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.reached = handle.getValueState("reached", "held string, inside boolean, next long")
-        self.early = handle.getMapState("early", "seq long", "piece string, last boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held, inside, at = self.reached.get() if self.reached.exists() else ("", False, 0)
-        for part in rows:
-            for seq, piece, last in zip(part["seq"], part["piece"], part["last"], strict=True):
-                if seq >= at:  # a piece that comes again changes nothing
-                    self.early.updateValue((int(seq),), (piece or "", bool(last)))
-        first, shown, done = at, "", False
-        while not done and self.early.containsKey((at,)):
-            piece, done = self.early.getValue((at,))
-            self.early.removeKey((at,))
+        self.early = handle.getListState("early", "seq long, piece string, last boolean")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held, inside, at = self.reached.get() or ("", False, 0)
+        new = {int(r["seq"]): (r["piece"] or "", bool(r["last"])) for r in rows}
+        new = {seq: piece for seq, piece in new.items() if seq >= at}  # a piece that comes again changes nothing
+        if at not in new:
+            if new:
+                self.early.appendList([(seq, *piece) for seq, piece in new.items()])
+            return
+        waiting = {seq: (piece, last) for seq, piece, last in self.early.get()}
+        ready, first, shown, done = waiting | new, at, [], False
+        while not done and at in ready:
+            piece, done = ready.pop(at)
             more, held, inside = feed(held, inside, piece)
-            shown, at = shown + more, at + 1
+            shown.append(more)
+            at += 1
         if done:
-            shown, held = shown + ("" if inside else held), ""
+            shown.append("" if inside else held)
+            held = ""
+        left = [(seq, *piece) for seq, piece in ready.items() if seq >= at]
+        if left:
+            self.early.put(left)
+        elif waiting:
+            self.early.clear()
         self.reached.update((held, inside, at))
-        if shown:
-            yield pd.DataFrame({"answer_id": [key[0]], "seq": [first], "shown": [shown]})
+        if text := "".join(shown):
+            yield Row(answer_id=key[0], seq=first, shown=text)
 
     def close(self) -> None:
         pass
@@ -66,7 +77,7 @@ def shown_stream(pieces: DataFrame) -> DataFrame:
     Needs the RocksDB state store; see named_states."""
     each = pieces.select("answer_id", F.col("seq").cast("long").alias("seq"), "piece", F.coalesce("last", F.lit(False)).alias("last"))
     kind = pieces.schema["answer_id"].dataType.simpleString()
-    return each.groupBy("answer_id").transformWithStateInPandas(_Shown(), f"answer_id {kind}, seq long, shown string", "Append", "None")
+    return each.groupBy("answer_id").transformWithState(_Shown(), f"answer_id {kind}, seq long, shown string", "Append", "None")
 
 
 @contextmanager

@@ -93,3 +93,65 @@ def test_counts_after_late_and_repeated_files(spark, tmp_path):
     want = events.where("event_type = 'view' and user_id is not null").groupBy("user_id").agg(F.count("*").alias("plays"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert sorted(map(tuple, ledger.run_counts(stream, stores, place, "user_id", event_id="event_id").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_an_answer_costs_few_state_messages_a_batch():
+    """Not some a piece: each call of a state is a message to the JVM."""
+    calls = []
+
+    class State:
+        """A value, list or map state; start is what get() gives before anything is put."""
+
+        def __init__(self, start=None):
+            self.held, self.map = start, {}
+
+        def __getattribute__(self, name):
+            if name not in ("held", "map"):
+                calls.append(name)
+            return object.__getattribute__(self, name)
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, x):
+            self.held = x
+
+        put = update
+
+        def appendList(self, x):  # noqa: N802
+            self.held = [*self.held, *x]
+
+        def clear(self):
+            self.held = []
+
+        def updateValue(self, key, x):  # noqa: N802
+            self.map[key] = x
+
+        def containsKey(self, key):  # noqa: N802
+            return key in self.map
+
+        def getValue(self, key):  # noqa: N802
+            return self.map[key]
+
+        def removeKey(self, key):  # noqa: N802
+            del self.map[key]
+
+    class Handle:
+        def getValueState(self, *schema):  # noqa: N802
+            return State()
+
+        def getListState(self, *schema):  # noqa: N802
+            return State([])
+
+        getMapState = getValueState  # noqa: N815
+
+    text = "seen <think>not</think> again " * 50
+    pieces = [{"seq": i, "piece": text[7 * i : 7 * i + 7], "last": 7 * i + 7 >= len(text)} for i in range(-(-len(text) // 7))]
+    shown = thoughts._Shown()
+    shown.init(Handle())
+    got = [r for batch in (pieces[1::2], pieces[::2]) for r in shown.handleInputRows(("a",), iter(batch), None)]
+    assert "".join(r["shown"] for r in got) == "seen  again " * 50
+    assert len(calls) <= 10
