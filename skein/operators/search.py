@@ -11,7 +11,7 @@ from ..sources.shared import kept
 from .filters import Filters, apply
 from .fulltext import bm25, corpus_stats, postings
 from .ranking import above_floor, arm_weights, fused_order, keep_best, lexical_scorer, rrf, top
-from .vectors import cosine, embedded, nearest
+from .vectors import embedded, nearest, nearest_within
 
 #: Candidates of an arm, results at most and by default, files of a first stage, weights of the lexical arm by class.
 CANDIDATES, MOST, DEFAULT_K, STAGE_FILES = 40, 40, 4, 6
@@ -20,12 +20,14 @@ LEXICAL_WEIGHT = {"thematic": 0.5, "name": 0.75, "quote": 0.85}
 
 @dataclass
 class Corpus:
-    """What searches read: chunks (id, text, vector and facets), their postings and statistics, and a catalog of the same shape."""
+    """What searches read: chunks (id, text, vector and facets), their postings and statistics, and a catalog of the same shape. Vectors that were written
+    apart from the texts (id, source_file, vector) may stand beside chunks without them."""
 
     chunks: DataFrame
     index: DataFrame
     stats: DataFrame
     catalog: DataFrame | None = None
+    vectors: DataFrame | None = None
 
     @classmethod
     def build(cls, chunks: DataFrame, catalog: DataFrame | None = None, embedder: Callable | None = None) -> Corpus:
@@ -80,9 +82,10 @@ def two_stage(corpus: Corpus, rows: DataFrame, queries: DataFrame, k: int = DEFA
     """Chunks of the files that a summary search finds first: each query meets the chunks of its files alone. A query without files is
     searched plainly. The catalog never takes part."""
     stage = summaries(queries, rows, files).select("query_id", F.col("id").alias("source_file"))
-    pairs = corpus.chunks.select("id", "source_file", "vector").join(stage, "source_file").join(queries.select("query_id", F.col("vector").alias("q")), "query_id")
-    inside = pairs.select("query_id", "id", cosine(F.col("q"), F.col("vector")).alias("score"))
-    plain = nearest(queries.join(stage.select("query_id").distinct(), "query_id", "left_anti"), corpus.chunks.select("id", "vector"), CANDIDATES)
+    placed = (corpus.chunks if corpus.vectors is None else corpus.vectors).select("id", "source_file", "vector")
+    own = kept(stage.groupBy("query_id").agg(F.collect_set("source_file").alias("within")))
+    inside = nearest_within(queries.join(own, "query_id"), placed, "source_file", CANDIDATES).select("query_id", "id", "score")
+    plain = nearest(queries.join(own, "query_id", "left_anti"), placed, CANDIDATES)
     pool = top(inside.unionByName(plain.select("query_id", "id", "score")), CANDIDATES, [F.desc("score"), F.col("id")])
     return rerank(pool, queries, corpus.chunks.select("id", "text"), k)
 

@@ -90,15 +90,30 @@ def query_matrix(block: pa.Table) -> tuple[np.ndarray, pa.Array]:
     return q[good], block["query_id"].combine_chunks().filter(pa.array(good))
 
 
-def scan(vectors: DataFrame, block: pa.Table, k: int, measure: str) -> DataFrame:
-    """(query_id, id, score): of each task the rows that may be among the k best of the block's queries."""
+#: The score, below any cosine, of a vector that gives none.
+UNSCORED = -2.0
+
+
+def scan(vectors: DataFrame, block: pa.Table, k: int, measure: str, by: str | None = None) -> DataFrame:
+    """(query_id, id, score): of each task the rows that may be among the k best of the block's queries. With `by` a query meets the vectors alone whose
+    value of that column is in its list `within`; those that give no score are then UNSCORED."""
     q, names = query_matrix(block)
+    if not len(q):
+        vectors = vectors.where(F.lit(False))
     if measure == "cosine":
         q = q / np.sqrt((q * q).sum(1))[:, None] if len(q) else q
-    shared = vectors.sparkSession.sparkContext.broadcast((q, names))
+    groups, member = pa.array([], pa.string()), None
+    if by:
+        own = dict(zip(block["query_id"].to_pylist(), block["within"].to_pylist(), strict=True))
+        groups = pa.array(sorted({g for x in own.values() for g in x or () if g is not None}), block["within"].type.value_type)
+        at = {g: i for i, g in enumerate(groups.to_pylist())}
+        member = np.zeros((len(groups) + 1, len(names)), bool)  # the last row is that of other groups
+        for j, name in enumerate(names.to_pylist()):
+            member[[at[g] for g in own[name] or () if g is not None], j] = True
+    shared = vectors.sparkSession.sparkContext.broadcast((q, names, groups, member))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, names = shared.value
+        q, names, groups, member = shared.value
         floor = np.full(len(q), -np.inf)
         step = max(1, SCORES // max(1, len(q)))
         for b in batches:
@@ -110,12 +125,15 @@ def scan(vectors: DataFrame, block: pa.Table, k: int, measure: str) -> DataFrame
                     with np.errstate(divide="ignore", invalid="ignore"):
                         scores /= np.sqrt((x * x).sum(1))[:, None]
                 scores = np.round(scores, 6) + 0.0
-                scores[~good] = -np.inf
+                scores[~good] = -np.inf if member is None else UNSCORED
+                if member is not None:
+                    group = np.asarray(pc.index_in(part.column(by), groups).fill_null(len(groups)))
+                    scores[~member[group]] = -np.inf
                 rows, cols = best_of(scores, part.column("id"), floor, k)
                 if len(rows):
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(cols)), part.column("id").take(pa.array(rows)), pa.array(scores[rows, cols])], ["query_id", "id", "score"])
 
-    return vectors.select("id", "vector").mapInArrow(run, f"query_id {from_arrow_type(names.type).simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double")
+    return vectors.select("id", "vector", *([by] if by else [])).mapInArrow(run, f"query_id {from_arrow_type(names.type).simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double")
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 40, measure: str = "cosine") -> DataFrame:
@@ -127,6 +145,13 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 40, measure: str =
     return ranked(reduce(DataFrame.unionByName, parts), k)
 
 
+def nearest_within(queries: DataFrame, vectors: DataFrame, by: str, k: int = 40) -> DataFrame:
+    """(query_id, id, score, rank) of the k vectors (id, vector, by) nearest by cosine to each query (query_id, vector, within), of those whose `by` is in the
+    query's array `within`. As nearest(), but that vectors without a score come last, with null, rather than not at all."""
+    parts = [scan(vectors, block, k, "cosine", by) for block in query_blocks(queries.select("query_id", "vector", "within"))]
+    return ranked(reduce(DataFrame.unionByName, parts), k).withColumn("score", F.nullif("score", F.lit(UNSCORED)))
+
+
 def mean_pool(df: DataFrame, by: str, vector: str) -> DataFrame:
     """The element-wise mean of each group's vectors."""
     each = df.select(by, F.posexplode(vector).alias("pos", "x"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import fulltext, ranking, search, vectors
 from ..operators.filters import Filters, apply
+from ..sources.shared import kept
 from .base import DOCS, documents, table, tokens
 
 
@@ -138,9 +139,10 @@ def quote_search(spark, sf_dir) -> DataFrame:
 
 
 def two_stage_search(spark, sf_dir) -> DataFrame:
-    d = vectors.embedded(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", F.col("source").alias("source_file")))
-    rows = vectors.mean_pool(d, "source_file", "vector").select(F.col("source_file").alias("id"), "vector", F.col("source_file").alias("text"))
-    corpus = search.Corpus(d, fulltext.postings(d, "id"), fulltext.corpus_stats(d))
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", F.col("source").alias("source_file"))
+    v = kept(vectors.embedded(d).select("id", "source_file", "vector"))
+    rows = vectors.mean_pool(v, "source_file", "vector").select(F.col("source_file").alias("id"), "vector", F.col("source_file").alias("text"))
+    corpus = search.Corpus(d, fulltext.postings(d, "id"), fulltext.corpus_stats(d), vectors=v)
     return search.two_stage(corpus, rows, vectors.embedded(_passages(spark, sf_dir)), 10).select("query_id", "id", "score", "place")
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 from skein import plans
-from skein.operators import fulltext, ranking
+from skein.operators import fulltext, ranking, vectors
 from skein.operators.vectors import hashing_embedder
 
 SF = "/root/testdata/sf0.001"
@@ -127,3 +127,20 @@ def test_postings_cut_a_text_once(spark):
     p = fulltext.postings(d, "id")
     assert sorted(map(tuple, p.collect())) == [("a", 1, 3, 2), ("b", 1, 3, 1)]
     assert p._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_queries_meet_their_own_files_alone(spark):
+    """No row for each query and chunk: they meet in Arrow batches, and chunks without a score come last, not never."""
+    rng = np.random.default_rng(4)
+    rows = [(i, f"f{i % 5}", [0.0] * 4 if i == 7 else rng.normal(size=4).tolist()) for i in range(60)]
+    asked = [(1, rng.normal(size=4).tolist(), ["f2"]), (2, rng.normal(size=4).tolist(), ["f0", "f4", "no such"])]
+    v = spark.createDataFrame(rows, "id long, source_file string, vector array<double>").repartition(3)
+    q = spark.createDataFrame(asked, "query_id long, vector array<double>, within array<string>")
+    found = vectors.nearest_within(q, v, "source_file", 12)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.query_id, r["rank"]): (r.id, r.score) for r in found.collect()}
+    for query, x, files in asked:
+        score = {i: cosine(np.array(x), np.array(y)) if any(y) else None for i, f, y in rows if f in files}
+        want = sorted(score, key=lambda i: (score[i] is None, -(score[i] or 0), i))[:12]
+        assert [got[query, n][0] for n in range(len(want))] == want
+        assert [got[query, n][1] is None for n in range(len(want))] == [score[i] is None for i in want]
