@@ -12,6 +12,8 @@ WORD = r"[\p{L}\p{M}\p{N}_]+"
 EDGE_MARKS = ",।॥.!?;:\"'()[]{}—–-"
 SENTENCE_BREAK = r"(?<=[.!?।॥])(?U)\s+|(?<=[।॥])(?=\S)"
 TOKENS_A_WORD = 1.3
+#: Rules up to which a text is searched for each one rather than taken apart.
+FEW_RULES = 8
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -153,14 +155,29 @@ def map_tokens(text: Column, rules: dict[str, str]) -> Column:
     def one(t: Column) -> Column:
         bare = F.btrim(t, F.lit(EDGE_MARKS))
         head = F.call_function("substring_index", t, bare, F.lit(1))
-        return F.when(bare == "", t).otherwise(F.concat(head, F.coalesce(F.element_at(table, bare), bare), F.substr(t, F.length(head) + F.length(bare) + 1)))
+        # a token without a rule stays as it is; only the few others are taken apart
+        return F.when(bare.isin(list(rules)), F.concat(head, F.element_at(table, bare), F.substr(t, F.length(head) + F.length(bare) + 1))).otherwise(t)
 
-    return lines(text, lambda x: F.array_join(F.transform(words(x), one) if rules else words(x), " "))
+    plain = lines(text, lambda x: F.array_join(words(x), " "))
+    if not rules:
+        return plain
+    said = {t.strip(EDGE_MARKS) for value in rules.values() for t in value.split()}
+    if len(rules) > FEW_RULES or said & set(rules):  # one rule after the other would rewrite what another has written
+        return lines(text, lambda x: F.array_join(F.transform(words(x), one), " "))
+    for key, value in rules.items():
+        plain = F.regexp_replace(plain, _token([key]), f"$1{value.replace(chr(92), chr(92) * 2).replace('$', chr(92) + '$')}$2")
+    return plain
+
+
+def _token(keys: list[str]) -> str:
+    """A pattern of whole tokens that are one of the keys but for edge marks. A key that begins or ends in such a mark is none."""
+    marks = f"([{re.escape(EDGE_MARKS)}]*)"
+    return f"(?U)(?<!\\S){marks}(?:{'|'.join(re.escape(k) for k in keys if k and k == k.strip(EDGE_MARKS)) or '(?!)'}){marks}(?!\\S)"
 
 
 def mapped_count(text: Column, rules: dict[str, str]) -> Column:
     """How many tokens of a text map_tokens rewrites."""
-    return F.size(F.filter(words(text), lambda t: F.btrim(t, F.lit(EDGE_MARKS)).isin(list(rules)))) if rules else F.lit(0)
+    return F.coalesce(F.regexp_count(text, F.lit(_token(list(rules)))), F.lit(0)) if rules else F.lit(0)
 
 
 def strip_glosses(text: Column) -> Column:
@@ -184,11 +201,13 @@ def tidy(text: Column) -> Column:
     return lines(F.regexp_replace(out, r"[ \t]{2,}", " "), lambda x: F.btrim(x, F.lit(" \t\r")))
 
 
-def _runs(toks: Column, use: Callable[[Column], Column]) -> Column:
-    """use(array of (s, n)): where each run of tokens that are equal but for edge marks starts, and its length. A mark alone is a run of its own."""
+def _runs(toks: Column, least: int, use: Callable[[Column], Column]) -> Column:
+    """use(array of (s, n)): where each run of tokens that are equal but for edge marks starts, and its length. A mark alone is a run of its own. Where there
+    are too many runs for one of `least` tokens, as nearly everywhere, the array is empty."""
 
     def found(starts: Column) -> Column:
-        return use(F.transform(starts, lambda s, k: F.struct(s.alias("s"), (F.coalesce(F.get(starts, k + 1), F.size(toks) + 1) - s).alias("n"))))
+        runs = F.transform(starts, lambda s, k: F.struct(s.alias("s"), (F.coalesce(F.get(starts, k + 1), F.size(toks) + 1) - s).alias("n")))
+        return bound(F.when(F.size(starts) + least - 1 <= F.size(toks), runs).otherwise(F.array().cast("array<struct<s:int,n:int>>")), use)
 
     begins = lambda b: F.filter(F.sequence(F.lit(1), F.size(b)), lambda i: (i == 1) | (F.get(b, i - 1) != F.get(b, i - 2)) | (F.get(b, i - 1) == ""))
     return bound(F.transform(toks, lambda t: F.btrim(t, F.lit(EDGE_MARKS))), lambda b: bound(begins(b), found))
@@ -199,16 +218,26 @@ def collapse_loops(text: Column, least: int = 6, keep: int = 3) -> Column:
     if least < 6 or keep < 3:
         raise ValueError("runs below six tokens, or fewer than three kept, would cut ordinary speech")
 
-    def short(toks: Column) -> Column:
-        cut = lambda r: F.slice(toks, r["s"], F.when(r["n"] >= least, F.lit(keep)).otherwise(r["n"]))
-        return F.when(F.size(toks) == 0, "").otherwise(_runs(toks, lambda runs: F.array_join(F.flatten(F.transform(runs, cut)), " ")))
+    return lines(text, lambda x: bound(words(x), lambda toks: F.when(F.size(toks) == 0, "").otherwise(_runs(toks, least, lambda runs: _shortened(toks, runs, least, keep)))))
+
+
+def _shortened(toks: Column, runs: Column, least: int, keep: int) -> Column:
+    """A line's tokens joined, its long runs cut. A line without one, as nearly all are, is joined as it is."""
+    cut = lambda r: F.slice(toks, r["s"], F.when(r["n"] >= least, F.lit(keep)).otherwise(r["n"]))
+    return F.array_join(F.when(F.exists(runs, lambda r: r["n"] >= least), F.flatten(F.transform(runs, cut))).otherwise(toks), " ")
+
 
-    return lines(text, lambda x: bound(words(x), short))
+def collapsed(text: Column, least: int = 6, keep: int = 3) -> Column:
+    """(text, n): what collapse_loops and loop_count give, from one look at the tokens."""
+    both = lambda toks, runs: F.struct(_shortened(toks, runs, least, keep).alias("t"), F.size(F.filter(runs, lambda r: r["n"] >= least)).alias("n"))
+    line = lambda x: bound(words(x), lambda toks: F.when(F.size(toks) == 0, F.struct(F.lit("").alias("t"), F.lit(0).alias("n"))).otherwise(_runs(toks, least, lambda runs: both(toks, runs))))
+    whole = lambda each: F.struct(F.array_join(F.transform(each, lambda x: x["t"]), "\n").alias("text"), F.aggregate(each, F.lit(0), lambda s, x: s + x["n"]).alias("n"))
+    return bound(F.transform(F.split(text, "\n"), line), whole)
 
 
 def loop_count(text: Column, least: int = 6) -> Column:
     """How many runs collapse_loops shortens."""
-    count = lambda toks: F.when(F.size(toks) == 0, 0).otherwise(_runs(toks, lambda runs: F.size(F.filter(runs, lambda r: r["n"] >= least))))
+    count = lambda toks: F.when(F.size(toks) == 0, 0).otherwise(_runs(toks, least, lambda runs: F.size(F.filter(runs, lambda r: r["n"] >= least))))
     return F.aggregate(F.transform(F.split(text, "\n"), lambda x: bound(words(x), count)), F.lit(0), lambda s, n: s + n)
 
 

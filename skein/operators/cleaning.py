@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.text import bound, collapse_loops, excise, loop_count, map_tokens, mapped_count, strip_glosses, tidy, words
+from ..functions.text import bound, collapsed, excise, map_tokens, mapped_count, strip_glosses, tidy, words
 
 #: Shares of the raw words below and above which a cleaned text is not trusted, words from which that is asked, and a loop's share.
 TOO_FEW, TOO_MANY, ASKED_FROM, LOOP = 0.85, 1.15, 50, 0.10
@@ -39,12 +39,14 @@ def normalised(text: Column, loanwords: dict[str, str], natives: dict[str, str],
     def mapped(now: Column, left: list[str], counts: list[Column]) -> Column:
         if left:
             rules = maps[left[0]]
+            if not rules and counts:  # an earlier map made white space single, which is all that one without rules does
+                return mapped(now, left[1:], [*counts, F.lit(0).alias(left[0])])
             return bound(F.struct(map_tokens(now, rules).alias("t"), mapped_count(now, rules).alias("n")), lambda x: mapped(x["t"], left[1:], [*counts, x["n"].alias(left[0])]))
         return bound(strip_glosses(now), lambda g: bound(excise(g["text"], heads, tails), lambda e: done(g, e, counts)))
 
     def done(g: Column, e: Column, counts: list[Column]) -> Column:
-        every = F.struct(*counts, F.size(g["glosses"]).alias("glosses"), e["n"].alias("inventions"), loop_count(e["text"]).alias("loops"))
-        return F.struct(tidy(collapse_loops(e["text"])).alias("text"), g["glosses"].alias("glosses"), every.alias("counts"))
+        every = lambda n: F.struct(*counts, F.size(g["glosses"]).alias("glosses"), e["n"].alias("inventions"), n.alias("loops"))
+        return bound(collapsed(e["text"]), lambda c: F.struct(tidy(c["text"]).alias("text"), g["glosses"].alias("glosses"), every(c["n"]).alias("counts")))
 
     return mapped(text, list(maps), [])
 

@@ -92,3 +92,44 @@ def test_thoughts_and_json(spark):
 
 def test_clock_text(spark):
     assert one(spark, T.clock(F.col("x")), x=3725.9) == "01:02:05"
+
+
+def test_texts_without_loops_or_rules_cost_no_look_at_their_tokens(spark):
+    """What the quick ways give is what the token by token ones give, and one look serves a text's loops and their number."""
+    from skein.functions import text as T
+
+    texts = ["a a a a a a b", "a, a. (a) a a a! a", "the (the) the! other de the;", "no no no no no", "x y z " * 9, "", " \n the\tTHE \n", "theother the-other thé", "- - - - - - -", "b b b b b b b\nc c\nd d d d d d", "..the.. the", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    got = df.select(t, T.collapsed(t).alias("c"), T.collapse_loops(t).alias("short"), T.loop_count(t).alias("n"), T.map_tokens(t, {"the": "THE"}).alias("m"), T.mapped_count(t, {"the": "THE"}).alias("k")).collect()
+    marks = T.EDGE_MARKS
+    for r in got:
+        if r.t is None:
+            assert r.short is None and r.m is None
+            continue
+        lines, n, mapped, count = [], 0, [], 0
+        for line in r.t.split("\n"):
+            out, run = [], []
+            for w in [*line.split(), None]:
+                if run and (w is None or w.strip(marks) != run[0].strip(marks) or not w.strip(marks)):
+                    n += len(run) >= 6
+                    out += run[:3] if len(run) >= 6 else run
+                    run = []
+                run.append(w)
+            lines.append(" ".join(out))
+            count += sum(w.strip(marks) == "the" for w in line.split())
+            mapped.append(" ".join(w.replace("the", "THE") if w.strip(marks) == "the" else w for w in line.split()))
+        assert (r.short, r.n, r.c.text, r.c.n) == ("\n".join(lines), n, "\n".join(lines), n)
+        assert (r.m, r.k) == ("\n".join(mapped), count)
+
+
+def test_few_and_many_rules_map_alike(spark):
+    from skein.functions import text as T
+
+    df = spark.createDataFrame([("a a, (a) b ab a-b ..c.. $ a.b\n a\tb c",)], "t string")
+    for rules in ({"a": "$1\\", "c": "see d"}, {"a": "b", "b": "c"}, {",a": "x", "c": "C"}):
+        many = {**rules, **{f"no{i}": "N" for i in range(9)}}
+        few_text, many_text = df.select(T.map_tokens(F.col("t"), rules), T.map_tokens(F.col("t"), many)).first()
+        assert few_text == many_text
+    text = "a a, (a) b ab a-b ..c.. $ a.b\n a\tb c"
+    assert df.select(T.mapped_count(F.col("t"), {"a": "x", "c": "y"})).first()[0] == sum(w.strip(T.EDGE_MARKS) in ("a", "c") for w in text.split())
