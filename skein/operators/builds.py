@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ids import uuid5
 from ..functions.text import summary_text
+from ..sources.shared import kept
 from ..sources.stores import Stores
 from .vectors import embedded
 
@@ -21,16 +22,21 @@ def refresh(stores: Stores, table: str, rows: DataFrame, make: Callable[[DataFra
     second run over the same rows writes nothing and commits nothing. Of several rows of a key the one with the smallest text counts."""
     key = stores.keys[table]
     good = rows.where(F.col(key).isNotNull() & (F.trim(F.coalesce("text", F.lit(""))) != ""))
-    one = good.groupBy(key).agg(F.min_by(F.struct(*rows.columns), "text").alias("_r")).select("_r.*").withColumn("digest", F.sha2("text", 256))
+    # texts stay where they are: only keys and digests are compared, and those rows gathered by key whose key stands more than once
+    digests = kept(good.select(key, F.sha2("text", 256).alias("digest")))
+    repeated = kept(digests.groupBy(key).count().where("count > 1").select(key))
+    chosen = kept(good.join(repeated, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*rows.columns), "text").alias("_r")).select("_r.*"))
+    one = good.join(repeated, key, "left_anti").unionByName(chosen)
+    marks = digests.join(repeated, key, "left_anti").unionByName(chosen.select(key, F.sha2("text", 256).alias("digest")))
     have = stores.table(table)
-    changed = one if have is None else one.join(have.select(key, "digest"), [key, "digest"], "left_anti")
-    gone = have.select(key).join(one.select(key), key, "left_anti") if prune and have is not None else None
+    changed = kept((marks if have is None else marks.join(have.select(key, "digest"), [key, "digest"], "left_anti")).select(key))
+    gone = kept(have.select(key).join(marks.select(key), key, "left_anti")) if prune and have is not None else None
     count = changed.count()
     if not count and (gone is None or gone.isEmpty()):
         return 0
-    made = make(changed).withColumn("id", uuid5(namespace, F.col(key).cast("string")))
-    keys = changed.select(key) if gone is None else changed.select(key).unionByName(gone)
-    stores.change({table: made}, keys, (table,))
+    new = (one if have is None else one.join(changed, key, "left_semi")).withColumn("digest", F.sha2("text", 256))
+    made = make(new).withColumn("id", uuid5(namespace, F.col(key).cast("string")))
+    stores.change({table: made}, changed if gone is None else changed.unionByName(gone), (table,))
     return count
 
 

@@ -187,3 +187,26 @@ def test_segments_equal_a_whole_index(spark, tmp_path):
     assert rows_of(index.bm25(q, 8)) == whole(left)
     index.compact()
     assert rows_of(index.bm25(q, 8)) == whole(left) and index.delete(spark.createDataFrame([("s1",)], "source_file string")) is False
+
+
+def test_refresh_shuffles_no_texts(spark, tmp_path):
+    """Keys and digests are compared; of a key that stands twice the smaller text counts."""
+    import random
+
+    from skein.operators import builds
+
+    def shuffled():
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    rng = random.Random(5)
+    rows = [(f"k{i}", f"{rng.getrandbits(160_000):x}") for i in range(200)] + [("k7", "0 smallest"), (None, "no key"), ("blank", " ")]
+    df = spark.createDataFrame(rows, "source_file string, text string").repartition(4)
+    df.write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))
+    stores = Stores(spark, str(tmp_path / "stores"), {"t": "source_file"})
+    before = shuffled()
+    wrote = [builds.refresh(stores, "t", d, lambda x: x, prune=True) for d in (df, df, df.where("source_file <> 'k3'").withColumn("text", F.when(F.col("source_file") == "k9", "new").otherwise(F.col("text"))))]
+    assert wrote == [200, 0, 1]
+    assert shuffled() - before < 1_000_000
+    held = {r.source_file: r.text for r in stores.table("t").collect()}
+    assert len(held) == 199 and held["k7"] == "0 smallest" and held["k9"] == "new" and held["k8"] == dict(rows)["k8"]
