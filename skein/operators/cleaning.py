@@ -211,17 +211,27 @@ def rewrite_phrases(df: DataFrame, text: str, rules: dict[str, str]) -> DataFram
     return df.withColumn(text, run(F.col(text)))
 
 
+#: Rows of a batch of cells that goes through Python.
+CELLS = 256
+
+
 def clean_cells(df: DataFrame, columns: list[str]) -> DataFrame:
     """df with an export's text cells cleaned: carriage-return marks as line feeds, composed characters, no spaces at a line's end, one blank line at
-    most, trimmed; empty cells and those that say nan or none are null. Only cells beyond ASCII go through Python, to be composed."""
+    most, trimmed; empty cells and those that say nan or none are null. Only cells beyond ASCII go through Python, to be composed, in batches of CELLS rows at
+    most, so that what a Python worker holds does not grow with a task's rows."""
     import unicodedata
 
+    spark, rows = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= CELLS:
+        spark.conf.set(rows, str(CELLS))
+
     @F.pandas_udf("string")
     def composed(cells: pd.Series) -> pd.Series:
         return cells.map(lambda x: unicodedata.normalize("NFC", x) if isinstance(x, str) and not x.isascii() else x)
 
     def clean(c: str) -> Column:
-        broken = F.replace(composed(F.col(c)), F.lit("_x000D_"), F.lit("\n"))
+        beyond = F.when(F.col(c).rlike(r"[^\x00-\x7f]"), F.col(c))
+        broken = F.replace(F.coalesce(composed(beyond), F.col(c)), F.lit("_x000D_"), F.lit("\n"))
         short = F.regexp_replace(F.regexp_replace(broken, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
         return F.when(~F.lower(F.trim(c)).isin("", "nan", "none"), F.nullif(F.regexp_replace(short, r"(?U)^\s+|\s+$", ""), F.lit("")))
 

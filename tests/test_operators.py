@@ -211,3 +211,18 @@ def test_event_spans(spark):
     for r in df.collect():
         want = cases[r.i][2]
         assert (r.s and (r.s.seq, r.s.location, r.s.start and str(r.s.start), r.s.end and str(r.s.end), r.s.warning)) == want, cases[r.i]
+
+
+def test_cells_go_through_python_in_short_batches(spark):
+    from skein.operators import cleaning
+
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    try:
+        spark.conf.set(rows, "10000")
+        df = spark.createDataFrame([(" plain_x000D_ ",), ("été",), ("NaN",), (None,), ("",)], "c string")
+        got = [r.c for r in cleaning.clean_cells(df, ["c"]).collect()]
+        assert got == ["plain", "été", None, None, None]
+        assert int(spark.conf.get(rows)) <= 256
+    finally:
+        spark.conf.set(rows, before)
