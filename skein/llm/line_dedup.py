@@ -19,8 +19,11 @@ _DRAW = random.Random(5)
 BANDS = tuple(tuple(sorted(order[i : i + 4])) for order in (_DRAW.sample(range(MINIMA), MINIMA) for _ in range(2)) for i in range(0, MINIMA, 4))
 #: Shingles of a row that is folded, rows of a bucket that one task pairs, counters that tell large buckets, and bits of the filter of lines.
 _STEP, _BUCKET_ROWS, _COUNTERS, _FILTER = 4, 50_000, 1 << 16, 1 << 26
-#: Lines of a large bucket, and how many of its lines all its lines are compared with at first.
-_LARGE, _CENTRES = 32, 6
+#: Lines of a bucket whose lines are all compared at once, lines of a large bucket, and how many of its lines all its lines are compared with at first.
+_SMALL, _LARGE, _CENTRES = 8, 32, 6
+#: Signatures of MINIMA more, by other hashes, of the lines of buckets with over _LARGE lines outside of the largest component; one bit of each minimum is kept. At a similarity of 0.75 an eighth
+#: of these 768 bits differs, 96 with a deviation of 9, and pairs of which up to so many differ are compared.
+_MORE, _MORE_DIFFER = 32, 126
 #: Bits of a minimum in a sketch, and the lowest bits of its twelve fields in each of a sketch's two halves.
 _BITS = 5
 _LOWEST = sum(1 << (_BITS * i) for i in range(MINIMA // 2))
@@ -54,11 +57,18 @@ def lines_of(docs: DataFrame, lowest: int, width: int) -> DataFrame:
 def signatures(lines: DataFrame) -> DataFrame:
     """(k1, k2, pos, last, m0, m1, ...) of each different line: its first and last place and the minima of its shingles' hashes.
     One row a line and task is shuffled; _STEP shingles at a time are folded as they are made."""
-    units = lines.select("pos", "k1", "k2", F.encode("line", "UTF-32").alias("u")).withColumn("end", F.expr(_last("u")))
+    return _hashed(lines, "pos", "k1", "k2").groupBy("k1", "k2").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"), *_minima())
+
+
+def _hashed(lines: DataFrame, *keep: str) -> DataFrame:
+    """Rows of _STEP hashes h0, h1, ... of each line's shingles beside the columns to keep."""
+    units = lines.select(*keep, F.encode("line", "UTF-32").alias("u")).withColumn("end", F.expr(_last("u")))
     steps = units.select("*", F.explode(F.expr(f"sequence(0, end div {_STEP})")).alias("i"))
-    hashed = steps.select("pos", "k1", "k2", *[F.expr(f"hash(substring(u, 4 * least({_STEP} * i + {j}, end) + 1, {4 * SHINGLE}))").alias(f"h{j}") for j in range(_STEP)])
-    minima = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(_mask(i))) for j in range(_STEP)])).alias(f"m{i}") for i in range(MINIMA)]
-    return hashed.groupBy("k1", "k2").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"), *minima)
+    return steps.select(*keep, *[F.expr(f"hash(substring(u, 4 * least({_STEP} * i + {j}, end) + 1, {4 * SHINGLE}))").alias(f"h{j}") for j in range(_STEP)])
+
+
+def _minima() -> list[Column]:
+    return [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(_mask(i))) for j in range(_STEP)])).alias(f"m{i}") for i in range(MINIMA)]
 
 
 def _sketches(signed: DataFrame) -> DataFrame:
@@ -67,6 +77,25 @@ def _sketches(signed: DataFrame) -> DataFrame:
     return signed.select("pos", half(0).alias("s0"), half(1).alias("s1"))
 
 
+def _finer(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """(pos, f0, f1, ...): one bit of each minimum of _MORE signatures by other hashes, of the lines whose pos is among ids."""
+    texts = _some(lines, ids).join(ids.hint("merge"), "pos").select("pos", "line")
+    salted = _hashed(texts, "pos").select("*", F.explode(F.sequence(F.lit(0), F.lit(_MORE - 1))).alias("salt"))
+    each = salted.select("pos", "salt", *[F.hash(f"h{j}", "salt").alias(f"h{j}") for j in range(_STEP)]).groupBy("pos", "salt").agg(*_minima())
+    bits = each.select("pos", "salt", sum(F.shiftleft(F.col(f"m{i}").bitwiseAND(1).cast("long"), i) for i in range(MINIMA)).alias("bits"))
+    part = lambda i: F.max(F.when(F.col("salt") == 2 * i, F.col("bits"))) + F.shiftleft(F.max(F.when(F.col("salt") == 2 * i + 1, F.col("bits"))), MINIMA)
+    return bits.groupBy("pos").agg(*[part(i).alias(f) for i, f in enumerate(_FINE)])
+
+
+#: The columns of a finer sketch.
+_FINE = tuple(f"f{i}" for i in range(_MORE // 2))
+
+
+def _close(x: str, y: str) -> Column:
+    """Whether few enough bits of two lines' finer sketches differ; where one has none, true."""
+    return F.coalesce(sum(F.bit_count(F.col(f"{x}{f}").bitwiseXOR(F.col(f"{y}{f}"))) for f in _FINE) <= _MORE_DIFFER, F.lit(True))
+
+
 def _agree(x: str, y: str) -> Column:
     """Whether enough of two lines' minima can be equal."""
     different = F.lit(0)
@@ -119,16 +148,20 @@ def _names() -> Column:
 def similar_lines(lines: DataFrame, signed: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component) of the different lines that are similar to another, each by its first place.
 
-    In a bucket of a band every line is compared with the bucket's first line, in a large one with some others too. What is then linked to the bucket's largest component
-    is done with; the other lines are compared with all lines of other components in the bucket, in the first band that the two share. So a group of
-    copies costs its size, and no pair that shares a band is left out unless its lines are linked already or too few of their minima agree."""
+    In a small bucket of a band all lines are compared with each other, in another one with the bucket's first line, in a large one with some others too. What is then linked
+    to the bucket's largest component is done with; the other lines are compared with all lines of other components in the bucket, in the first band that the two share, where
+    they are many by finer sketches before their texts. So a group of copies costs its size, and no pair that shares a band is left out unless its lines are linked already or too few of
+    their minima agree."""
     bucket = Window.partitionBy("band", "part")
     met = _bands(signed).select("*", F.min("pos").over(bucket).alias("first"), F.count("*").over(bucket).alias("c"))
     kept = materialise(met.where("c > 1 or part > 0"))
     firsts = kept.where("part > 0 and pos = first")
     heads = firsts.groupBy("band").agg(F.min("pos").alias("head"), F.count("*").alias("n")).where("n > 1")
     across = firsts.join(heads, "band").where("pos <> head").select(F.col("head").alias("a"), F.col("pos").alias("b"))
-    star = kept.where("pos <> first").select(F.col("first").alias("a"), F.col("pos").alias("b")).union(across).distinct()
+    star = kept.where("pos <> first").select(F.col("first").alias("a"), F.col("pos").alias("b")).union(across)
+    few = kept.where(f"c > 2 and c <= {_SMALL} and part = 0 and pos <> first")
+    few = few.select("band", F.col("pos").alias("a")).join(few.select("band", F.col("pos").alias("b")).hint("merge"), "band").where("a < b").select("a", "b")
+    star = star.union(few).distinct()
     sketch = materialise(_sketches(signed))
     left, right = (sketch.select(F.col("pos").alias(c), F.col("s0").alias(f"{c}s0"), F.col("s1").alias(f"{c}s1")).hint("merge") for c in "ab")
     pairs = star.join(right, "b").join(left, "a").where(_agree("a", "b")).select("a", "b")
@@ -142,14 +175,16 @@ def similar_lines(lines: DataFrame, signed: DataFrame, num: int, den: int) -> Da
     links = _verified(lines, pairs, num, den)
     so_far = materialise(components(links))
 
-    # a bucket of two lines is done with
-    more = kept.where("c > 2 or part > 0").drop("c").join(so_far.withColumnRenamed("node", "pos").hint("merge"), "pos", "left")
+    # a small bucket is done with
+    more = kept.where(f"c > greatest({_SMALL}, 2) or part > 0").drop("c").join(so_far.withColumnRenamed("node", "pos").hint("merge"), "pos", "left")
     placed = materialise(more.withColumn("component", F.coalesce("component", "pos")))
     counted = placed.groupBy("band", "component").agg(F.count("*").alias("c"))
-    main = counted.groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("different")).where("different > 1").drop("different")
+    main = counted.groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("main"), (F.sum("c") - F.max("c")).alias("outside")).where("outside > 0")
     # bands as 32 bits tell which one is the first that two lines share
     facts = signed.select("pos", F.transform(_names(), lambda n: F.hash(n)).alias("names")).join(sketch.hint("merge"), "pos").hint("merge")
-    mixed = materialise(placed.join(main.hint("merge"), "band").join(facts, "pos"))
+    among = materialise(placed.join(main.hint("merge"), "band"))
+    finer = materialise(_finer(lines, among.where(f"outside > {_LARGE}").select("pos").distinct()))
+    mixed = materialise(among.drop("outside").join(finer.hint("merge"), "pos", "left").join(facts, "pos"))
     # a line that is not of the bucket's largest component goes to all parts of it
     others = mixed.where("component <> main").withColumn("part", F.explode(F.expr("if(parts > 0, sequence(1, parts), array(0))")))
     x, y = others.select([F.col(c).alias(f"x{c}") for c in others.columns]), mixed.select([F.col(c).alias(f"y{c}") for c in mixed.columns])
@@ -157,12 +192,12 @@ def similar_lines(lines: DataFrame, signed: DataFrame, num: int, den: int) -> Da
     untried = (F.col("xpart") > 0) | ((F.col("xpos") != F.col("xfirst")) & (F.col("ypos") != F.col("xfirst")))
     shared = [F.expr(f"if(xnames[{b}] = ynames[{b}], {b}, null)") for b in range(len(BANDS))]
     here = F.coalesce(*shared) == F.array_position("xnames", F.hash("xband")) - 1
-    rest = x.hint("merge").join(y, (F.col("xband") == F.col("yband")) & (F.col("xpart") == F.col("ypart")) & differ & untried & _agree("x", "y") & here)
+    rest = x.hint("merge").join(y, (F.col("xband") == F.col("yband")) & (F.col("xpart") == F.col("ypart")) & differ & untried & _agree("x", "y") & here & _close("x", "y"))
     rest = rest.select(F.least("xpos", "ypos").alias("a"), F.greatest("xpos", "ypos").alias("b")).distinct()
     rest = materialise(rest.join(pairs.hint("merge"), ["a", "b"], "left_anti"))
     last = _verified(lines, rest, num, den)
     found = materialise(components(links.union(last)).repartition(tasks(lines.sparkSession), "node"))
-    discard(kept, sketch, pairs, links, so_far, placed, mixed, rest, last)
+    discard(kept, sketch, pairs, links, so_far, placed, among, finer, mixed, rest, last)
     return found
 
 

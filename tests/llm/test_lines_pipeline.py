@@ -92,6 +92,26 @@ def test_many_near_copies_cost_their_number(spark):
     assert {r.doc_id for r in got if r.n_kept} == {0}
 
 
+def test_a_common_passage_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage = own(200)
+    lines = [own(rng.randrange(60, 80)) + passage for _ in range(200)]  # alike by 0.55 to 0.62
+    lines += [x[:30] + "#" + x[31:] for x in lines[:10]]
+    seen, plain = [], line_dedup._verified
+
+    def counted(lines, pairs, num, den):
+        seen.append(pairs.count())
+        return plain(lines, pairs, num, den)
+
+    monkeypatch.setattr(line_dedup, "_verified", counted)
+    monkeypatch.setattr(line_dedup, "_LARGE", 12)
+    data = list(enumerate(lines))
+    got = dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == brute(data)
+    assert seen[1] < 1000
+
+
 def test_any_ids_and_clashing_columns(spark):
     line = "the quick brown fox jumps over the lazy dog and runs along the river bank"
     data = [(2**62, line), (-(2**62), line + "!"), (7, "own line here\n" + line), (7, "own line here\n" + line), (8, None), (None, line)]
