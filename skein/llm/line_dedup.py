@@ -21,9 +21,8 @@ BANDS = tuple(tuple(sorted(order[i : i + 4])) for order in (_DRAW.sample(range(M
 _STEP, _BUCKET_ROWS, _COUNTERS, _FILTER = 4, 50_000, 1 << 16, 1 << 26
 #: Lines of a bucket whose lines are all compared at once, lines of a large bucket, and how many of its lines all its lines are compared with at first.
 _SMALL, _LARGE, _CENTRES = 8, 32, 6
-#: Signatures of MINIMA more, by other hashes, of the lines of buckets with over _LARGE lines outside of the largest component; one bit of each minimum is kept. At a similarity of 0.75 an eighth
-#: of these 768 bits differs, 96 with a deviation of 9, and pairs of which up to so many differ are compared.
-_MORE, _MORE_DIFFER = 32, 126
+#: Lines of either side of a large bucket that tell how many pairs its lines have, and words of 64 bits in the finer sketch of a line with over about _LARGE of them.
+_PROBES, _WORDS = 8, 32
 #: Bits of a minimum in a sketch, and the lowest bits of its twelve fields in each of a sketch's two halves.
 _BITS = 5
 _LOWEST = sum(1 << (_BITS * i) for i in range(MINIMA // 2))
@@ -77,23 +76,30 @@ def _sketches(signed: DataFrame) -> DataFrame:
     return signed.select("pos", half(0).alias("s0"), half(1).alias("s1"))
 
 
-def _finer(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """(pos, f0, f1, ...): one bit of each minimum of _MORE signatures by other hashes, of the lines whose pos is among ids."""
-    texts = _some(lines, ids).join(ids.hint("merge"), "pos").select("pos", "line")
-    salted = _hashed(texts, "pos").select("*", F.explode(F.sequence(F.lit(0), F.lit(_MORE - 1))).alias("salt"))
-    each = salted.select("pos", "salt", *[F.hash(f"h{j}", "salt").alias(f"h{j}") for j in range(_STEP)]).groupBy("pos", "salt").agg(*_minima())
-    bits = each.select("pos", "salt", sum(F.shiftleft(F.col(f"m{i}").bitwiseAND(1).cast("long"), i) for i in range(MINIMA)).alias("bits"))
-    part = lambda i: F.max(F.when(F.col("salt") == 2 * i, F.col("bits"))) + F.shiftleft(F.max(F.when(F.col("salt") == 2 * i + 1, F.col("bits"))), MINIMA)
-    return bits.groupBy("pos").agg(*[part(i).alias(f) for i, f in enumerate(_FINE)])
+def _dense(among: DataFrame) -> DataFrame:
+    """(pos) of the lines that agree with over about _LARGE lines of a bucket which they must be compared with, by _PROBES lines inside of its largest component and as many outside."""
+    side = Window.partitionBy("band", "part", "inside")
+    large = among.where(f"outside > {_LARGE}").withColumn("weight", F.count("*").over(side) * F.greatest("parts", F.lit(1)) / F.lit(_PROBES))
+    large = large.withColumn("number", F.row_number().over(side.orderBy(F.xxhash64("band", "pos"))))
+    each, probes = (df.select("band", "part", *[F.col(c).alias(f"{x}{c}") for c in ("pos", "inside", "s0", "s1", "weight")]) for df, x in ((large, "x"), (large.where(f"number <= {_PROBES}"), "y")))
+    met = each.join(probes.hint("merge"), ["band", "part"]).where(_agree("x", "y") & (F.col("xpos") != F.col("ypos")) & ~(F.col("xinside") & F.col("yinside")))
+    return met.groupBy("band", "xpos").agg(F.sum(F.greatest("yweight", F.lit(1.0))).alias("count")).where(f"count > {_LARGE}").select(F.col("xpos").alias("pos")).distinct()
 
 
-#: The columns of a finer sketch.
-_FINE = tuple(f"f{i}" for i in range(_MORE // 2))
+def _finer(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """(pos, size, bits) of the lines whose pos is among ids: the number of different shingles, and whether an even or an odd number of them falls on each of 64 * _WORDS bits."""
+    texts = _some(lines, ids).join(ids.hint("merge"), "pos").select("pos", "line").repartition(tasks(lines.sparkSession), F.xxhash64("pos"))
+    # a generator, so that each set is made once and not once for each use of it
+    sets = texts.select("pos", F.inline(F.array(F.struct(F.array_distinct(_grams("line")).alias("grams")))))
+    word = f"aggregate(filter(grams, h -> pmod(h, {_WORDS}) = w), 0L, (bits, h) -> bits ^ shiftleft(1L, cast(shiftrightunsigned(h, 58) as int)))"
+    return sets.select("pos", F.size("grams").alias("size"), F.expr(f"transform(sequence(0, {_WORDS - 1}), w -> {word})").alias("bits"))
 
 
-def _close(x: str, y: str) -> Column:
-    """Whether few enough bits of two lines' finer sketches differ; where one has none, true."""
-    return F.coalesce(sum(F.bit_count(F.col(f"{x}{f}").bitwiseXOR(F.col(f"{y}{f}"))) for f in _FINE) <= _MORE_DIFFER, F.lit(True))
+def _close(x: str, y: str, num: int, den: int) -> Column:
+    """Whether two lines can be similar by their sizes and finer sketches: each shingle that only one of the two has changes one bit, so no more bits can differ than there are such shingles."""
+    xsize, ysize = F.col(f"{x}size").cast("long"), F.col(f"{y}size").cast("long")
+    differ = F.expr(f"aggregate(zip_with({x}bits, {y}bits, (p, q) -> bit_count(p ^ q)), 0, (n, d) -> n + d)").cast("long")
+    return (F.least(xsize, ysize) * den >= F.greatest(xsize, ysize) * num) & (differ * (den + num) <= (xsize + ysize) * (den - num))
 
 
 def _agree(x: str, y: str) -> Column:
@@ -180,19 +186,19 @@ def similar_lines(lines: DataFrame, signed: DataFrame, num: int, den: int) -> Da
     placed = materialise(more.withColumn("component", F.coalesce("component", "pos")))
     counted = placed.groupBy("band", "component").agg(F.count("*").alias("c"))
     main = counted.groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("main"), (F.sum("c") - F.max("c")).alias("outside")).where("outside > 0")
-    # bands as 32 bits tell which one is the first that two lines share
-    facts = signed.select("pos", F.transform(_names(), lambda n: F.hash(n)).alias("names")).join(sketch.hint("merge"), "pos").hint("merge")
-    among = materialise(placed.join(main.hint("merge"), "band"))
-    finer = materialise(_finer(lines, among.where(f"outside > {_LARGE}").select("pos").distinct()))
-    mixed = materialise(among.drop("outside").join(finer.hint("merge"), "pos", "left").join(facts, "pos"))
+    among = placed.join(main.hint("merge"), "band").join(sketch.hint("merge"), "pos")
+    among = materialise(among.select("band", "part", "parts", "pos", "first", "component", (F.col("component") == F.col("main")).alias("inside"), "outside", "s0", "s1"))
+    finer = materialise(_finer(lines, _dense(among)))
+    mixed = materialise(among.drop("outside").join(finer.hint("merge"), "pos", "left").withColumn("dense", F.col("size").isNotNull()))
     # a line that is not of the bucket's largest component goes to all parts of it
-    others = mixed.where("component <> main").withColumn("part", F.explode(F.expr("if(parts > 0, sequence(1, parts), array(0))")))
-    x, y = others.select([F.col(c).alias(f"x{c}") for c in others.columns]), mixed.select([F.col(c).alias(f"y{c}") for c in mixed.columns])
-    differ = (F.col("xcomponent") != F.col("ycomponent")) & ((F.col("ycomponent") == F.col("ymain")) | (F.col("xpos") < F.col("ypos")))
+    others = mixed.where("not inside").withColumn("part", F.explode(F.expr("if(parts > 0, sequence(1, parts), array(0))")))
+    x, y = (df.select([F.col(c).alias(f"{side}{c}") for c in df.columns if c != "parts"]) for df, side in ((others, "x"), (mixed, "y")))
+    differ = (F.col("xcomponent") != F.col("ycomponent")) & (F.col("yinside") | (F.col("xpos") < F.col("ypos")))
     untried = (F.col("xpart") > 0) | ((F.col("xpos") != F.col("xfirst")) & (F.col("ypos") != F.col("xfirst")))
-    shared = [F.expr(f"if(xnames[{b}] = ynames[{b}], {b}, null)") for b in range(len(BANDS))]
-    here = F.coalesce(*shared) == F.array_position("xnames", F.hash("xband")) - 1
-    rest = x.hint("merge").join(y, (F.col("xband") == F.col("yband")) & (F.col("xpart") == F.col("ypart")) & differ & untried & _agree("x", "y") & here & _close("x", "y"))
+    here = (F.col("xband") == F.col("yband")) & (F.col("xpart") == F.col("ypart")) & _agree("x", "y") & differ & untried
+    # the first join sees nearly all pairs of a bucket: it has few columns
+    rest = x.hint("merge").join(y, here & ~(F.col("xdense") & F.col("ydense"))).select("xpos", "ypos")
+    rest = rest.union(x.where("xdense").hint("merge").join(y.where("ydense"), here & _close("x", "y", num, den)).select("xpos", "ypos"))
     rest = rest.select(F.least("xpos", "ypos").alias("a"), F.greatest("xpos", "ypos").alias("b")).distinct()
     rest = materialise(rest.join(pairs.hint("merge"), ["a", "b"], "left_anti"))
     last = _verified(lines, rest, num, den)

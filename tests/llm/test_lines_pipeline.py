@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("skein.llm.line_dedup")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -112,6 +113,45 @@ def test_a_common_passage_makes_few_pairs(spark, monkeypatch):
     assert seen[1] < 1000
 
 
+def test_lines_that_only_share_buckets_get_no_finer_sketch(spark, monkeypatch):
+    rng = random.Random(4)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage = own(100)
+    lines = [own(130) + passage for _ in range(250)]  # alike by some 0.27: they meet in buckets, but few of their minima agree
+    seen, plain = [], line_dedup._finer
+
+    def counted(lines, ids):
+        seen.append(ids.count())
+        return plain(lines, ids)
+
+    monkeypatch.setattr(line_dedup, "_finer", counted)
+    monkeypatch.setattr(line_dedup, "_LARGE", 3)
+    monkeypatch.setattr(line_dedup, "_SMALL", 2)
+    data = list(enumerate(lines))
+    got = dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == brute(data)
+    assert seen[0] < 10, seen
+
+
+def test_finer_sketches_lose_no_similar_pair(spark):
+    rng = random.Random(6)
+    lines = []
+    for _ in range(60):
+        a = prose(rng, rng.randrange(8, 200))
+        b = list(a)
+        for _ in range(rng.randrange(0, 1 + len(a) // 25)):
+            b[rng.randrange(len(b))] = rng.choice("0123456789")
+        lines += [a, "".join(b)]
+    table = spark.createDataFrame(list(enumerate(lines)), "pos long, line string").localCheckpoint()
+    finer = line_dedup._finer(table, table.select("pos")).localCheckpoint()
+    assert {r.pos: r.size for r in finer.select("pos", "size").collect()} == {i: len(grams(x)) for i, x in enumerate(lines)}
+    x, y = (finer.select([F.col(c).alias(f"{side}{c}") for c in finer.columns]) for side in "xy")
+    passed = {(r.xpos, r.ypos) for r in x.join(y, F.col("xpos") < F.col("ypos")).where(line_dedup._close("x", "y", 75, 100)).select("xpos", "ypos").collect()}
+    sets = [grams(x) for x in lines]
+    alike = {(i, j) for j in range(len(lines)) for i in range(j) if 175 * len(sets[i] & sets[j]) >= 75 * (len(sets[i]) + len(sets[j]))}
+    assert len(alike) >= 20 and alike <= passed and len(passed) <= 2 * len(alike)
+
+
 def test_any_ids_and_clashing_columns(spark):
     line = "the quick brown fox jumps over the lazy dog and runs along the river bank"
     data = [(2**62, line), (-(2**62), line + "!"), (7, "own line here\n" + line), (7, "own line here\n" + line), (8, None), (None, line)]
