@@ -20,7 +20,7 @@ BANDS = tuple(tuple(sorted(order[i : i + 4])) for order in (_DRAW.sample(range(M
 #: Shingles of a row that is folded, rows of a bucket that one task pairs, counters that tell large buckets, and bits of the filter of lines.
 _STEP, _BUCKET_ROWS, _COUNTERS, _FILTER = 4, 50_000, 1 << 16, 1 << 26
 #: Lines of a bucket whose lines are all compared at once, lines of a large bucket, and how many of its lines all its lines are compared with at first.
-_SMALL, _LARGE, _CENTRES = 8, 32, 6
+_SMALL, _LARGE, _CENTRES = 8, 32, 4
 #: Lines of either side of a large bucket that tell how many pairs its lines have, and words of 64 bits in the finer sketch of a line with over about _LARGE of them.
 _PROBES, _WORDS = 8, 32
 #: Bits of a minimum in a sketch, and the lowest bits of its twelve fields in each of a sketch's two halves.
