@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialise, mix64, shingle_sets, short_batches, tasks
+from .common import collect_shuffles, discard, materialise, mix64, shingle_sets, short_batches, tasks
 from .components import components
 
 #: Counters that order the columns by how common they are: 2**22, of 4 bytes, whatever the input. They bear on the order alone.
@@ -204,7 +204,8 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, id_col: s
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = materialise(docs.mapInArrow(_profile, "doc_id long, n long, k1 long, k2 long, block int, counts binary"))
     counters = spark.sparkContext.broadcast(_counters(found.where("block is not null").select("block", "counts")))
-    rows = found.where("block is null").select("doc_id", "n", "k1", "k2")
+    rows = materialise(found.where("block is null").select("doc_id", "n", "k1", "k2"))
+    discard(found)  # each task's counters, which are much larger
     classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
 
     entries = docs.where("doc_id is not null").mapInArrow(_entries(counters, num, den), "s long, part int, key long, doc long, n int, pos int")
@@ -214,6 +215,7 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, id_col: s
     first = F.min(F.struct("doc", "n", "pos")).over(block)
     blocks = single.select("s", "part", "doc", "n", "pos", F.count("*").over(block).alias("c"), first.alias("first"))
     kept = materialise(blocks.where("c > 1 or part > 0").select("s", "part", "doc", "n", "pos", F.col("first.doc").alias("a"), F.col("first.n").alias("an"), F.col("first.pos").alias("apos")))
+    collect_shuffles(spark)  # each step's files go before the next one's come
 
     near = kept.where(F.col("doc") != F.col("a")).where(_possible(F.col("n"), F.col("pos"), F.col("an"), F.col("apos"), num, den))
     firsts = kept.where(F.col("doc") == F.col("a"))
@@ -224,18 +226,24 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, id_col: s
 
     same = rows.where("n > 0").join(classes, ["n", "k1", "k2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     so_far = materialise(components(links.union(same)))
+    collect_shuffles(spark)
     # joins by merging at every size: a side that is small here is large elsewhere
     placed = kept.drop("a", "an", "apos", "part").join(so_far.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     placed = materialise(placed)
+    discard(kept, so_far)
     mixed = placed.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s")
-    placed = materialise(placed.join(mixed.hint("merge"), "s"))
+    whole, placed = placed, materialise(placed.join(mixed.hint("merge"), "s"))
+    discard(whole)
+    collect_shuffles(spark)
     x, y = placed.alias("x"), placed.alias("y")
     rest = x.join(y, F.col("x.s") == F.col("y.s")).where(
         (F.col("x.doc") < F.col("y.doc")) & (F.col("x.component") != F.col("y.component")) & _possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), num, den)
     )
     rest = materialise(rest.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+    discard(placed, pairs)
     more = _links(docs, rest, num, den)
     last = components(links.union(same).union(more)).withColumnRenamed("node", "doc_id")
+    discard(rest, links, more)
     return rows.join(last, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

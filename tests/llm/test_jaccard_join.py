@@ -89,3 +89,13 @@ def test_union_find(spark):
             root[y] = x
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert sorted(map(tuple, got)) == sorted((n, find(n)) for n in root)
+
+
+def test_intermediate_tables_go(spark, tmp_path, monkeypatch):
+    from skein.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    data = documents()[:40]
+    found = jaccard_components(spark.createDataFrame(data, "doc_id long, text string"))
+    assert sorted(map(tuple, found.collect())) == brute(data)
+    assert 1 <= len(list(tmp_path.glob("skein-*"))) <= 3  # what the result is read from
